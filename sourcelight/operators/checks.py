@@ -19,7 +19,7 @@ def marker_scan(files: DataFrame, markers: list[str] | None = None, path: str =
     wanted = F.array(*[F.lit(m) for m in (markers or DEFAULT_MARKERS)])
     found = F.transform(wanted, lambda m: F.struct(
         m.alias("marker"),
-        F.when(F.contains(text, m), F.octet_length(F.substring_index(text, m, 1))).cast("bigint").alias("byte_offset"),
+        F.when(F.contains(text, m), F.octet_length(F.call_function("substring_index", text, m, F.lit(1)))).cast("bigint").alias("byte_offset"),
     ))
     rows = files.filter(F.octet_length(content) <= K.MAX_SCAN_BYTES).select(
         path, F.explode(F.filter(found, lambda x: x["byte_offset"].isNotNull())).alias("f")

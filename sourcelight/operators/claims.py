@@ -135,12 +135,19 @@ def record_claims(
     Returns (claims, claim_evidence, rejected). Claims over the evidence limit are rejected before any
     passage is opened.
     """
+    evidence = evidence.select("claim_id", "idx", "citation_uri", "relationship")
     items = _small_claims(evidence)
+    phrases = drafts.select("claim_id", direct_phrase().alias("__phrase"), is_direct_predicate(predicates=predicates).alias("__plain"))
     opened = open_citations(items, chunks.select("source_id", "version_id", "ordinal", "chunk_id", "body"), sources, scheme)
-    opened = opened.select("claim_id", "idx", "citation_uri", "relationship", "chunk_id", F.col("body").alias("passage"))
+    hit = F.col("__plain") & (F.col("__phrase") != "") & F.contains(F.lower("body"), F.col("__phrase"))
+    # Passages are compared where they are opened; only keys and the outcome are kept, once, for what follows.
+    opened = durable(opened.join(phrases, "claim_id").select(
+        "claim_id", "idx", "citation_uri", "relationship", "chunk_id",
+        F.coalesce(hit & (F.col("relationship") == "supporting"), F.lit(False)).alias("direct"),
+    ))
     unresolved = items.join(opened.select("claim_id", "idx"), ["claim_id", "idx"], "left_anti")
     unresolved = unresolved.select("claim_id").distinct().withColumn("__missing", F.lit(True))
-    direct = direct_match(drafts, opened.filter("relationship = 'supporting'"), predicates)
+    direct = opened.groupBy("claim_id").agg(F.bool_or("direct").alias("direct"))
     assessed = assess_claims(drafts, evidence, opened.select("claim_id", "citation_uri"))
     rows = assessed.join(unresolved, "claim_id", "left").join(direct, "claim_id", "left")
     reason = (
@@ -301,6 +308,8 @@ def extract_claims(
 
     ``topics``: batch_id, topic. ``hits``: batch_id, idx (0-based), source_id, version_id, ordinal, passage.
     """
+    # The search result is made durable: prompt, replies and citations must all see the same passages.
+    hits = durable(hits.select("batch_id", "idx", "source_id", "version_id", "ordinal", "passage"))
     evidence = hits.withColumn("citation_uri", citation_uri("source_id", "version_id", "ordinal", scheme))
     replies = durable(run_model(extraction_prompts(topics, hits), model))
     read, proposals = parse_proposals(replies)

@@ -22,13 +22,13 @@ def _(i):
 
 
 @query("path_in_root", """
-    SELECT path, CASE WHEN NOT (path = '/d/src00' OR starts_with(path, '/d/src00/')) THEN 'outside_root' END AS reason
+    SELECT path, CASE WHEN NOT (path = '/d/src1' OR starts_with(path, '/d/src1/')) THEN 'outside_root' END AS reason
     FROM (SELECT '/d/' || source || CASE WHEN doc_id % 5 = 0 THEN '0' ELSE '' END || '/' || doc_id AS path FROM documents)""")
 def _(i):
     # A sibling folder whose name merely begins with the root's name is outside.
     d = F.col("doc_id")
     paths = i.table("documents").select(F.concat(F.lit("/d/"), "source", F.when(d % 5 == 0, "0").otherwise(""), F.lit("/"), d.cast("string")).alias("path"))
-    return path_in_root(paths, "/d/src00/")
+    return path_in_root(paths, "/d/src1/")
 
 
 @query("file_uri", r"""

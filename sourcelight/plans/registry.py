@@ -29,7 +29,7 @@ def query(name: str, body: str | None = None, *needs: str, recursive: bool = Fal
 
 
 def load() -> dict[str, Query]:
-    from sourcelight.plans import ingest, library, retrieval  # noqa: F401
+    from sourcelight.plans import answers, claims, events, ingest, library, retrieval, streams, web  # noqa: F401
 
     return REGISTRY
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sourcelight import constants as K
-from sourcelight.operators.ordered import ordered_scan
+from sourcelight.operators.ordered import ordered_scan, sliced
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -70,7 +70,7 @@ def stable_change_stream(observations: DataFrame, key_type: str = "bigint") -> D
 def stable_changes(observations: DataFrame) -> DataFrame:
     """Batch twin: islands of an unchanged fingerprint, and the first observation late enough in each."""
     order = ["observed_us", "observation_id"]
-    seen = ordered_scan(observations, ["path_key"], order, rank="__rn", lags={"__prev": "fingerprint"})
+    seen = ordered_scan(sliced(observations, order), ["path_key"], order, rank="__rn", lags={"__prev": "fingerprint"})
     starts = (F.col("__rn") == 1) | ~F.col("fingerprint").eqNullSafe(F.col("__prev"))
     marked = seen.withColumn("__start", F.when(starts, F.col("observed_us")))
     carried = ordered_scan(marked, ["path_key"], order, carried={"__open": "__start"})
@@ -123,23 +123,23 @@ def retry_cooldown(attempts: DataFrame, key_type: str = "bigint") -> DataFrame:
     """Batch twin. A pause of 30 s ends any cooldown, so stretches without one are independent: a busy key
     is split into as many groups as it has pauses, and only attempts close in time share a task."""
     order = ["observed_us", "observation_id"]
-    seen = ordered_scan(attempts, ["path_key"], order, lags={"__prev": "observed_us"})
+    seen = ordered_scan(sliced(attempts, order), ["path_key"], order, lags={"__prev": "observed_us"})
     fresh = F.col("__prev").isNull() | (F.col("observed_us") - F.col("__prev") >= K.COOLDOWN_MICROS)
     runs = ordered_scan(seen.withColumn("__new", fresh.cast("bigint")), ["path_key"], order, sums={"__stretch": "__new"})
-    alone = runs.groupBy("path_key", "__stretch").agg(F.count(F.lit(1)).alias("__n"))
-    sized = runs.join(alone, ["path_key", "__stretch"])
     columns = ["path_key", "observation_id", "observed_us", "ok"]
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["observed_us", "observation_id"], kind="stable")
-        until, keep = None, []
-        for at, ok in zip(frame["observed_us"], frame["ok"]):
-            run, until = _attempt(until, int(at), bool(ok))
-            keep.append(run)
-        return frame.loc[keep, columns]
-
-    # A stretch of one attempt always runs; only longer ones go through Python.
-    single = sized.filter("__n = 1").select(*columns)
-    several = sized.filter("__n > 1").select(*columns, "__stretch")
-    folded = several.groupBy("path_key", "__stretch").applyInPandas(lambda f: fold(f), _ATTEMPTS.format(key_type))
-    return single.unionByName(folded)
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows arrive sorted, so one end of cooldown is all that is held, however long a stretch is.
+        stretch, until = None, None
+        for frame in frames:
+            keep = []
+            for key, number, at, ok in zip(frame["path_key"], frame["__stretch"], frame["observed_us"], frame["ok"]):
+                if stretch != (key, number):
+                    stretch, until = (key, number), None
+                run, until = _attempt(until, int(at), bool(ok))
+                keep.append(run)
+            yield frame.loc[keep, columns]
+
+    spread = runs.select(*columns, "__stretch").repartition("path_key", "__stretch")
+    ordered = spread.sortWithinPartitions("path_key", "__stretch", *order)
+    return ordered.mapInPandas(fold, _ATTEMPTS.format(key_type))
