@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from sourcelight import constants as K
 from sourcelight.functions.text import ascii_lower, citation_uri, collapse_ws, is_blank, strip_ws
 from sourcelight.operators.answers import run_model
+from sourcelight.operators.bounded import bounded_list
 from sourcelight.operators.catalog import open_citations
 from sourcelight.session import durable
 
@@ -293,11 +294,10 @@ def parse_proposals(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def extraction_prompts(topics: DataFrame, hits: DataFrame) -> DataFrame:
     """Numbered passages (12 at most) of each topic as one prompt. ``hits``: batch_id, idx, passage."""
-    over = F.when(F.count(F.lit(1)) > K.MAX_EXTRACTED_CLAIMS, F.raise_error(F.lit("too many passages for one prompt")).cast("int"))
-    grouped = hits.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("idx", "passage"))).alias("p"), over.alias("g"))
+    grouped = bounded_list(hits.select("batch_id", "idx", "passage"), "batch_id", "idx", ["passage"], K.MAX_EXTRACTED_CLAIMS, "p")
     listed = F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), x["idx"].cast("string"), F.lit("] "), x["passage"])), "\n\n")
     prompt = F.concat(F.lit("Topic: "), strip_ws("topic"), F.lit("\n\nRetained evidence:\n"), listed)
-    return topics.join(grouped.filter("g is null"), "batch_id").select(F.col("batch_id").alias("question_id"), prompt.alias("prompt"))
+    return topics.join(grouped, "batch_id").select(F.col("batch_id").alias("question_id"), prompt.alias("prompt"))
 
 
 def extract_claims(

@@ -87,16 +87,18 @@ def claim_reviews(
     """
     places = chunks.select("chunk_id", "source_id", "version_id", "ordinal")
     checked = sources.select("source_id", "last_checked_at")
-    rows = claim_evidence.join(places, "chunk_id").join(checked, "source_id").withColumn(
+    over = F.when(F.col("__n") > K.MAX_CLAIM_EVIDENCE, F.raise_error(F.lit("claim with too much evidence")).cast("int"))
+    sizes = claim_evidence.groupBy("claim_id").agg(F.count(F.lit(1)).alias("__n")).filter(over.isNull())
+    bounded = claim_evidence.join(sizes.select("claim_id"), "claim_id", "left_semi")
+    rows = bounded.join(places, "chunk_id").join(checked, "source_id").withColumn(
         "uri", citation_uri("source_id", "version_id", "ordinal", scheme)
     )
-    over = F.when(F.count(F.lit(1)) > K.MAX_CLAIM_EVIDENCE, F.raise_error(F.lit("claim with too much evidence")).cast("int"))
     grouped = rows.groupBy("claim_id").agg(
         F.countDistinct("source_id").alias("source_count"),
         F.bool_and(is_fresh(F.col("last_checked_at"), now)).alias("fresh"),
-        F.array_sort(F.collect_list(F.struct("relationship", "ordinal", "uri"))).alias("items"), over.alias("g"),
+        F.array_sort(F.collect_list(F.struct("relationship", "ordinal", "uri"))).alias("items"),
     )
-    joined = claims.join(grouped.filter("g is null"), "claim_id")
+    joined = claims.join(grouped, "claim_id")
     disputed = F.col("status") == "disputed"
     return joined.select(
         "claim_id", "topic_id", F.concat_ws(" ", "subject", "predicate", "object").alias("statement"), "status", "inferred",

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sourcelight import constants as K
 from sourcelight.functions.text import citation_uri, meaningful_terms, normalized_tokens, token_set
+from sourcelight.operators.bounded import bounded_list
 
 DIGITS = 6
 
@@ -123,11 +124,9 @@ def select_evidence(hits: DataFrame, candidates: int = K.CANDIDATES_PER_RETRIEVE
     (rank, chunk, version, tokens) tuples of the retriever's bounded result; passages are joined back.
     ``candidates`` is the bound of that result, and a larger input is an error, not a cut.
     """
-    light = hits.select("query_id", "rank", "chunk_id", "version_id", evidence_tokens().alias("tokens"))
-    item = F.struct("rank", "chunk_id", "version_id", "tokens")
-    oversized = F.count(F.lit(1)) > candidates
-    guard = F.when(oversized, F.raise_error(F.lit(f"more than {candidates} hits for one query")).cast("int"))
-    groups = light.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"), guard.alias("g"))
+    tokens = evidence_tokens().alias("tokens")
+    light = hits.select("query_id", (F.col("rank") - 1).alias("place"), "rank", "chunk_id", "version_id", tokens)
+    groups = bounded_list(light, "query_id", "place", ["rank", "chunk_id", "version_id", "tokens"], candidates, "items")
     id_type = hits.schema["chunk_id"].dataType.simpleString()
     version_type = hits.schema["version_id"].dataType.simpleString()
     zero = F.struct(
@@ -151,7 +150,7 @@ def select_evidence(hits: DataFrame, candidates: int = K.CANDIDATES_PER_RETRIEVE
             F.when(take, acc["tokens"] + hit["tokens"]).otherwise(acc["tokens"]).alias("tokens"),
         )
 
-    chosen = groups.filter(F.col("g").isNull()).select(
+    chosen = groups.select(
         "query_id", F.posexplode(F.aggregate("items", zero, step, lambda acc: acc["ranks"])).alias("idx", "rank")
     )
     chosen = chosen.withColumn("idx", F.col("idx").cast("bigint"))

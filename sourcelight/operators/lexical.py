@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sourcelight import constants as K
 from sourcelight.functions.text import index_tokens, is_blank, let, normalized_tokens
+from sourcelight.session import durable
 
 FIELDS = ["display_name", "heading", "body"]
 SCORE_DIGITS = 4
-HOT_POSTINGS = 1_000_000
-
-
-@dataclass(frozen=True)
-class LexicalIndex:
-    """``postings`` (term, field, chunk_id, version_id, tf, len) and ``lengths`` (field, chunks, avg_len)."""
-
-    postings: DataFrame
-    lengths: DataFrame
+LENGTH_TERM = ""  # the row that carries a field's length; no word is empty
+BROADCAST_TERMS = 500_000  # query words handed to every task: some 30 MB
+PUSHED_TERMS = 200  # so few distinct words are pushed down to the scan of a stored index
+COLUMNS = ["term", "field", "chunk_id", "version_id", "tf", "len"]
 
 
 def _runs(tokens: Column) -> Column:
@@ -36,53 +30,51 @@ def _runs(tokens: Column) -> Column:
 
 def _field_postings(field: str) -> Column:
     def rows(tokens: Column) -> Column:
-        return F.transform(_runs(tokens), lambda run: let(F.substring_index(run, " ", 1), lambda word: F.struct(
-            F.lit(field).alias("field"),
-            word.alias("term"),
-            F.floor(F.char_length(run) / (F.char_length(word) + 1)).alias("tf"),
-            F.size(tokens).cast("bigint").alias("len"),
-        )))
+        size = F.size(tokens).cast("bigint")
+
+        def entry(term: Column, tf: Column) -> Column:
+            return F.struct(F.lit(field).alias("field"), term.alias("term"), tf.alias("tf"), size.alias("len"))
+
+        words = F.transform(_runs(tokens), lambda run: let(F.substring_index(run, " ", 1), lambda word: entry(
+            word, F.floor(F.char_length(run) / (F.char_length(word) + 1)))))
+        return F.concat(F.array(entry(F.lit(LENGTH_TERM), size)), words)
 
     return let(index_tokens(field), rows)
 
 
-def build_postings(chunks: DataFrame) -> DataFrame:
-    """One row per (passage, field, word). A map over passages: nothing is shuffled."""
+def build_index(chunks: DataFrame) -> DataFrame:
+    """The index: one row per (passage, field, word), and one per (passage, field) for the field's length.
+
+    A map over passages: nothing is shuffled, and one pass yields postings and corpus statistics.
+    """
     exploded = chunks.select(
         "chunk_id", "version_id", F.explode(F.concat(*[_field_postings(f) for f in FIELDS])).alias("p")
     )
     return exploded.select("p.term", "p.field", "chunk_id", "version_id", "p.tf", "p.len")
 
 
-def field_lengths(chunks: DataFrame) -> DataFrame:
-    """Number of passages and mean length of each field: a three-row table."""
-    sums = chunks.agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(F.size(index_tokens(f))).alias(f) for f in FIELDS]
-    )
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("total")) for f in FIELDS])
-    return sums.select(F.col("n").alias("chunks"), F.explode(rows).alias("r")).select(
-        F.col("r.field").alias("field"), "chunks", (F.col("r.total") / F.col("chunks")).alias("avg_len")
-    )
+def postings(index: DataFrame) -> DataFrame:
+    return index.filter(F.col("term") != LENGTH_TERM)
 
 
-def build_index(chunks: DataFrame) -> LexicalIndex:
-    return LexicalIndex(build_postings(chunks), field_lengths(chunks))
+def field_lengths(index: DataFrame) -> DataFrame:
+    """Number of passages and mean length of each field: a three-row table."""
+    return index.filter(F.col("term") == LENGTH_TERM).groupBy("field").agg(
+        F.count(F.lit(1)).alias("chunks"), F.avg("len").alias("avg_len")
+    )
 
 
-def replace_version_postings(postings: DataFrame, chunks: DataFrame) -> DataFrame:
+def replace_versions(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """Drop the entries of every version in ``chunks`` and add its new ones."""
-    kept = postings.join(chunks.select("version_id").distinct(), "version_id", "left_anti")
-    return kept.select("term", "field", "chunk_id", "version_id", "tf", "len").unionByName(build_postings(chunks))
+    kept = index.join(chunks.select("version_id").distinct(), "version_id", "left_anti")
+    return kept.select(*COLUMNS).unionByName(build_index(chunks))
 
 
-def index_freshness(postings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Indexed against expected passages; they differ when the index needs a rebuild.
-
-    Blank names, headings and bodies leave no posting, so only passages with a word are expected.
-    """
-    has_word = F.size(F.concat(*[index_tokens(f) for f in FIELDS])) > 0
-    indexed = postings.agg(F.countDistinct("chunk_id").alias("indexed"))
-    expected = chunks.agg(F.count_if(has_word).alias("expected"))
+def index_freshness(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Indexed against expected passages; they differ when the index needs a rebuild."""
+    held = (F.col("term") == LENGTH_TERM) & (F.col("field") == FIELDS[-1])
+    indexed = index.filter(held).agg(F.count(F.lit(1)).alias("indexed"))
+    expected = chunks.agg(F.count(F.lit(1)).alias("expected"))
     both = indexed.select("indexed", expected.scalar().alias("expected"))
     return both.withColumn("stale", F.col("indexed") != F.col("expected"))
 
@@ -98,12 +90,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def _weights(terms: DataFrame, matched: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Per (query, term, field): the factor in front of the term-frequency part of BM25."""
-    df = matched.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+def _matched(index: DataFrame, terms: DataFrame) -> tuple[DataFrame, bool]:
+    """Index rows of the query words, placed by passage; and whether the query words fit every task.
+
+    With all words of a passage in one partition, scoring needs no further shuffle: a word that occurs in a
+    third of all passages is spread over all tasks, and (query, passage) pairs are never sent.
+    """
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    few = counts.limit(PUSHED_TERMS + 1).collect()
+    if len(few) <= PUSHED_TERMS:
+        small = sum(r["n"] for r in few) <= BROADCAST_TERMS
+        rows = index.filter(F.col("term").isin([*(r["term"] for r in few), LENGTH_TERM]))
+    else:
+        small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        wanted = counts.select("term").unionByName(counts.limit(1).select(F.lit(LENGTH_TERM).alias("term")))
+        rows = index.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
+    return rows.repartition("chunk_id"), small
+
+
+def _weights(terms: DataFrame, matched: DataFrame) -> DataFrame:
+    """Per (query, word, field): document frequency, mean field length and the factor in front of BM25's
+    term-frequency part. As many rows as the queries have words, times three."""
+    df = postings(matched).groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     n, d = F.col("chunks"), F.col("df")
     idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
-    stats = df.join(lengths, "field").select(
+    stats = df.join(F.broadcast(field_lengths(matched)), "field").select(  # one row per field
         "term", "field", "df", "avg_len", (idf * (1 + K.BM25_K1)).alias("idf_weight")
     )
     return terms.join(stats, "term").withColumn("weight", F.col("qtf") * F.col("idf_weight"))
@@ -114,9 +125,8 @@ def _impact() -> Column:
     return F.col("weight") * F.col("tf") / (F.col("tf") + norm)
 
 
-def _score(weights: DataFrame, postings: DataFrame) -> DataFrame:
-    # Grouping by (query, passage) spreads a hot word: its rows are summed map-side and hashed by passage.
-    joined = weights.join(postings, ["term", "field"])
+def _score(weights: DataFrame, matched: DataFrame) -> DataFrame:
+    joined = postings(matched).join(weights, ["term", "field"])
     return joined.groupBy("query_id", "chunk_id").agg(
         F.first("version_id").alias("version_id"), F.sum(_impact()).alias("score")
     )
@@ -137,9 +147,7 @@ def top_per_query(scored: DataFrame, k: int, score: str = "score", id_col: str =
     )
 
 
-def lexical_scores(
-    queries: DataFrame, index: LexicalIndex, k: int, hot_postings: int | None = None
-) -> DataFrame:
+def lexical_scores(queries: DataFrame, index: DataFrame, k: int, hot_postings: int | None = None) -> DataFrame:
     """Top ``k`` passages per query: query_id, chunk_id, version_id, score, rank.
 
     With ``hot_postings`` set, words with more postings than that do not open candidates by themselves:
@@ -152,13 +160,13 @@ def lexical_scores(
     The answer is the same, because a hot word adds at least 0 and less than its weight.
     """
     terms = query_terms(queries)
-    postings = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    weights = _weights(terms, postings, index.lengths)
+    matched, small = _matched(index, terms)
+    weights = _weights(terms, matched)
     if hot_postings is None:
-        return top_per_query(_score(weights, postings), k)
+        return top_per_query(_score(F.broadcast(weights) if small else weights, matched), k)
 
     hot = F.col("df") > hot_postings
-    rare = _score(weights.filter(~hot), postings)
+    rare = _score(weights.filter(~hot), matched)
     bound = weights.groupBy("query_id").agg(F.sum(F.when(hot, F.col("weight")).otherwise(0.0)).alias("hot_bound"))
     floor = (
         top_per_query(rare.select("query_id", "chunk_id", "score"), k)
@@ -168,16 +176,15 @@ def lexical_scores(
     safe = bound.join(floor, "query_id").filter(F.col("hot_bound") + slack < F.col("floor"))
     survivors = rare.join(safe, "query_id").filter(F.col("score") + F.col("hot_bound") + slack >= F.col("floor"))
     survivors = survivors.select("query_id", "chunk_id", "version_id", "score")
-    hot_weights = weights.filter(hot)
-    wanted = survivors.select("query_id", "chunk_id").join(hot_weights, "query_id")
+    wanted = survivors.select("query_id", "chunk_id").join(weights.filter(hot), "query_id")
     extra = (
-        wanted.join(postings.drop("version_id"), ["term", "field", "chunk_id"])
+        wanted.join(postings(matched).drop("version_id"), ["term", "field", "chunk_id"])
         .groupBy("query_id", "chunk_id").agg(F.sum(_impact()).alias("extra"))
     )
     pruned = survivors.join(extra, ["query_id", "chunk_id"], "left").select(
         "query_id", "chunk_id", "version_id", (F.col("score") + F.coalesce("extra", F.lit(0.0))).alias("score")
     )
-    full = _score(weights.join(safe, "query_id", "left_anti"), postings)
+    full = _score(weights.join(safe, "query_id", "left_anti"), matched)
     return top_per_query(pruned.unionByName(full), k)
 
 
@@ -185,17 +192,25 @@ def lexical_search(
     queries: DataFrame,
     chunks: DataFrame,
     k: int = K.RERANK_OUTPUT,
-    index: LexicalIndex | None = None,
+    index: DataFrame | None = None,
     hot_postings: int | None = None,
 ) -> DataFrame:
     """Top ``k`` current passages per query with their text.
 
-    ``chunks`` are the searchable passages (see ``current_chunks``); statistics are taken over them.
+    ``chunks`` are the searchable passages (see ``current_chunks``); statistics are taken over them. Without
+    a stored ``index`` the words that the queries use are indexed on the way, in one durable pass.
     """
-    hits = lexical_scores(queries, index or build_index(chunks), k, hot_postings)
+    if index is None:
+        index = index_for(queries, chunks)
+    hits = lexical_scores(queries, index, k, hot_postings)
     return hits.join(chunks.drop("version_id"), "chunk_id")
 
 
+def index_for(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Index of the words in ``queries`` only, written once, as a search reads it more than once."""
+    return durable(_matched(build_index(chunks), query_terms(queries))[0])
+
+
 _GRAM = 4
 
 
@@ -226,7 +241,10 @@ def phrase_search(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
     def tagged(n: int) -> Column:
         return F.transform(F.array_distinct(_grams(F.col("tokens"), n)), lambda h: F.struct(F.lit(n).alias("gram"), h.alias("key")))
 
-    keyed = F.concat(*[tagged(n) for n in range(1, _GRAM + 1)])
+    used = sorted(r["gram"] for r in wanted.select("gram").distinct().collect())  # four values at most
+    if not used:
+        return chunks.select(F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), "chunk_id", F.lit("").alias("field")).limit(0)
+    keyed = F.concat(*[tagged(n) for n in used])
     grams = fields.select("chunk_id", "field", F.explode(keyed).alias("g")).select("chunk_id", "field", "g.*")
     # Only (passage, field) keys travel for the candidates; the texts are read again for them alone.
     pairs = grams.join(wanted, ["gram", "key"]).select("phrase_id", "words", "chunk_id", "field")

@@ -84,7 +84,7 @@ def _(i):
     # Heading lines put in by rule: one in front, then on every line, as empty headings, or none.
     d = F.col("doc_id")
     mark = F.when(d % 3 == 0, "\n  ## ").when(d % 3 == 1, "\n#\n").otherwise("\n")
-    rows = i.table("documents").select("doc_id", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), mark)).alias("text"))
+    rows = i.texts().select("doc_id", F.concat(F.lit("# "), F.replace("text", F.lit("\n"), mark)).alias("text"))
     return chunking.chunk_text(rows, headings=True).select("doc_id", "ordinal", "heading")
 
 
@@ -95,7 +95,7 @@ def _paged(i):
     """Line ends turned into form feeds by rule, some doubled (an empty page) and some at the end."""
     d = F.col("doc_id")
     feed = F.when(d % 2 == 0, "\f").otherwise("\f\f")
-    return i.table("documents").select("doc_id", F.concat(F.replace("text", F.lit("\n"), feed), F.when(d % 3 == 0, "\f").otherwise("")).alias("text"))
+    return i.texts().select("doc_id", F.concat(F.replace("text", F.lit("\n"), feed), F.when(d % 3 == 0, "\f").otherwise("")).alias("text"))
 
 
 @query("chunk_pages", rf"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sourcelight.functions.text import citation_uri, mime_type, words
 from sourcelight.operators.catalog import current_chunks
 from sourcelight.operators.chunking import chunk_text
+from sourcelight.sources.files import spread
 
 CHUNK_KEY = 1_000_000  # more passages than a 64 MiB text can have
 NOW_SQL = "TIMESTAMP '2024-07-01 00:00:00'"
@@ -32,12 +33,16 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def library(self) -> DataFrame:
-        """One source with one version per document."""
+    def texts(self) -> DataFrame:
+        """The documents, spread over the cores where the files alone would give too few tasks."""
+        return spread(self.table("documents"))
+
+    def library(self, texts: bool = False) -> DataFrame:
+        """One source with one version per document. ``texts``: spread for work on the texts."""
         d = F.col("doc_id")
         start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
         day = lambda n: start + F.make_dt_interval((d % n).cast("int"))
-        return self.table("documents").select(
+        return (self.texts() if texts else self.table("documents")).select(
             d.alias("source_id"), d.alias("version_id"), d.alias("current_version_id"),
             F.concat("source", F.lit("/"), "lang", F.lit("-"), d.cast("string"), F.lit(".txt")).alias("display_name"),
             F.concat(F.lit("file:///"), "source", F.lit("/"), d.cast("string")).alias("canonical_uri"),
@@ -58,7 +63,7 @@ class Inputs:
 
     def chunks(self) -> DataFrame:
         """Passages of every document."""
-        rows = chunk_text(self.library().select("source_id", "version_id", "text"))
+        rows = chunk_text(self.library(texts=True).select("source_id", "version_id", "text"))
         return rows.withColumn("chunk_id", F.col("version_id") * CHUNK_KEY + F.col("ordinal")).withColumn("heading", F.lit(None).cast("string"))
 
     def current(self) -> DataFrame:

@@ -15,17 +15,17 @@ from sourcelight.plans.registry import query
     FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}')) AS s FROM documents)""")
 def _(i):
     s = token_set("text")
-    return i.table("documents").select("doc_id", F.size(s).cast("bigint").alias("tokens"), F.array_join(F.array_sort(s), " ").alias("token_list"))
+    return i.texts().select("doc_id", F.size(s).cast("bigint").alias("tokens"), F.array_join(F.array_sort(s), " ").alias("token_list"))
 
 
 @query("normalized_tokens", r"SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]{2,}'), ' ') AS normalized FROM documents")
 def _(i):
-    return i.table("documents").select("doc_id", normalized_tokens("text").alias("normalized"))
+    return i.texts().select("doc_id", normalized_tokens("text").alias("normalized"))
 
 
 @query("build_postings", "SELECT term, field, chunk_id, version_id, tf, len FROM postings", "postings")
 def _(i):
-    return lexical.build_postings(i.current())
+    return lexical.postings(lexical.build_index(i.current()))
 
 
 @query("replace_version_postings", """
@@ -34,20 +34,20 @@ def _(i):
     # Reindex the versions of web pages into the full index: the result is the full index again.
     chunks = i.current()
     web = chunks.join(i.sources().filter("kind = 'web_page'").select("source_id"), "source_id", "left_semi")
-    renewed = lexical.replace_version_postings(lexical.build_postings(chunks), web)
+    renewed = lexical.postings(lexical.replace_versions(lexical.build_index(chunks), web))
     return renewed.groupBy("field").agg(
         F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("words"), F.countDistinct("term").alias("terms")
     )
 
 
 @query("index_freshness", """
-    SELECT (SELECT count(DISTINCT chunk_id) FROM postings WHERE chunk_id IN (SELECT chunk_id FROM current WHERE version_id % 9 <> 8)) AS indexed,
-           (SELECT count(*) FROM current) AS expected, true AS stale""", "postings", "current")
+    SELECT (SELECT count(*) FROM current WHERE version_id % 9 <> 8) AS indexed,
+           (SELECT count(*) FROM current) AS expected, true AS stale""", "current")
 def _(i):
     # An index that lacks the web pages is stale.
     chunks = i.current()
     local = chunks.join(i.sources().filter("kind = 'local_file'").select("source_id"), "source_id", "left_semi")
-    return lexical.index_freshness(lexical.build_postings(local), chunks)
+    return lexical.index_freshness(lexical.build_index(local), chunks)
 
 
 LEX_SQL = """
@@ -170,8 +170,7 @@ def _(i):
 
 
 def _lists(i):
-    index = lexical.build_index(i.current())
-    lex = lexical.lexical_scores(i.queries(), index, 50)
+    lex = lexical.lexical_scores(i.queries(), lexical.index_for(i.queries(), i.current()), 50)
     vec = vector.vector_topk(i.query_vectors().select("query_id", "vector"), i.vectors(), 50)
     return lex, vec
 
@@ -222,7 +221,7 @@ def _(i):
       SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]{{2,}}')), lambda t: NOT list_contains({STOPS}, t)) AS t FROM documents)""")
 def _(i):
     t = meaningful_terms("text")
-    return i.table("documents").select("doc_id", F.size(t).cast("bigint").alias("terms"), F.array_join(F.array_sort(t), " ").alias("term_list"))
+    return i.texts().select("doc_id", F.size(t).cast("bigint").alias("terms"), F.array_join(F.array_sort(t), " ").alias("term_list"))
 
 
 @query("select_evidence", r"""
@@ -296,4 +295,4 @@ def _(i):
       LATERAL (SELECT strlen(text[1 : c]) AS k)""")
 def _(i):
     cut = truncate_utf8("text", 1001)
-    return i.table("documents").select("doc_id", F.octet_length(cut).cast("bigint").alias("kept_bytes"), F.md5(cut).alias("kept_md5"))
+    return i.texts().select("doc_id", F.octet_length(cut).cast("bigint").alias("kept_bytes"), F.md5(cut).alias("kept_md5"))

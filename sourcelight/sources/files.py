@@ -16,6 +16,16 @@ BINARY_FILE = T.StructType([
 ])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Shuffle a table that has fewer input splits than there are cores; leave any other as it is.
+
+    A large table has many splits and is read in place. A small one in a single file would keep all work on
+    its texts in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
     """Every regular file below ``root`` with its bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -50,22 +60,18 @@ def write_table(df: DataFrame, path: str, partition: str | None = None) -> None:
     writer.parquet(path)
 
 
-def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int = 256) -> None:
-    """Store an index for repeated searches.
+INDEX_SCHEMA = "term string, field string, chunk_id {0}, version_id {1}, tf bigint, len bigint"
 
-    Postings are split by a hash of (word, passage) so that a hot word fills many files, and sorted by word
-    inside each file so that a search for a few words skips most row groups by their min/max statistics.
-    """
-    salted = postings.repartition(buckets, "term", F.pmod(F.xxhash64("chunk_id"), F.lit(16)))
-    salted.sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/lengths")
 
+def write_index(index: DataFrame, path: str, files: int | None = None) -> None:
+    """Store a search index for repeated use.
+
+    Rows are placed by passage, so a frequent word fills no file of its own, and sorted by word inside each
+    file, so a search for a few words skips most row groups by their minimum and maximum.
+    """
+    placed = index.repartition("chunk_id") if files is None else index.repartition(files, "chunk_id")
+    placed.sortWithinPartitions("term", "field").write.mode("overwrite").option("parquet.block.size", 16 * 1024 * 1024).parquet(path)
 
-def read_index(spark: SparkSession, path: str):
-    from sourcelight.operators.lexical import LexicalIndex
 
-    return LexicalIndex(
-        spark.read.schema("term string, field string, chunk_id bigint, version_id bigint, tf bigint, len bigint")
-        .parquet(f"{path}/postings"),
-        spark.read.parquet(f"{path}/lengths"),
-    )
+def read_index(spark: SparkSession, path: str, key: str = "bigint", version: str = "bigint") -> DataFrame:
+    return spark.read.schema(INDEX_SCHEMA.format(key, version)).parquet(path)
