@@ -146,5 +146,5 @@ def test_path_in_root(spark):
 
 
 def test_word_lists():
-    assert len(K.STOP_WORDS) == 46 or len(K.STOP_WORDS) == len(set(K.STOP_WORDS))
+    assert len(K.STOP_WORDS) == len(set(K.STOP_WORDS))
     assert len(K.DIRECT_PREDICATES) == 12
