@@ -315,6 +315,7 @@ def extract_claims(
     read, proposals = parse_proposals(replies)
     batches = topics.join(read.filter("ok").select("batch_id"), "batch_id", "left_semi").withColumn("topic", strip_ws("topic"))
     reasons, drafts, items = claims_from_proposals(batches, proposals, evidence, predicates)
+    drafts, items = durable(drafts), durable(items)  # a few rows per topic, read several times below
     unread = read.filter("not ok").select("batch_id", F.lit("invalid_extraction").alias("reason"))
     claims, stored, rejected = record_claims(drafts.drop("batch_id"), items.drop("batch_id"), chunks, sources, predicates, scheme)
     return claims, stored, rejected, reasons.unionByName(unread)

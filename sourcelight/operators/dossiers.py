@@ -44,16 +44,19 @@ def score_dossier(
     """
     places = chunks.select("chunk_id", "source_id")
     live = sources.filter("state = 'active'").select("source_id", "authority_tier", "last_checked_at")
-    rows = (
-        claims.select("claim_id", "topic_id", "status", "inferred").join(claim_evidence.select("claim_id", "chunk_id"), "claim_id")
-        .join(places, "chunk_id").join(live, "source_id")
+    flags = [F.bool_or("disputed").alias("disputed"), F.bool_or("inferred").alias("inferred")]
+    # Counted per passage, then per source, before each join: a passage or source that a third of all
+    # evidence cites is one row per topic by then.
+    per_chunk = (
+        claims.select("claim_id", "topic_id", (F.col("status") == "disputed").alias("disputed"), "inferred")
+        .join(claim_evidence.select("claim_id", "chunk_id"), "claim_id")
+        .groupBy("topic_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), *flags)
     )
-    per_source = rows.groupBy("topic_id", "source_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.greatest(5 - F.col("authority_tier"), F.lit(0)) / 4.0).alias("authority"),
-        F.sum(is_fresh(F.col("last_checked_at"), now).cast("bigint")).alias("fresh"),
-        F.bool_or(F.col("status") == "disputed").alias("disputed"),
-        F.bool_or("inferred").alias("inferred"),
+    counted = per_chunk.join(places, "chunk_id").groupBy("topic_id", "source_id").agg(F.sum("n").alias("n"), *flags)
+    per_source = counted.join(live, "source_id").select(
+        "topic_id", "n", "disputed", "inferred",
+        (F.col("n") * F.greatest(5 - F.col("authority_tier"), F.lit(0)) / 4.0).alias("authority"),
+        F.when(is_fresh(F.col("last_checked_at"), now), F.col("n")).otherwise(0).alias("fresh"),
     )
     sums = per_source.groupBy("topic_id").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("source_count"), F.sum("authority").alias("authority"),

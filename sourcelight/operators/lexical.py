@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from sourcelight import constants as K
 from sourcelight.functions.text import index_tokens, is_blank, let, normalized_tokens
-from sourcelight.session import durable
+from sourcelight.session import stored
 
 FIELDS = ["display_name", "heading", "body"]
 SCORE_DIGITS = 4
@@ -91,11 +91,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _matched(index: DataFrame, terms: DataFrame) -> tuple[DataFrame, bool]:
-    """Index rows of the query words, placed by passage; and whether the query words fit every task.
-
-    With all words of a passage in one partition, scoring needs no further shuffle: a word that occurs in a
-    third of all passages is spread over all tasks, and (query, passage) pairs are never sent.
-    """
+    """Index rows of the query words, and whether the query words fit every task."""
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     few = counts.limit(PUSHED_TERMS + 1).collect()
     if len(few) <= PUSHED_TERMS:
@@ -105,7 +101,7 @@ def _matched(index: DataFrame, terms: DataFrame) -> tuple[DataFrame, bool]:
         small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
         wanted = counts.select("term").unionByName(counts.limit(1).select(F.lit(LENGTH_TERM).alias("term")))
         rows = index.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-    return rows.repartition("chunk_id"), small
+    return rows, small
 
 
 def _weights(terms: DataFrame, matched: DataFrame) -> DataFrame:
@@ -161,6 +157,9 @@ def lexical_scores(queries: DataFrame, index: DataFrame, k: int, hot_postings: i
     """
     terms = query_terms(queries)
     matched, small = _matched(index, terms)
+    # With all words of a passage in one partition, scoring needs no further shuffle: a word that occurs in a
+    # third of all passages is spread over all tasks, and (query, passage) pairs are never sent.
+    matched = matched.repartition("chunk_id")
     weights = _weights(terms, matched)
     if hot_postings is None:
         return top_per_query(_score(F.broadcast(weights) if small else weights, matched), k)
@@ -208,7 +207,7 @@ def lexical_search(
 
 def index_for(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Index of the words in ``queries`` only, written once, as a search reads it more than once."""
-    return durable(_matched(build_index(chunks), query_terms(queries))[0])
+    return stored(_matched(build_index(chunks), query_terms(queries))[0])
 
 
 _GRAM = 4

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sourcelight.functions.text import citation_uri, mime_type, words
 from sourcelight.operators.catalog import current_chunks
 from sourcelight.operators.chunking import chunk_text
+from sourcelight.session import prepare
 from sourcelight.sources.files import spread
 
 CHUNK_KEY = 1_000_000  # more passages than a 64 MiB text can have
@@ -28,7 +29,7 @@ def now():
 
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir = prepare(spark), sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -1,0 +1,66 @@
+"""Table schemas of the data model. Nothing is inferred from data.
+
+Keys are strings here; every operator also takes integer keys.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+_S, _L, _D, _B, _TS = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
+
+
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+def _list(kind: T.DataType) -> T.ArrayType:
+    return T.ArrayType(kind)
+
+
+OBJECTS = _table(sha256=_S, uncompressed_length=_L, mime_type=_S, compression_class=_S, compression_level=_L, reference_count=_L, payload=T.BinaryType())
+SOURCES = _table(
+    source_id=_S, kind=_S, canonical_uri=_S, display_name=_S, approval_scope=_S, current_version_id=_S, refresh_policy=_S,
+    authority_tier=_L, created_at=_TS, updated_at=_TS, last_checked_at=_TS, state=_S, watch_paused=_B,
+)
+SOURCE_VERSIONS = _table(
+    version_id=_S, source_id=_S, original_sha256=_S, extracted_sha256=_S, mime_type=_S, byte_size=_L, extraction_method=_S,
+    retrieved_at=_TS, superseded_version_id=_S, processing_state=_S, reason=_S,
+)
+COORDINATES = _table(page=_L, line_start=_L, line_end=_L, ocr=_B)
+CHUNKS = _table(
+    chunk_id=_S, source_id=_S, version_id=_S, ordinal=_L, heading=_S, body=_S, char_start=_L, char_end=_L, byte_start=_L, byte_end=_L,
+    line_start=_L, line_end=_L, token_count=_L, coordinates=COORDINATES, embedding_identity=_S,
+)
+POSTINGS = _table(term=_S, field=_S, chunk_id=_S, version_id=_S, tf=_L, len=_L)
+EMBEDDINGS = _table(chunk_id=_S, version_id=_S, embedding_identity=_S, vector=_list(T.FloatType()))
+HITS = _table(
+    query_id=_S, rank=_L, score=_D, citation_uri=_S, source_id=_S, version_id=_S, chunk_id=_S, ordinal=_L, display_name=_S, heading=_S,
+    coordinates=COORDINATES, retrieved_at=_S, passage=_S,
+)
+ANSWER_CLAIM = _table(statement=_S, support=_S, evidence=_list(_L), citations=_list(_S))
+ANSWERS = _table(
+    question_id=_S, schema_version=_L, summary=_S, summary_citations=_list(_S), claims=_list(ANSWER_CLAIM), warnings=_list(_S),
+    unresolved_gaps=_list(_S), reason=_S,
+)
+TOPICS = _table(
+    topic_id=_S, label=_S, questions=_list(_S), coverage_score=_D, authority_score=_D, independence_score=_D, freshness_score=_D,
+    freshness_status=_S, unresolved_question_score=_D, last_consolidated_at=_TS,
+)
+CLAIM_DRAFTS = _table(
+    claim_id=_L, schema_version=_L, topic=_S, subject=_S, predicate=_S, object=_S, subject_aliases=_list(_S), object_aliases=_list(_S), inferred=_B,
+)
+CLAIMS = _table(claim_id=_L, topic_id=_S, subject=_S, predicate=_S, object=_S, status=_S, confidence=_D, inferred=_B, first_seen_at=_TS, last_verified_at=_TS)
+CLAIM_EVIDENCE = _table(claim_id=_L, chunk_id=_S, relationship=_S)
+ENTITIES = _table(entity_id=_L, canonical_name=_S)
+ENTITY_ALIASES = _table(entity_id=_L, alias=_S, normalized_alias=_S)
+ENTITY_RELATIONSHIPS = _table(claim_id=_L, subject_id=_L, predicate=_S, object_id=_L)
+REFRESH_SCHEDULE = _table(source_id=_S, next_due_at=_TS, state=_S, attempts=_L, last_error=_S, updated_at=_TS)
+CONVERSATIONS = _table(conversation_id=_S, title=_S, created_at=_TS, updated_at=_TS)
+MESSAGES = _table(
+    conversation_id=_S, ordinal=_L, role=_S, content_sha256=_S, model=_S, citations=_list(_S), task_id=_S, replaces_message_id=_S, created_at=_TS,
+)
+TASK_EVENTS = _table(
+    task_id=_S, parent_id=_S, sequence=_L, timestamp=_TS, state=_S, phase_name=_S, progress=_D, activity=_S, error_code=_S, recoverable=_B,
+)
+SEARCH_RESULTS = _table(request_id=_S, query_place=_L, result_place=_L, url=_S, title=_S, snippet=_S, engine=_S, published_at=_S)
