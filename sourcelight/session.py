@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 
@@ -12,23 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-_PREPARED = "spark.sourcelight.prepared"
 # Recording the Python call site of each column expression costs several calls to the JVM apiece, and plans
 # here have hundreds of expressions. The setting is static, so a session has to start with it.
 _ORIGINS = "spark.python.sql.dataFrameDebugging.enabled"
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors, whose Python workers need it; cheap when called again."""
-    if spark.conf.get(_PREPARED, None) != spark.sparkContext.applicationId:
-        package = os.path.dirname(os.path.abspath(__file__))
-        target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "sourcelight")
-        archive = shutil.make_archive(target, "zip", os.path.dirname(package), os.path.basename(package))
-        spark.sparkContext.addPyFile(archive)
-        spark.conf.set(_PREPARED, spark.sparkContext.applicationId)
-    return spark
-
-
 def local_session(cpus: int | str = "*", app: str = "sourcelight", **extra: str) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
     builder = (
@@ -46,7 +32,7 @@ def local_session(cpus: int | str = "*", app: str = "sourcelight", **extra: str)
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return prepare(spark)
+    return spark
 
 
 def _shared_folder(spark: SparkSession) -> str:

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from sourcelight.session import prepare
 
 
 def task_state_stream(events: DataFrame) -> DataFrame:
@@ -41,7 +40,6 @@ class _Violations(StatefulProcessor):
 
 def task_violation_stream(events: DataFrame, key_type: str = "bigint") -> DataFrame:
     """Events whose sequence is not above the largest one seen for their task. ``arrival`` orders a batch."""
-    prepare(events.sparkSession)
     return events.select("task_id", "sequence", "arrival").groupBy("task_id").transformWithStateInPandas(
         _Violations(), f"task_id {key_type}, sequence bigint, previous_sequence bigint", "Append", "None"
     )

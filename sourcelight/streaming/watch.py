@@ -15,7 +15,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from sourcelight import constants as K
 from sourcelight.operators.ordered import ordered_scan, sliced
-from sourcelight.session import prepare
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -63,7 +62,6 @@ def stable_change_stream(observations: DataFrame, key_type: str = "bigint") -> D
 
     ``observations``: path_key, fingerprint (NULL when the file is gone), observed_us, observation_id.
     """
-    prepare(observations.sparkSession)
     return observations.groupBy("path_key").transformWithStateInPandas(
         _StableChange(), f"path_key {key_type}, fingerprint string, first_seen_us bigint, ready_us bigint", "Append", "None"
     )
@@ -118,14 +116,12 @@ def retry_cooldown_stream(attempts: DataFrame, key_type: str = "bigint") -> Data
 
     ``attempts``: path_key, observation_id, observed_us, ok.
     """
-    prepare(attempts.sparkSession)
     return attempts.groupBy("path_key").transformWithStateInPandas(_Cooldown(), _ATTEMPTS.format(key_type), "Append", "None")
 
 
 def retry_cooldown(attempts: DataFrame, key_type: str = "bigint") -> DataFrame:
     """Batch twin. A pause of 30 s ends any cooldown, so stretches without one are independent: a busy key
     is split into as many groups as it has pauses, and only attempts close in time share a task."""
-    prepare(attempts.sparkSession)
     order = ["observed_us", "observation_id"]
     seen = ordered_scan(sliced(attempts, order), ["path_key"], order, lags={"__prev": "observed_us"})
     fresh = F.col("__prev").isNull() | (F.col("observed_us") - F.col("__prev") >= K.COOLDOWN_MICROS)
