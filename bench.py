@@ -20,7 +20,7 @@ from sourcelight.operators import lexical  # noqa: E402
 from sourcelight.plans import registry  # noqa: E402
 from sourcelight.plans.inputs import Inputs  # noqa: E402
 from sourcelight.session import local_session, scratch_dir  # noqa: E402
-from sourcelight.sources.files import read_index, write_index  # noqa: E402
+from sourcelight.sources.files import read_index, read_lengths, write_index  # noqa: E402
 
 HEADLINE = [
     "chunk_text", "content_objects", "version_chain", "lexical_search", "vector_topk", "rrf_fuse", "rerank", "hybrid_search",
@@ -57,10 +57,10 @@ def main() -> None:
     folder = scratch_dir(spark)
     chunks = inputs.current()
     times["index_build"] = timed(lambda: write_index(lexical.build_index(chunks), folder, files=int(cpus)))
-    index = read_index(spark, folder)
+    index, lengths = read_index(spark, folder), read_lengths(spark, folder)
     asked = inputs.queries()
-    times["index_search_batch"] = timed(lambda: drain(lexical.lexical_scores(asked, index, 50)))
-    singles = [timed(lambda q=q: drain(lexical.lexical_scores(asked.filter(F.col("query_id") == q), index, 50))) for q in range(10)]
+    times["index_search_batch"] = timed(lambda: drain(lexical.lexical_scores(asked, index, 50, lengths=lengths)))
+    singles = [timed(lambda q=q: drain(lexical.lexical_scores(asked.filter(F.col("query_id") == q), index, 50, lengths=lengths))) for q in range(10)]
     times["index_search_single_p50"] = round(statistics.median(singles), 3)
 
     n_chunks, n_queries = chunks.count(), asked.count()

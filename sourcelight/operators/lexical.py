@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -90,27 +92,32 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def _matched(index: DataFrame, terms: DataFrame) -> tuple[DataFrame, bool]:
-    """Index rows of the query words, and whether the query words fit every task."""
+@dataclass(frozen=True)
+class _Matched:
+    rows: DataFrame  # postings of the query words
+    small: bool  # the query words fit every task
+    apart: bool  # hardly any word is shared by several queries
+
+
+def _matched(index: DataFrame, terms: DataFrame) -> _Matched:
+    """Postings of the query words. A short list of words is pushed down to the scan of a stored index."""
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     few = counts.limit(PUSHED_TERMS + 1).collect()
     if len(few) <= PUSHED_TERMS:
-        small = sum(r["n"] for r in few) <= BROADCAST_TERMS
-        rows = index.filter(F.col("term").isin([*(r["term"] for r in few), LENGTH_TERM]))
-    else:
-        small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        wanted = counts.select("term").unionByName(counts.limit(1).select(F.lit(LENGTH_TERM).alias("term")))
-        rows = index.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
-    return rows, small
+        total, most = sum(r["n"] for r in few), max((r["n"] for r in few), default=0)
+        return _Matched(index.filter(F.col("term").isin([r["term"] for r in few])), total <= BROADCAST_TERMS, most <= 2)
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    wanted = counts.select("term")
+    return _Matched(postings(index).join(F.broadcast(wanted) if small else wanted, "term", "left_semi"), small, False)
 
 
-def _weights(terms: DataFrame, matched: DataFrame) -> DataFrame:
+def _weights(terms: DataFrame, matched: DataFrame, lengths: DataFrame) -> DataFrame:
     """Per (query, word, field): document frequency, mean field length and the factor in front of BM25's
     term-frequency part. As many rows as the queries have words, times three."""
-    df = postings(matched).groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+    df = matched.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
     n, d = F.col("chunks"), F.col("df")
     idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
-    stats = df.join(F.broadcast(field_lengths(matched)), "field").select(  # one row per field
+    stats = df.join(F.broadcast(lengths), "field").select(  # one row per field
         "term", "field", "df", "avg_len", (idf * (1 + K.BM25_K1)).alias("idf_weight")
     )
     return terms.join(stats, "term").withColumn("weight", F.col("qtf") * F.col("idf_weight"))
@@ -122,7 +129,7 @@ def _impact() -> Column:
 
 
 def _score(weights: DataFrame, matched: DataFrame) -> DataFrame:
-    joined = postings(matched).join(weights, ["term", "field"])
+    joined = matched.join(weights, ["term", "field"])
     return joined.groupBy("query_id", "chunk_id").agg(
         F.first("version_id").alias("version_id"), F.sum(_impact()).alias("score")
     )
@@ -143,9 +150,13 @@ def top_per_query(scored: DataFrame, k: int, score: str = "score", id_col: str =
     )
 
 
-def lexical_scores(queries: DataFrame, index: DataFrame, k: int, hot_postings: int | None = None) -> DataFrame:
+def lexical_scores(
+    queries: DataFrame, index: DataFrame, k: int, hot_postings: int | None = None, lengths: DataFrame | None = None
+) -> DataFrame:
     """Top ``k`` passages per query: query_id, chunk_id, version_id, score, rank.
 
+    ``lengths`` are the stored field lengths of the index; without them they are summed from it.
+
     With ``hot_postings`` set, words with more postings than that do not open candidates by themselves:
 
     1. score with the remaining (rare) words and take each query's k-th best score as a floor;
@@ -156,13 +167,14 @@ def lexical_scores(queries: DataFrame, index: DataFrame, k: int, hot_postings: i
     The answer is the same, because a hot word adds at least 0 and less than its weight.
     """
     terms = query_terms(queries)
-    matched, small = _matched(index, terms)
+    found = _matched(index, terms)
+    weights = _weights(terms, found.rows, field_lengths(index) if lengths is None else lengths)
     # With all words of a passage in one partition, scoring needs no further shuffle: a word that occurs in a
-    # third of all passages is spread over all tasks, and (query, passage) pairs are never sent.
-    matched = matched.repartition("chunk_id")
-    weights = _weights(terms, matched)
+    # third of all passages is spread over all tasks, and (query, passage) pairs are never sent. Where queries
+    # share no words there are no more pairs than postings, and partial sums are smaller than both.
+    matched = found.rows if found.apart else found.rows.repartition("chunk_id")
     if hot_postings is None:
-        return top_per_query(_score(F.broadcast(weights) if small else weights, matched), k)
+        return top_per_query(_score(F.broadcast(weights) if found.small else weights, matched), k)
 
     hot = F.col("df") > hot_postings
     rare = _score(weights.filter(~hot), matched)
@@ -177,7 +189,7 @@ def lexical_scores(queries: DataFrame, index: DataFrame, k: int, hot_postings: i
     survivors = survivors.select("query_id", "chunk_id", "version_id", "score")
     wanted = survivors.select("query_id", "chunk_id").join(weights.filter(hot), "query_id")
     extra = (
-        wanted.join(postings(matched).drop("version_id"), ["term", "field", "chunk_id"])
+        wanted.join(matched.drop("version_id"), ["term", "field", "chunk_id"])
         .groupBy("query_id", "chunk_id").agg(F.sum(_impact()).alias("extra"))
     )
     pruned = survivors.join(extra, ["query_id", "chunk_id"], "left").select(
@@ -207,7 +219,11 @@ def lexical_search(
 
 def index_for(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Index of the words in ``queries`` only, written once, as a search reads it more than once."""
-    return stored(_matched(build_index(chunks), query_terms(queries))[0])
+    terms = query_terms(queries)
+    marker = terms.limit(1).select(F.lit(LENGTH_TERM).alias("term"))
+    words = terms.select("term").distinct().unionByName(marker)
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return stored(build_index(chunks).join(F.broadcast(words) if small else words, "term", "left_semi").select(*COLUMNS))
 
 
 _GRAM = 4

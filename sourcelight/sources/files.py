@@ -69,9 +69,19 @@ def write_index(index: DataFrame, path: str, files: int | None = None) -> None:
     Rows are placed by passage, so a frequent word fills no file of its own, and sorted by word inside each
     file, so a search for a few words skips most row groups by their minimum and maximum.
     """
+    from sourcelight.operators.lexical import field_lengths
+
     placed = index.repartition("chunk_id") if files is None else index.repartition(files, "chunk_id")
-    placed.sortWithinPartitions("term", "field").write.mode("overwrite").option("parquet.block.size", 16 * 1024 * 1024).parquet(path)
+    ordered = placed.sortWithinPartitions("term", "field")
+    ordered.write.mode("overwrite").option("parquet.block.size", 16 * 1024 * 1024).parquet(f"{path}/rows")
+    stored = index.sparkSession.read.schema(index.schema).parquet(f"{path}/rows")
+    field_lengths(stored).coalesce(1).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
 def read_index(spark: SparkSession, path: str, key: str = "bigint", version: str = "bigint") -> DataFrame:
-    return spark.read.schema(INDEX_SCHEMA.format(key, version)).parquet(path)
+    return spark.read.schema(INDEX_SCHEMA.format(key, version)).parquet(f"{path}/rows")
+
+
+def read_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """Field lengths of a stored index: three rows."""
+    return spark.read.schema("field string, chunks bigint, avg_len double").parquet(f"{path}/lengths")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sourcelight.operators import fusion, lexical, vector
 from sourcelight.operators.ordered import ordered_scan
 from sourcelight.session import scratch_dir
-from sourcelight.sources.files import read_index, write_index
+from sourcelight.sources.files import read_index, read_lengths, write_index
 
 CHUNK = "chunk_id bigint, source_id bigint, version_id bigint, ordinal bigint, display_name string, heading string, body string"
 
@@ -70,6 +70,8 @@ def test_stored_index_and_version_replacement(spark):
     queries = spark.createDataFrame([(1, "w1 hot w5")], "query_id bigint, query string")
     fresh = [tuple(r) for r in lexical.lexical_scores(queries, lexical.build_index(chunks), 9).orderBy("rank").collect()]
     assert [tuple(r) for r in lexical.lexical_scores(queries, index, 9).orderBy("rank").collect()] == fresh
+    lengths = read_lengths(spark, path)
+    assert [tuple(r) for r in lexical.lexical_scores(queries, index, 9, lengths=lengths).orderBy("rank").collect()] == fresh
     assert not lexical.index_freshness(index, chunks).first().stale
     changed = chunks.filter("version_id = 0").withColumn("body", F.lit("w1 only"))
     renewed = lexical.replace_versions(index, changed)
