@@ -131,13 +131,21 @@ def chunk_text(df: DataFrame, text: str = "text", headings: bool = False) -> Dat
 
 
 def chunk_pages(df: DataFrame, text: str = "text") -> DataFrame:
-    """Passages of each form-feed separated page, page numbers from 1 (empty pages count)."""
+    """Passages of each form-feed separated page, page numbers from 1 (empty pages count).
+
+    ``ordinal`` runs on over the pages of a text, ``page_ordinal`` starts anew on each. Still one row, no shuffle.
+    """
     kept = [c for c in df.columns if c != text]
-    pages = df.select(*kept, F.posexplode(F.split(F.col(text), "\f")).alias("__p", "__text"))
-    pages = pages.select(*kept, (F.col("__p") + 1).cast("bigint").alias("page"), "__text")
-    rows = chunk_text(pages, "__text")
-    # The ordinal runs on over the pages of one text, which is a bounded group (64 MiB of text at most).
-    return rows.withColumnRenamed("ordinal", "page_ordinal")
+    per_page = F.transform(
+        F.split(F.col(text), "\f"),
+        lambda page, i: F.transform(chunk_array(page), lambda c: F.struct((i + 1).cast("bigint").alias("page"), c.alias("c"))),
+    )
+    rows = df.select(*kept, F.posexplode(F.flatten(per_page)).alias("__pos", "__x"))
+    parts = ["body", "char_start", "char_end", "byte_start", "byte_end", "line_start", "line_end", "token_count"]
+    return rows.select(
+        *kept, F.col("__pos").cast("bigint").alias("ordinal"), "__x.page", F.col("__x.c.ordinal").alias("page_ordinal"),
+        *[F.col(f"__x.c.{c}").alias(c) for c in parts],
+    )
 
 
 def page_text_coverage(df: DataFrame, text: str = "text") -> DataFrame:

@@ -102,9 +102,9 @@ def _paged(i):
     WITH paged AS ({PAGED}), pages_of AS (SELECT doc_id, unnest(string_split(text, chr(12))) AS p, generate_subscripts(string_split(text, chr(12)), 1) AS page FROM paged),
     toks AS (SELECT doc_id, page, regexp_extract_all(p, '\S+\s*') AS t FROM pages_of),
     cut AS (SELECT *, unnest(range(CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= 500 THEN 1 ELSE 1 + CAST(ceil((len(t) - 500) / 425.0) AS BIGINT) END)) AS page_ordinal FROM toks)
-    SELECT doc_id, page, page_ordinal, md5(regexp_replace(array_to_string(t[page_ordinal * 425 + 1 : page_ordinal * 425 + 500], ''), '\s+$', '')) AS body_md5 FROM cut""")
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, page_ordinal) - 1 AS ordinal, page, page_ordinal, md5(regexp_replace(array_to_string(t[page_ordinal * 425 + 1 : page_ordinal * 425 + 500], ''), '\s+$', '')) AS body_md5 FROM cut""")
 def _(i):
-    return chunking.chunk_pages(_paged(i)).select("doc_id", "page", "page_ordinal", F.md5("body").alias("body_md5"))
+    return chunking.chunk_pages(_paged(i)).select("doc_id", "ordinal", "page", "page_ordinal", F.md5("body").alias("body_md5"))
 
 
 @query("page_text_coverage", rf"""

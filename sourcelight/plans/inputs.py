@@ -102,7 +102,6 @@ class Inputs:
         """A claim draft per document from the first words of its text."""
         d, w = F.col("doc_id"), F.col("w")
         word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
-        # words() is cut out of the first lines only by the planner's slice; the text is read once.
         base = self.table("documents").select("doc_id", F.slice(words("text"), 1, 6).alias("w"))
         alias = word(2)
         return base.select(
