@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sourcelight.llm.op1_tokens import op1_token_counts
+from sourcelight.llm.op4_mix import op4_mix_sources
 from sourcelight.llm.op5_decontaminate import op5_benchmark_decontamination
 from sourcelight.llm.op6_language import op6_language_id
 from sourcelight.llm.op7_html import op7_html_text
+from sourcelight.llm.op8_toxicity import op8_toxicity
+from sourcelight.llm.op10_lines import op10_line_dedup
 
-QUERIES = [op1_token_counts, op5_benchmark_decontamination, op6_language_id, op7_html_text]
+QUERIES = [op1_token_counts, op4_mix_sources, op5_benchmark_decontamination, op6_language_id, op7_html_text, op8_toxicity, op10_line_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
