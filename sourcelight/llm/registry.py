@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sourcelight.llm.op1_tokens import op1_token_counts
+from sourcelight.llm.op2_ngram_join import op2_ngram_jaccard
 from sourcelight.llm.op3_fingerprint import op3_fingerprints
 from sourcelight.llm.op4_mix import op4_mix_sources
 from sourcelight.llm.op5_decontaminate import op5_benchmark_decontamination
@@ -15,7 +16,7 @@ from sourcelight.llm.op7_html import op7_html_text
 from sourcelight.llm.op8_toxicity import op8_toxicity
 from sourcelight.llm.op10_lines import op10_line_dedup
 
-QUERIES = [op1_token_counts, op3_fingerprints, op4_mix_sources, op5_benchmark_decontamination, op6_language_id, op7_html_text, op8_toxicity, op10_line_dedup]
+QUERIES = [op1_token_counts, op2_ngram_jaccard, op3_fingerprints, op4_mix_sources, op5_benchmark_decontamination, op6_language_id, op7_html_text, op8_toxicity, op10_line_dedup]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
