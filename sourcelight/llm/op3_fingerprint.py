@@ -9,8 +9,6 @@ computed from the distribution, so that a draw costs a hash, two look-ups and a
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,38 +16,26 @@ from pyspark.sql.window import Window
 from sourcelight.llm import common
 
 SAMPLES = 64
-QUANTILES = 4096
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def gamma_quantiles(n: int = QUANTILES) -> list[float]:
-    """Midpoint quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by Newton steps."""
-    out, x = [], 0.01
-    for i in range(n):
-        p = (i + 0.5) / n
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x / 2, x - step)
-            if abs(step) < 1e-13 * x:
-                break
-        out.append(x)
-    return out
-
-
-def _constants(values: list[float]) -> Column:
-    """An array that the optimiser folds into one literal; a list of literals would be thousands of plan nodes."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
-
-
-def _draw(term: Column, log_weight: Column, number: int, r_table: Column, c_table: Column) -> Column:
-    """One draw for one weighted term: order in the upper bits, 32 bits that name (term, t) in the lower ones."""
-    h = F.xxhash64(term, F.lit(number))
-    mask = F.lit(QUANTILES - 1).cast("long")
-    r = F.get(r_table, h.bitwiseAND(mask).cast("int"))
-    log_c = F.get(c_table, F.shiftrightunsigned(h, 12).bitwiseAND(mask).cast("int"))
-    b = (F.shiftrightunsigned(h, 24).cast("double") + 0.5) / float(1 << 40)
-    t = F.floor(log_weight / r + b)
-    order = ((log_c - r * (t - b + 1) + 100) * float(1 << 24)).cast("long")
+def _uniform(h: Column, shift: int, bits: int) -> Column:
+    """A number inside (0, 1) from some bits of a hash."""
+    part = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    return (part + 0.5) / float(1 << bits)
+
+
+def _draw(term: Column, log_weight: Column, number: int) -> Column:
+    """One draw for one weighted term: order in the upper bits, 32 bits that name (term, t) in the lower ones.
+
+    A Gamma(2, 1) number is the sum of two exponential ones. A term that occurs once has t = 0, without a division.
+    """
+    h, g = F.xxhash64(term, F.lit(2 * number)), F.xxhash64(term, F.lit(2 * number + 1))
+    r = -F.log(_uniform(h, 0, 20) * _uniform(h, 20, 20))
+    c = -F.log(_uniform(g, 0, 31) * _uniform(g, 31, 31))
+    b = _uniform(h, 40, 24)
+    t = F.when(log_weight > 0, F.floor(log_weight / r + b)).otherwise(F.lit(0).cast("long"))
+    order = ((F.log(c) - r * (t - b + 1) + 100) * float(1 << 24)).cast("long")
     name = term.bitwiseXOR(t * F.lit(0x9E3779B1).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     return F.shiftleft(order, 32) + name
 
@@ -59,12 +45,10 @@ def signatures(df: DataFrame, keys: list[str], text_col: str, samples: int = SAM
 
     If the rows are already placed by some of the keys, nothing is shuffled.
     """
-    quantiles = gamma_quantiles()
-    r_table, c_table = _constants(quantiles), _constants([math.log(x) for x in quantiles])
     words = df.select(*keys, F.explode(F.split(text_col, _BLANKS)).alias("word")).filter("word <> ''")
     counts = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("w"))
     weighted = counts.select(*keys, "term", F.log(F.col("w").cast("double")).alias("lw"))
-    draws = [F.min(_draw(F.col("term"), F.col("lw"), j, r_table, c_table)).alias(f"d{j}") for j in range(samples)]
+    draws = [F.min(_draw(F.col("term"), F.col("lw"), j)).alias(f"d{j}") for j in range(samples)]
     least = weighted.groupBy(*keys).agg(*draws)
     return least.select(*keys, F.array(*[F.col(f"d{j}").bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int") for j in range(samples)]).alias("signature"))
 
