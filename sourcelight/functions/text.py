@@ -70,10 +70,9 @@ def normalized_tokens(c) -> Column:
 
 
 def index_tokens(c) -> Column:
-    """Every indexed word of a field; over-long words are left out."""
+    """Every word of a field, of any length, lower-cased."""
     found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(WORD + "++"), F.lit(0))
-    kept = F.filter(found, lambda t: F.octet_length(t) < K.MAX_INDEX_TOKEN_BYTES)
-    return F.transform(kept, lambda t: F.lower(t))
+    return F.transform(found, lambda t: F.lower(t))
 
 
 def meaningful_terms(c) -> Column:

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 
 def bounded_list(df: DataFrame, key: str, index: str, item: list[str], limit: int, name: str) -> DataFrame:
-    """Lists per key in ``index`` order (0-based). More than ``limit`` items are an error, never a cut.
+    """Lists per key in ``index`` order (0-based): ``key``, ``name``, ``{name}_over``.
 
-    An index beyond the limit stops the job where the row is read, before any list is built.
+    A key with more than ``limit`` items, or an index beyond the limit, has no list (null) and ``{name}_over`` set, so
+    that the caller can give a reason for it; other keys are not touched. Items beyond the limit are never gathered.
     """
-    message = F.lit(f"more than {limit} {name} for one key")
-    checked = F.when(F.col(index) >= limit, F.raise_error(message).cast("bigint")).otherwise(F.col(index))
-    guarded = df.withColumn(index, checked)
-    over = F.when(F.count(F.lit(1)) > limit, F.raise_error(message).cast("int"))
-    grouped = guarded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(index, *item))).alias(name), over.alias("__over"))
-    return grouped.filter(F.col("__over").isNull()).drop("__over")
+    within = F.when(F.col(index) < limit, F.struct(index, *item))
+    over = (F.count(F.lit(1)) > limit) | (F.max(index) >= limit)
+    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(within)).alias(name), over.alias(f"{name}_over"))
+    return grouped.withColumn(name, F.when(~F.col(f"{name}_over"), F.col(name)))

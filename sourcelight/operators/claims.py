@@ -293,11 +293,14 @@ def parse_proposals(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def extraction_prompts(topics: DataFrame, hits: DataFrame) -> DataFrame:
-    """Numbered passages (12 at most) of each topic as one prompt. ``hits``: batch_id, idx, passage."""
+    """Numbered passages (12 at most) of each topic as one prompt. ``hits``: batch_id, idx, passage.
+
+    A topic with more passages gets no prompt.
+    """
     grouped = bounded_list(hits.select("batch_id", "idx", "passage"), "batch_id", "idx", ["passage"], K.MAX_EXTRACTED_CLAIMS, "p")
     listed = F.array_join(F.transform("p", lambda x: F.concat(F.lit("["), x["idx"].cast("string"), F.lit("] "), x["passage"])), "\n\n")
     prompt = F.concat(F.lit("Topic: "), strip_ws("topic"), F.lit("\n\nRetained evidence:\n"), listed)
-    return topics.join(grouped, "batch_id").select(F.col("batch_id").alias("question_id"), prompt.alias("prompt"))
+    return topics.join(grouped.filter("not p_over"), "batch_id").select(F.col("batch_id").alias("question_id"), prompt.alias("prompt"))
 
 
 def extract_claims(
@@ -317,5 +320,8 @@ def extract_claims(
     reasons, drafts, items = claims_from_proposals(batches, proposals, evidence, predicates)
     drafts, items = durable(drafts), durable(items)  # a few rows per topic, read several times below
     unread = read.filter("not ok").select("batch_id", F.lit("invalid_extraction").alias("reason"))
+    many = hits.groupBy("batch_id").agg(F.max("idx").alias("m"), F.count(F.lit(1)).alias("n"))
+    many = many.filter((F.col("m") >= K.MAX_EXTRACTED_CLAIMS) | (F.col("n") > K.MAX_EXTRACTED_CLAIMS))
+    unread = unread.unionByName(many.join(topics, "batch_id", "left_semi").select("batch_id", F.lit("too_many_passages").alias("reason")))
     claims, stored, rejected = record_claims(drafts.drop("batch_id"), items.drop("batch_id"), chunks, sources, predicates, scheme)
     return claims, stored, rejected, reasons.unionByName(unread)

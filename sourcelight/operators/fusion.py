@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sourcelight import constants as K
 from sourcelight.functions.text import citation_uri, meaningful_terms, normalized_tokens, token_set
-from sourcelight.operators.bounded import bounded_list
 
 DIGITS = 6
 
@@ -50,7 +52,8 @@ def rerank(hits: DataFrame, limit: int = K.RERANK_OUTPUT, scheme: str = "evidenc
 
     The output ``score`` is 0.55 fused + 0.35 coverage + 0.10 phrase, each within 0..1.
     """
-    limit = min(limit, K.RERANK_OUTPUT)
+    if limit > K.RERANK_OUTPUT:
+        raise ValueError(f"limit is over {K.RERANK_OUTPUT}")
     per_query = Window.partitionBy("query_id")
     text_tokens, query_tokens = token_set("__text"), token_set("query")
     coverage = F.when(
@@ -117,41 +120,34 @@ def evidence_tokens() -> Column:
     return F.ceil(F.octet_length(evidence_json()) / 4).cast("bigint")
 
 
-def select_evidence(hits: DataFrame, candidates: int = K.CANDIDATES_PER_RETRIEVER) -> DataFrame:
+def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (query, rank, chunk, version, tokens) in the order of query and rank: the ranks that are chosen."""
+    query, seen, versions, taken, tokens = None, set(), {}, 0, 0
+    for batch in batches:
+        out: list[tuple] = []
+        for q, rank, chunk, version, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if q != query:
+                query, seen, versions, taken, tokens = q, set(), {}, 0, 0
+            if taken >= K.EVIDENCE_CHUNKS or chunk in seen:
+                continue
+            seen.add(chunk)
+            if versions.get(version, 0) < K.EVIDENCE_CHUNKS_PER_VERSION and tokens + size <= K.EVIDENCE_TOKENS:
+                out.append((q, rank, taken))
+                versions[version] = versions.get(version, 0) + 1
+                taken, tokens = taken + 1, tokens + size
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        kinds = [batch.schema.field(0).type, batch.schema.field(1).type, pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "rank", "idx"])
+
+
+def select_evidence(hits: DataFrame) -> DataFrame:
     """Choose evidence per query in rank order: at most 12, three per version, 1500 approximate tokens.
 
-    A hit that does not fit is skipped and later, smaller ones may still enter. The fold runs over light
-    (rank, chunk, version, tokens) tuples of the retriever's bounded result; passages are joined back.
-    ``candidates`` is the bound of that result, and a larger input is an error, not a cut.
+    A hit that does not fit is skipped and later, smaller ones may still enter. Any number of hits may come: light
+    (rank, chunk, version, tokens) rows stream through in rank order, and passages are joined back.
     """
-    tokens = evidence_tokens().alias("tokens")
-    light = hits.select("query_id", (F.col("rank") - 1).alias("place"), "rank", "chunk_id", "version_id", tokens)
-    groups = bounded_list(light, "query_id", "place", ["rank", "chunk_id", "version_id", "tokens"], candidates, "items")
-    id_type = hits.schema["chunk_id"].dataType.simpleString()
-    version_type = hits.schema["version_id"].dataType.simpleString()
-    zero = F.struct(
-        F.array().cast(f"array<{id_type}>").alias("seen"),
-        F.array().cast(f"array<{version_type}>").alias("versions"),
-        F.array().cast("array<bigint>").alias("ranks"),
-        F.lit(0).cast("bigint").alias("tokens"),
-    )
-
-    def step(acc: Column, hit: Column) -> Column:
-        full = F.size(acc["ranks"]) >= K.EVIDENCE_CHUNKS
-        repeated = F.array_contains(acc["seen"], hit["chunk_id"])
-        same_version = F.size(F.filter(acc["versions"], lambda v: v == hit["version_id"]))
-        fits = acc["tokens"] + hit["tokens"] <= K.EVIDENCE_TOKENS
-        open_to = ~full & ~repeated
-        take = open_to & (same_version < K.EVIDENCE_CHUNKS_PER_VERSION) & fits
-        return F.struct(
-            F.when(open_to, F.concat(acc["seen"], F.array(hit["chunk_id"]))).otherwise(acc["seen"]).alias("seen"),
-            F.when(take, F.concat(acc["versions"], F.array(hit["version_id"]))).otherwise(acc["versions"]).alias("versions"),
-            F.when(take, F.concat(acc["ranks"], F.array(hit["rank"]))).otherwise(acc["ranks"]).alias("ranks"),
-            F.when(take, acc["tokens"] + hit["tokens"]).otherwise(acc["tokens"]).alias("tokens"),
-        )
-
-    chosen = groups.select(
-        "query_id", F.posexplode(F.aggregate("items", zero, step, lambda acc: acc["ranks"])).alias("idx", "rank")
-    )
-    chosen = chosen.withColumn("idx", F.col("idx").cast("bigint"))
+    light = hits.filter("query_id is not null").select("query_id", "rank", "chunk_id", "version_id", evidence_tokens().alias("tokens"))
+    placed = light.repartition("query_id").sortWithinPartitions("query_id", "rank")
+    kind = hits.schema["query_id"].dataType.simpleString()
+    chosen = placed.mapInArrow(_chosen, f"query_id {kind}, rank {hits.schema['rank'].dataType.simpleString()}, idx bigint")
     return hits.withColumn("tokens", evidence_tokens()).join(chosen, ["query_id", "rank"])

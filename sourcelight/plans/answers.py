@@ -94,7 +94,7 @@ def echo_model(prompts: list[str]) -> list[str]:
 
 @query("run_model", """
     SELECT question_id, 'Read.' AS summary, CASE WHEN question_id % 7 = 0 THEN '' ELSE citation_uri END AS citations,
-           CASE WHEN question_id % 7 = 0 THEN 'unsupported model answer schema version' END AS reason FROM supplied WHERE idx = 0""", "supplied")
+           CASE WHEN question_id % 7 = 0 THEN 'unknown_indexed_schema' END AS reason FROM supplied WHERE idx = 0""", "supplied")
 def _(i):
     made = requests(i)
     checked = A.answer_questions(made, i.supplied(), echo_model)
@@ -112,7 +112,7 @@ def shown(df):
     )
 
 
-NOT_JSON = "answer is not valid JSON matching the answer schema"
+NOT_JSON = "unreadable_answer"
 
 
 @query("decode_answers", f"""
@@ -134,8 +134,8 @@ def _(i):
 
 URI = "'evidence://source/' || conv_id || '/version/' || turn || '#chunk-' || "
 BOUND = f"""
-    bound AS (SELECT *, CASE WHEN schema_version <> 1 THEN 'unsupported model answer schema version'
-                          WHEN list_max(se) >= given OR list_max(list_transform(cs, lambda c: c.e)) >= given THEN 'model referenced an evidence index outside the request' END AS why,
+    bound AS (SELECT *, CASE WHEN schema_version <> 1 THEN 'unknown_indexed_schema'
+                          WHEN list_max(se) >= given OR list_max(list_transform(cs, lambda c: c.e)) >= given THEN 'unknown_reference' END AS why,
                      list_transform(se, lambda x: {URI} x) AS sc FROM drafted)"""
 REFS = f"""array_to_string(list_transform(cs, lambda c: c.k || ':' || c.e || CASE WHEN why IS NULL THEN {URI} c.e ELSE '' END), '|')"""
 
@@ -155,7 +155,7 @@ FINAL = f"""
                      CASE WHEN len(cs) = 0 THEN [] WHEN why IS NULL THEN sc ELSE [] END AS fc,
                      CASE WHEN len(cs) = 0 THEN 'I do not have retained evidence that can answer this question.' ELSE summary END AS fs,
                      CASE WHEN len(cs) = 0 AND len(g) = 0 THEN ['The local model did not provide a supported answer.'] ELSE g END AS fg,
-                     coalesce(why, CASE WHEN len(list_filter(cs, lambda c: c.k = 'inference' AND NOT contains(lower(c.s), 'infer') AND trim(c.s, E' \\n') = '')) > 0 THEN 'invalid claim statement' END) AS why2 FROM bound)"""
+                     coalesce(why, CASE WHEN len(list_filter(cs, lambda c: c.k = 'inference' AND NOT contains(lower(c.s), 'infer') AND trim(c.s, E' \\n') = '')) > 0 THEN 'invalid_statement' END) AS why2 FROM bound)"""
 
 
 @query("finalize_answers", f"""
@@ -169,11 +169,11 @@ def _(i):
 @query("validate_answers", f"""
     WITH {FINAL}, stated AS (SELECT *, list_transform(st, lambda x: trim(x, E' \\n')) AS ts FROM final),
     faults AS (SELECT *, list_position(list_transform(ts, lambda x, n: x = '' OR strlen(st[n]) > 4096 OR list_position(ts, x) < n), true) AS bad_at FROM stated)
-    SELECT question_id, coalesce(why2, CASE WHEN strlen(fs) > 8192 OR trim(fs) = '' THEN 'invalid answer summary'
-        WHEN len(cs) > 32 THEN 'answer collection exceeds limit'
-        WHEN len(list_filter(list_concat(w, fg), lambda x: trim(x) = '')) > 0 THEN 'invalid answer warning or gap'
-        WHEN len(list_distinct(fc)) < len(fc) THEN 'answer contains duplicate citations'
-        WHEN bad_at IS NOT NULL THEN CASE WHEN ts[bad_at] = '' OR strlen(st[bad_at]) > 4096 THEN 'invalid claim statement' ELSE 'duplicate claim statement' END END) AS reason FROM faults""", "drafted")
+    SELECT question_id, coalesce(why2, CASE WHEN strlen(fs) > 8192 OR trim(fs) = '' THEN 'invalid_summary'
+        WHEN len(cs) > 32 THEN 'too_many_parts'
+        WHEN len(list_filter(list_concat(w, fg), lambda x: trim(x) = '')) > 0 THEN 'invalid_note'
+        WHEN len(list_distinct(fc)) < len(fc) THEN 'repeated_citation'
+        WHEN bad_at IS NOT NULL THEN CASE WHEN ts[bad_at] = '' OR strlen(st[bad_at]) > 4096 THEN 'invalid_statement' ELSE 'repeated_statement' END END) AS reason FROM faults""", "drafted")
 def _(i):
     rows = A.validate_answers(A.finalize_answers(A.materialize_answers(i.drafted(), i.supplied())))
     return rows.select("question_id", "reason")

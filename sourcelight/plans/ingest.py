@@ -22,20 +22,21 @@ def _(i):
 
 
 @query("path_in_root", """
-    SELECT path, CASE WHEN NOT (path = '/d/src1' OR starts_with(path, '/d/src1/')) THEN 'outside_root' END AS reason
-    FROM (SELECT '/d/' || source || CASE WHEN doc_id % 5 = 0 THEN '0' ELSE '' END || '/' || doc_id AS path FROM documents)""")
+    SELECT path, CASE WHEN list_has_any(string_split(path, '/'), ['.', '..']) OR NOT (path = '/d/src1' OR starts_with(path, '/d/src1/')) THEN 'outside_root' END AS reason
+    FROM (SELECT '/d/' || source || CASE WHEN doc_id % 5 = 0 THEN '0' ELSE '' END || CASE doc_id % 7 WHEN 3 THEN '/../x/' WHEN 4 THEN '/./' WHEN 5 THEN '/..x/' ELSE '/' END || doc_id AS path FROM documents)""")
 def _(i):
-    # A sibling folder whose name merely begins with the root's name is outside.
+    # A sibling folder whose name merely begins with the root's name is outside, and so are dot components.
     d = F.col("doc_id")
-    paths = i.table("documents").select(F.concat(F.lit("/d/"), "source", F.when(d % 5 == 0, "0").otherwise(""), F.lit("/"), d.cast("string")).alias("path"))
+    paths = i.table("documents").select(F.concat(F.lit("/d/"), "source", F.when(d % 5 == 0, "0").otherwise(""),
+        F.when(d % 7 == 3, "/../x/").when(d % 7 == 4, "/./").when(d % 7 == 5, "/..x/").otherwise("/"), d.cast("string")).alias("path"))
     return path_in_root(paths, "/d/src1/")
 
 
 @query("file_uri", r"""
     SELECT doc_id, 'file://' || replace(replace(url_encode(path), '%2F', '/'), '+', '%20') AS uri, path AS decoded
-    FROM (SELECT doc_id, '/d/' || source || '/' || regexp_extract(text, '^[^\n]*') AS path FROM documents)""")
+    FROM (SELECT doc_id, '/d/' || source || '/' || text AS path FROM documents)""")
 def _(i):
-    path = F.concat(F.lit("/d/"), "source", F.lit("/"), F.substring_index("text", "\n", 1))
+    path = F.concat(F.lit("/d/"), "source", F.lit("/"), "text")
     rows = i.table("documents").select("doc_id", file_uri(path).alias("uri"))
     return rows.withColumn("decoded", file_path("uri"))
 
@@ -47,7 +48,7 @@ def _(i):
 
 @query("extraction_state", """
     SELECT path, CASE WHEN ok THEN 'active' ELSE 'unsupported' END AS state, CASE WHEN ok THEN 'ready' ELSE 'unsupported' END AS processing_state,
-           CASE WHEN NOT ok THEN 'format is archived but not yet extractable' END AS reason
+           CASE WHEN NOT ok THEN 'no_text_format' END AS reason
     FROM (SELECT path, mime_type LIKE 'text/%' OR mime_type IN ('application/json', 'application/yaml', 'application/xml') AS ok FROM files)""", "files")
 def _(i):
     return catalog.extraction_state(i.files()).select("path", "state", "processing_state", "reason")

@@ -297,7 +297,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     "current": (["chunks"], "SELECT * FROM chunks WHERE state NOT IN ('deleted', 'unsupported')"),
     "queries": ([], "SELECT item_id AS query_id, text AS query FROM benchmark"),
     "fieldtoks": (["current"], r"""
-        SELECT chunk_id, version_id, field, list_filter(regexp_extract_all(lower(x), '[\p{L}\p{N}]+'), lambda w: strlen(w) < 40) AS l
+        SELECT chunk_id, version_id, field, regexp_extract_all(lower(x), '[\p{L}\p{N}]+') AS l
         FROM (SELECT chunk_id, version_id, 'display_name' AS field, display_name AS x FROM current
               UNION ALL SELECT chunk_id, version_id, 'body', body FROM current)"""),
     "postings": (["fieldtoks"], """
@@ -306,7 +306,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     "lens": (["fieldtoks"], "SELECT field, count(*) AS n, sum(len(l)) / count(*) AS avg_len FROM fieldtoks GROUP BY field"),
     "qterms": (["queries"], r"""
         SELECT query_id, term, count(*) AS qtf FROM
-            (SELECT query_id, unnest(list_filter(regexp_extract_all(lower(query), '[\p{L}\p{N}]+'), lambda w: strlen(w) < 40)) AS term FROM queries)
+            (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS term FROM queries)
         GROUP BY ALL"""),
     "lexscores": (["postings", "lens", "qterms"], """
         SELECT query_id, chunk_id, any_value(version_id) AS version_id, round(sum(

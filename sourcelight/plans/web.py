@@ -9,7 +9,7 @@ from sourcelight.plans.registry import query
 
 
 @query("normalize_queries", r"""
-    WITH q AS (SELECT conv_id AS request_id, turn AS position, CASE WHEN conv_id % 8 = 7 AND turn = 0 THEN ' ' WHEN turn % 3 = 2 THEN upper('again') WHEN turn % 3 = 1 THEN ' again ' ELSE ' ' || regexp_extract(text, '^\S+') || ' ' END AS query FROM conversations),
+    WITH q AS (SELECT conv_id AS request_id, turn AS position, CASE WHEN conv_id % 8 = 7 AND turn = 0 THEN ' ' WHEN turn % 3 = 2 THEN upper('again') WHEN turn % 3 = 1 THEN ' again ' ELSE ' ' || text || ' ' END AS query FROM conversations),
     k AS (SELECT request_id, lower(trim(query)) AS f, min(position) AS position, arg_min(trim(query), position) AS query, bool_or(trim(query) = '' OR strlen(trim(query)) > 512) AS bad FROM q GROUP BY ALL),
     r AS (SELECT request_id, bool_or(bad) AS bad, count(*) AS n FROM k GROUP BY request_id)
     SELECT request_id, CASE WHEN r.bad THEN 'invalid_query' WHEN n > 5 THEN 'too_many_queries' END AS reason, CASE WHEN NOT r.bad AND n <= 5 THEN string_agg(query, '|' ORDER BY position) END AS queries
@@ -17,7 +17,7 @@ from sourcelight.plans.registry import query
 def _(i):
     c, t = F.col("conv_id"), F.col("turn")
     text = (F.when((c % 8 == 7) & (t == 0), " ").when(t % 3 == 2, "AGAIN").when(t % 3 == 1, " again ")
-            .otherwise(F.concat(F.lit(" "), F.regexp_extract("text", r"\A\S+", 0), F.lit(" "))))
+            .otherwise(F.concat(F.lit(" "), "text", F.lit(" "))))
     rows = i.table("conversations").select(c.alias("request_id"), t.alias("position"), text.alias("query"))
     good, bad = webpolicy.normalize_queries(rows)
     lists = good.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("place", "query"))).alias("q"))

@@ -45,10 +45,14 @@ def local_path(uri) -> Column:
 
 
 def path_in_root(df: DataFrame, root, path: str = "path") -> DataFrame:
-    """Mark files outside the approved root, compared by whole path components."""
+    """Mark files outside the approved root, compared by whole path components.
+
+    Paths are compared as they are written, so one with a ``.`` or ``..`` component counts as outside.
+    """
     base = F.regexp_replace(F.lit(root) if isinstance(root, str) else root, r"(?<=.)/+\z", "")
     prefix = F.when(base == "/", base).otherwise(F.concat(base, F.lit("/")))
-    inside = (F.col(path) == base) | F.col(path).startswith(prefix)
+    dotted = F.col(path).rlike(r"(?:\A|/)\.\.?(?:/|\z)")
+    inside = ~dotted & ((F.col(path) == base) | F.col(path).startswith(prefix))
     return df.withColumn("reason", F.when(~inside, "outside_root"))
 
 

@@ -99,7 +99,7 @@ def test_tokens(spark):
     assert one(spark, text, X.normalized_tokens) == "the éclair 12x naïve éclair"
     assert sorted(one(spark, text, X.token_set)) == sorted(["the", "éclair", "12x", "naïve"])
     assert one(spark, text, X.meaningful_terms) == ["éclair", "12x", "naïve"]
-    assert one(spark, "x " + "y" * 40 + " " + "z" * 39, X.index_tokens) == ["x", "z" * 39]
+    assert one(spark, "x " + "y" * 40 + " " + "z" * 39, X.index_tokens) == ["x", "y" * 40, "z" * 39]
 
 
 def test_uri_round_trip(spark):
@@ -143,6 +143,9 @@ def test_path_in_root(spark):
     df = spark.createDataFrame([("/r/a",), ("/r",), ("/rx/a",), ("/r/../etc",)], "path string")
     got = {r.path: r.reason for r in path_in_root(df, "/r/").collect()}
     assert got["/r/a"] is None and got["/r"] is None and got["/rx/a"] == "outside_root"
+    dots = spark.createDataFrame([("/r/../etc",), ("/r/./a",), ("/r/..",), ("/r/..a/b",), ("/r/a..",)], "path string")
+    got = {r.path: r.reason for r in path_in_root(dots, "/r").collect()}
+    assert got == {"/r/../etc": "outside_root", "/r/./a": "outside_root", "/r/..": "outside_root", "/r/..a/b": None, "/r/a..": None}
 
 
 def test_word_lists():
