@@ -12,12 +12,13 @@ How the work is spread:
    Any such choice gives the same links, it only keeps common passages out of the inverted lists.
 2. Every distinct set sends the first shingles of that order to their inverted lists. Two sets that reach the overlap
    must meet in one of them (see :func:`head_sizes`).
-3. Members of a short list (``SHORT``) are paired, pairs whose sketches already differ too much are dropped (see
-   :func:`sketch`), and for the rest the lesser set of each pair is searched for among its partners.
-4. Sets that meet in long lists, which only sets made of frequent shingles do, are split into clusters and those into
-   tiles of bounded size, and each tile's sets are searched for among each other. The work in such a cluster goes with
-   its square, as thousands of texts that are almost alike can only be told apart by looking; its rows do not.
-5. A tile sends at most as many links as it has sets, and the links are contracted to components.
+3. Members of a short list (``SHORT``) are paired, and pairs whose sketches already differ too much are dropped (see
+   :func:`sketch`). Members of a longer list, which only sets made of frequent shingles are, are paired with its first.
+4. The groups that these pairs connect are placed as blocks: each text goes to its group's block, and the sets of a
+   block are searched for in its inverted lists. A group too large for one block is cut into parts and every two parts
+   are a block. The work in such a group goes with its square, as thousands of texts that are almost alike can only
+   be told apart by looking; what is sent goes with its size times its number of parts.
+5. A block sends at most as many links as it has sets, and the links are contracted to components.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ from sourcelight.llm.components import components
 
 SHORT = 64  # shingles with more sets come last in the order where they were met often enough
 MOST_FREQUENT = 1_000_000  # so many of them are known to all tasks (8 bytes each)
-TILE = 100_000  # shingles of a block of sets that are searched at a time
-PARTNERS = 256  # partners a set is searched among in one place
+TILE = 1_000_000  # shingles of a block of sets that are searched at a time
+SENT_IDS = 1_000_000  # ids of 8 bytes that may be sent to all tasks
 _AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -121,9 +122,10 @@ class Index:
         at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
         at = at[self.tokens[at] == query]
         length, start = self.length[at], self.start[at]
-        # Long lists: those over half of the block, longest first, as many as the search can decide without.
+        # Long lists: those over half of the block, longest first, at most T / (1 + log2 of the block) of them, so that
+        # the merge of the short ones leaves few members to probe for.
         order = np.argsort(-length, kind="stable")
-        n_long = int(min((length > max(4, n // 2)).sum(), max(0, needed.min() - 1)))
+        n_long = int(min((length > max(4, n // 2)).sum(), (needed.min() - 1) // (1 + math.log2(n))))
         long, short = order[:n_long], order[n_long:]
         total = int(length[short].sum())
         places = np.arange(total) + np.repeat(start[short] - (np.cumsum(length[short]) - length[short]), length[short])
@@ -161,12 +163,24 @@ def near(a: bytes, b: bytes, m: int, n: int, percent: int) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) <= m + n - 2 * int(overlap_needed(m, n, percent))
 
 
-def _frequent(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Shingles in the heads of several different sets of a task, with the number of those sets."""
+_FACTS = "id long, n long, name binary, sketch binary, token long, met long"
+
+
+def _lone(n: int, percent: int) -> bool:
+    """Whether a set of ``n`` is so small that only equal sets reach the similarity."""
+    return overlap_needed(n, n + 1, percent) > n and overlap_needed(n, n - 1, percent) > n - 1
+
+
+def _looked(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per row the size, name and sketch of its set; then the shingles that the heads of several different sets of the
+    task hold, with the number of those sets (``token`` and ``met``)."""
+    names = ["id", "n", "name", "sketch", "token", "met"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(tokens[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
+        tokens, n = tokens[n > 1].view(np.int64), n[n > 1].astype(np.int64)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(n), t) for t in types[:4]), pa.array(tokens), pa.array(n)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
@@ -174,14 +188,23 @@ def _frequent(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
         held: list[np.ndarray] = []
         size = 0
         for batch in common.chunks(batches, "text"):
+            sizes, sets, sketches = [], [], []
             for text in common.texts(batch, "text"):
                 tokens = shingle_hashes(text, width, cache)
+                n = len(tokens)
                 name = xxhash.xxh3_128_digest(tokens.tobytes())
-                if name not in seen:
-                    seen.add(name)
-                    _, look, rich = head_sizes(len(tokens), percent)
-                    held.append(tokens[:max(look, rich)].copy())
-                    size += len(held[-1])
+                sizes.append(n)
+                sets.append(name if n else None)
+                lone = not n or _lone(n, percent)
+                sketches.append(None if lone else sketch(tokens, percent))
+                if lone or name in seen:
+                    continue
+                seen.add(name)
+                _, look, rich = head_sizes(n, percent)
+                held.append(tokens[:max(look, rich)].copy())
+                size += len(held[-1])
+            rows = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((sizes, sets, sketches), types[1:4], strict=True)), pa.nulls(rows, types[4]), pa.nulls(rows, types[5])], names)
             if size > 8_000_000:
                 yield counted(held)
                 held, size, seen = [], 0, set()
@@ -190,40 +213,35 @@ def _frequent(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _sent(width: int, percent: int, frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per row the size, name and sketch of its set and, once per task and set, the shingles it sends."""
+def _postings(width: int, percent: int, frequent: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The shingles that each set sends, once per task and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         seen: set[bytes] = set()
         for batch in common.chunks(batches, "text"):
-            sizes, names, sketches, sent = [], [], [], []
-            for text in common.texts(batch, "text"):
+            sent, owners, sizes = [np.zeros(0, np.uint64)], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), common.texts(batch, "text"), strict=True):
                 tokens = shingle_hashes(text, width, cache)
                 n = len(tokens)
                 name = xxhash.xxh3_128_digest(tokens.tobytes())
-                sizes.append(n)
-                names.append(name if n else None)
-                # Sets so small that only equal ones reach the similarity need no partners.
-                small = overlap_needed(n, n + 1, percent) > n and overlap_needed(n, n - 1, percent) > n - 1
-                if not n or small or name in seen:
-                    sketches.append(None)
-                    sent.append(None)
+                if not n or name in seen or _lone(n, percent):
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(name)
-                sketches.append(sketch(tokens, percent))
-                sent.append(tokens[signature(tokens, frequent, percent)].view(np.int64))
+                sent.append(tokens[signature(tokens, frequent, percent)])
+                owners.append(doc)
+                sizes.append(n)
+            counts = [len(x) for x in sent[1:]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sent, pa.list_(pa.int64()))],
-                ["id", "n", "name", "sketch", "sent"],
-            )
+                [pa.array(np.concatenate(sent).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts))],
+                ["token", "id", "n"])
 
     return run
 
 
-def _paired(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _paired(percent: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Postings in the order of shingle and id. Short lists give the pairs of their members that fit in size, longer
     ones a row for each member with the list's first (``long``)."""
 
@@ -258,16 +276,16 @@ def _paired(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     hub = None
                 if not last and len(starts):  # the last list may go on
                     tail = int(starts[-1])
-                    if lengths[-1] > SHORT:
+                    if lengths[-1] > most:
                         hub = (int(token[tail]), int(ids[tail]))
                         long.append(np.stack([np.full(lengths[-1] - 1, hub[1]), ids[tail + 1:]]))
                         tail = len(token)
                     starts, lengths = starts[:-1], lengths[:-1]
                 else:
                     tail = len(token)
-                short = (lengths > 1) & (lengths <= SHORT)
+                short = (lengths > 1) & (lengths <= most)
                 out = pairs(ids, sizes, starts[short], lengths[short])
-                for s, n in zip(starts[lengths > SHORT].tolist(), lengths[lengths > SHORT].tolist(), strict=True):
+                for s, n in zip(starts[lengths > most].tolist(), lengths[lengths > most].tolist(), strict=True):
                     long.append(np.stack([np.full(n - 1, ids[s]), ids[s + 1:s + n]]))
                 rest = [x[tail:] for x in rest]
             found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
@@ -298,19 +316,9 @@ def _filtered(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        for batch in common.chunks(batches, "text"):
-            sets = [shingle_hashes(t, width, cache).tobytes() for t in common.texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "tokens"])
-
-    return run
-
-
-def _searched(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (block, part, id, tokens) in the order of block and part: links of each block between part 0 and 1, or
-    inside part 0 if there is no other part; at most one per set."""
+def _searched(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, part, alone, id, text) in the order of block and part: links of each block between part 0 and 1,
+    or inside part 0 if it is ``alone``; at most one per set."""
 
     def links(parts: tuple[list, list], alone: bool) -> list[tuple[int, int]]:
         queries, members = parts if not alone else (parts[0], parts[0])
@@ -337,13 +345,14 @@ def _searched(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, alone = None, ([], []), False
-        for batch in batches:
+        cache: dict[bytes, int] = {}
+        for batch in common.chunks(batches, "text"):
             found: list[tuple[int, int]] = []
-            for block, part, alone_, doc, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for block, part, alone_, doc, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if block != at:
                     found += links(parts, alone) if at is not None else []
                     at, parts, alone = block, ([], []), alone_
-                parts[part].append((doc, np.frombuffer(raw, np.uint64)))
+                parts[part].append((doc, shingle_hashes(text or "", width, cache)))
             yield _linked(found)
         yield _linked(links(parts, alone) if at is not None else [])
 
@@ -354,14 +363,42 @@ def _linked(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
-def frequent_shingles(rows: DataFrame, width: int, percent: int, short: int = SHORT, most: int = MOST_FREQUENT) -> np.ndarray:
+def frequent_shingles(facts: DataFrame, short: int, most: int = MOST_FREQUENT) -> np.ndarray:
     """The shingles met in more than ``short`` sets, at most ``most`` (the most frequent), sorted."""
-    counts = rows.select("id", "text").mapInArrow(_frequent(width, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > short)
+    counts = facts.filter("token is not null").groupBy("token").agg(F.sum("met").alias("n")).filter(F.col("n") > short)
     found = counts.orderBy(F.desc("n"), "token").limit(most).select("token").toPandas()["token"].to_numpy(np.int64)
     return np.sort(found.view(np.uint64))
 
 
-def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def candidates(rows: DataFrame, facts: DataFrame, same: DataFrame, width: int, percent: int, short: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (``a``, ``b``) that sketches leave possible, and pairs of the first and another member of long lists."""
+    frequent = frequent_shingles(facts, short)
+    postings = rows.filter("id is not null").mapInArrow(_postings(width, percent, frequent), "token long, id long, n long")
+    met = common.stored(postings.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_paired(percent, short), "a long, b long, long boolean"))
+    # Copies stand for the first row with their set.
+    first = lambda df, x: df.join(same.select(F.col("b").alias(x), F.col("a").alias("f")), x, "left").withColumn(x, F.coalesce("f", x)).drop("f")
+    met = first(first(met, "a"), "b").filter("a <> b").select("long", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = common.stored(met)
+    sketches = common.stored(facts.filter("sketch is not null and id is not null").select("id", "sketch", "n").distinct())
+    side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    pairs = met.filter("not long").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    return pairs.mapInArrow(_filtered(percent), "a long, b long").distinct(), met.filter("long").select("a", "b")
+
+
+def placed(facts: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
+    """Where each set is searched: (``id``, ``block``, ``part``, ``alone``). Groups of more than ``tile`` shingles are
+    cut into parts, and each two parts are a block."""
+    sizes = facts.filter("id is not null").groupBy("id").agg(F.max("n").alias("n"))
+    members = groups.join(sizes, "id").select("id", F.col("component").alias("group"), "n")
+    tiles = members.groupBy("group").agg(F.ceil(F.sum("n") / tile).cast("int").alias("tiles"))
+    tiled = members.join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    spread = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    name = F.concat_ws(":", F.col("group").cast("string"), F.least("tile", "other").cast("string"), F.greatest("tile", "other").cast("string"))
+    return spread.select("id", name.alias("block"), (F.col("tile") > F.col("other")).cast("int").alias("part"), (F.col("tile") == F.col("other")).alias("alone"))
+
+
+def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
+            short: int = SHORT, tile: int = TILE) -> DataFrame:
     """Groups of texts that are linked by shingle similarity: ``id_col``, ``n_shingles``, ``component_id``.
 
     Two texts are linked when ``100 * |intersection| >= percent * |union|`` of their shingle sets; a text of fewer than
@@ -371,53 +408,30 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     """
     kind = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    frequent = frequent_shingles(rows, width, percent)
-    sent = common.stored(rows.mapInArrow(_sent(width, percent, frequent), "id long, n long, name binary, sketch binary, sent array<long>"))
-    named = sent.filter("id is not null and name is not null")
-    classes = common.stored(named.groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
-    same = named.select("name", "id").join(classes.select("name", "first"), "name").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-
-    postings = named.select(F.explode("sent").alias("token"), "id", "n")
-    met = common.stored(postings.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_paired(percent), "a long, b long, long boolean"))
-    sketches = common.stored(named.filter("sketch is not null").groupBy("id").agg(F.min(F.struct("sketch", "n")).alias("s")).select("id", "s.*"))
-    side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    pairs = met.filter("not long").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
-    pairs = common.stored(pairs.mapInArrow(_filtered(percent), "a long, b long"))
-    far = met.filter("long and a <> b").select("a", "b").distinct()
-    clusters = common.stored(components(far))
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(clusters.select("id")).distinct()
-    sets = common.stored(rows.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(width), "id long, tokens binary"))
-
-    # Partners of one set, in places of bounded size.
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("places"))
-    block = F.concat_ws(":", F.col("a").cast("string"), F.col("place").cast("string"))
-    partners = pairs.join(degree, "a").withColumn("place", F.pmod(F.xxhash64("b"), F.col("places")).cast("int"))
-    asked = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"))
-    stars = asked.join(sets.withColumnRenamed("id", "a"), "a").select(block.alias("block"), F.lit(0).alias("part"), F.lit(False).alias("alone"), F.col("a").alias("id"), "tokens").union(
-        partners.join(sets.withColumnRenamed("id", "b"), "b").select(block.alias("block"), F.lit(1).alias("part"), F.lit(False).alias("alone"), F.col("b").alias("id"), "tokens"))
-    # Clusters of sets that meet in long lists, in tiles of bounded size.
-    members = clusters.join(sets, "id").select("id", F.col("component").alias("cluster"), "tokens")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("tokens")) / (8 * TILE)).cast("int").alias("tiles"))
-    tiled = members.join(sizes, "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    spread = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = spread.select(
-        F.concat_ws(":", F.col("cluster").cast("string"), F.least("tile", "other").cast("string"), F.greatest("tile", "other").cast("string")).alias("block"),
-        (F.col("tile") > F.col("other")).cast("int").alias("part"), (F.col("tile") == F.col("other")).alias("alone"), "id", "tokens")
-    links = same
-    for blocks in (stars, tiles):
-        placed = blocks.repartition("block").sortWithinPartitions("block", "part", "id").select("block", "part", "alone", "id", "tokens")
-        links = links.union(placed.mapInArrow(_searched(percent), "a long, b long"))
-    found = components(links)
-    joined = sent.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
+    facts = common.stored(rows.mapInArrow(_looked(width, percent), _FACTS))
+    docs = facts.filter("token is null").select("id", "n", "name")
+    named = docs.filter("id is not null and name is not null")
+    first = named.groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    same = common.stored(named.join(first, "name").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    pairs, long = candidates(rows, facts, same, width, percent, short)
+    blocks = common.stored(placed(docs, components(pairs.union(long)), tile))
+    texts = rows.join(blocks, "id").select("block", "part", "alone", "id", "text").repartition("block").sortWithinPartitions("block", "part", "id")
+    links = texts.mapInArrow(_searched(width, percent), "a long, b long")
+    found = components(links.union(same))
+    joined = docs.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
     return joined.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.coalesce("component", "id").cast(kind).alias("component_id"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``df`` with one row of each group of similar texts, the one with the least id (of rows that share it, all)."""
+    """``df`` with one row of each group of similar texts, the one with the least id (of rows that share it, all).
+
+    The ids to leave out are sent to all tasks if they are at most ``SENT_IDS``, else both sides are placed by id.
+    """
     gone = common.fresh("gone")
-    groups = similar(df, id_col, text_col, **options).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
-    return df.join(common.stored(groups), F.col(id_col) == F.col(gone), "left_anti").select(*df.columns)
+    groups = similar(df, id_col, text_col, **options).filter(F.col(id_col) != F.col("component_id"))
+    groups = common.stored(groups.select(F.col(id_col).alias(gone)).distinct())
+    few = groups.count() <= SENT_IDS
+    return df.join(F.broadcast(groups) if few else groups, F.col(id_col) == F.col(gone), "left_anti").select(*df.columns)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

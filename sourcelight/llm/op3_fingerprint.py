@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from sourcelight.llm import common
 
-SAMPLES = 64
+SAMPLES = 32
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 

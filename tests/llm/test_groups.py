@@ -126,7 +126,7 @@ def test_fingerprints(spark):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         errors += [r.near_edited - _likeness(t, e), r.near_next - _likeness(t, after[r.doc_id]) if r.doc_id is not None else 0.0]
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert np.sqrt(np.mean(np.square(errors))) < 0.08 and abs(np.mean(errors)) < 0.03
+    assert np.sqrt(np.mean(np.square(errors))) < 0.1 and abs(np.mean(errors)) < 0.03
     by_text = collections.defaultdict(set)
     for r in got:
         by_text[texts[r.doc_id]].add(r.fingerprint)
