@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcelight.functions.text import citation_uri, mime_type, words
-from sourcelight.operators.catalog import current_chunks
+from sourcelight.operators.catalog import current_chunks, searchable_versions
 from sourcelight.operators.chunking import chunk_text
 from sourcelight.sources.files import spread
 
@@ -63,12 +63,25 @@ class Inputs:
 
     def chunks(self) -> DataFrame:
         """Passages of every document."""
-        rows = chunk_text(self.library(texts=True).select("source_id", "version_id", "text"))
+        return self._chunked(self.library(texts=True).select("source_id", "version_id", "text"))
+
+    def _chunked(self, versions: DataFrame) -> DataFrame:
+        rows = chunk_text(versions)
         return rows.withColumn("chunk_id", F.col("version_id") * CHUNK_KEY + F.col("ordinal")).withColumn("heading", F.lit(None).cast("string"))
 
     def current(self) -> DataFrame:
-        """Searchable passages with name and citation fields."""
-        live = current_chunks(self.chunks().drop("source_id"), self.sources())
+        """Searchable passages with name and citation fields.
+
+        Sources are looked at before their texts are cut, so nothing is cut in vain and no passage is shuffled.
+        """
+        live = searchable_versions(self.library(texts=True))
+        return self._named(self._chunked(live.select("source_id", "version_id", "display_name", "text")))
+
+    def joined_current(self) -> DataFrame:
+        """The same from tables of passages and sources."""
+        return self._named(current_chunks(self.chunks().drop("source_id"), self.sources()))
+
+    def _named(self, live: DataFrame) -> DataFrame:
         return live.select(
             "chunk_id", "source_id", "version_id", "ordinal", "display_name", "heading", "body",
             F.struct("line_start", "line_end").alias("coordinates"), F.lit("2024-06-01T00:00:00Z").alias("retrieved_at"),

@@ -72,4 +72,4 @@ def _(i):
 
 @query("current_chunks", "SELECT chunk_id, version_id, ordinal, display_name, md5(body) AS body_md5 FROM current", "current")
 def _(i):
-    return i.current().select("chunk_id", "version_id", "ordinal", "display_name", F.md5("body").alias("body_md5"))
+    return i.joined_current().select("chunk_id", "version_id", "ordinal", "display_name", F.md5("body").alias("body_md5"))
