@@ -22,7 +22,7 @@ ASSESS = r"""
             FROM (SELECT *, row_number() OVER (PARTITION BY claim_id, citation_uri ORDER BY idx) AS again FROM items
                   LEFT JOIN ({known}) USING (citation_uri)) GROUP BY claim_id),
     judged AS (SELECT cl.claim_id, CASE WHEN schema_version <> 1 THEN 'unsupported_schema'
-                 WHEN trim(subject) = '' THEN 'invalid_field:subject' WHEN trim(predicate) = '' THEN 'invalid_field:predicate' WHEN trim(object) = '' THEN 'invalid_field:object'
+                 WHEN trim(subject) = '' OR strlen(subject) > 2048 THEN 'invalid_field:subject' WHEN trim(predicate) = '' OR strlen(predicate) > 2048 THEN 'invalid_field:predicate' WHEN trim(object) = '' OR strlen(object) > 2048 THEN 'invalid_field:object'
                  WHEN n IS NULL OR n > 12 THEN 'invalid_evidence_count'
                  WHEN unknown IS NOT NULL AND (dup IS NULL OR unknown <= dup) THEN 'invalid_citation' WHEN dup IS NOT NULL THEN 'duplicate_evidence'
                  WHEN NOT sup THEN 'unsupported' END AS reason, CASE WHEN con THEN 'disputed' ELSE 'supported' END AS status
@@ -77,19 +77,19 @@ def _(i):
 @query("claims_from_proposals", rf"""
     WITH ev AS (SELECT conv_id AS batch_id, turn AS idx, 'evidence://source/' || conv_id || '/version/' || conv_id || '#chunk-' || turn AS citation_uri, text AS passage FROM conversations),
     sizes AS (SELECT batch_id, count(*) AS n FROM ev GROUP BY batch_id),
-    pr AS (SELECT batch_id, batch_id * 100 + idx AS claim_id, idx, w[1] AS subject, w[2] AS predicate, array_to_string(w[3:4], ' ') AS object, passage,
+    pr AS (SELECT batch_id, batch_id * 100 + idx AS claim_id, idx, w[1] AS subject, w[2] AS predicate, array_to_string(w[3:], ' ') AS object, passage,
                   CASE WHEN batch_id % 12 = 5 AND idx = 1 THEN [idx, idx] WHEN batch_id % 12 = 6 AND idx = 0 THEN [99] ELSE [idx] END AS sup,
                   CASE WHEN batch_id % 3 = 0 AND idx > 0 THEN [0] ELSE [] END AS con
            FROM (SELECT *, regexp_extract_all(passage, '\S+') AS w FROM ev)),
     judged AS (SELECT pr.*, n, CASE WHEN list_max(sup) >= n OR len(list_distinct(list_concat(sup, con))) < len(sup) + len(con) THEN 'invalid_extraction'
-                 WHEN coalesce(subject, '') = '' THEN 'invalid_field:subject' WHEN coalesce(predicate, '') = '' THEN 'invalid_field:predicate' WHEN coalesce(object, '') = '' THEN 'invalid_field:object' END AS why,
+                 WHEN coalesce(subject, '') = '' THEN 'invalid_field:subject' WHEN coalesce(predicate, '') = '' THEN 'invalid_field:predicate' WHEN coalesce(object, '') = '' OR strlen(object) > 2048 THEN 'invalid_field:object' END AS why,
                  list_contains({VERBS}, lower(predicate)) AND contains(lower(passage), lower(subject || ' ' || predicate || ' ' || object)) AS direct
                FROM pr JOIN sizes USING (batch_id)),
     b AS (SELECT batch_id, CASE WHEN batch_id % 15 = 14 OR any_value(n) > 12 THEN 'invalid_extraction' ELSE min_by(why, claim_id) FILTER (WHERE why IS NOT NULL) END AS reason FROM judged GROUP BY batch_id)
     SELECT b.batch_id, reason, count(j.claim_id) AS drafts, count(CASE WHEN NOT direct THEN 1 END) AS inferred, CAST(coalesce(sum(len(sup) + len(con)) FILTER (WHERE j.claim_id IS NOT NULL), 0) AS BIGINT) AS evidence_rows
     FROM b LEFT JOIN judged j ON j.batch_id = b.batch_id AND reason IS NULL GROUP BY ALL""")
 def _(i):
-    # Conversations as batches: each turn is a passage and gives one proposal from its first words.
+    # Conversations as batches: each turn is a passage and gives one proposal from all its words.
     from sourcelight.functions.text import citation_uri, words
 
     b, t = F.col("batch_id"), F.col("idx")
@@ -98,7 +98,7 @@ def _(i):
     none = F.array().cast("array<string>")
     pick = lambda n: F.coalesce(F.get(w, F.lit(n)), F.lit(""))
     proposals = ev.select(
-        "batch_id", (b * 100 + t).alias("claim_id"), pick(0).alias("subject"), pick(1).alias("predicate"), F.array_join(F.slice(w, 3, 2), " ").alias("object"),
+        "batch_id", (b * 100 + t).alias("claim_id"), pick(0).alias("subject"), pick(1).alias("predicate"), F.array_join(F.slice(w, F.lit(3), F.greatest(F.size(w), F.lit(1))), " ").alias("object"),
         none.alias("subject_aliases"), none.alias("object_aliases"), F.lit(False).alias("inferred"),
         F.when((b % 12 == 5) & (t == 1), F.array(t, t)).when((b % 12 == 6) & (t == 0), F.array(F.lit(99).cast("bigint"))).otherwise(F.array(t)).alias("supporting"),
         F.when((b % 3 == 0) & (t > 0), F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>")).alias("contradicting"),

@@ -112,16 +112,16 @@ class Inputs:
     # --- claims -----------------------------------------------------------
 
     def claims(self) -> DataFrame:
-        """A claim draft per document from the first words of its text."""
+        """A claim draft per document: the first word, the second, and all the others of its text."""
         d, w = F.col("doc_id"), F.col("w")
         word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
-        base = self.table("documents").select("doc_id", F.slice(words("text"), 1, 6).alias("w"))
+        base = self.table("documents").select("doc_id", words("text").alias("w"))
         alias = word(2)
         return base.select(
             d.alias("claim_id"), F.when(d % 23 == 5, 2).otherwise(1).alias("schema_version"),
             F.concat(F.lit("Topic "), (d % 8).cast("string")).alias("topic"), (d % 8).alias("topic_id"),
             F.when(d % 19 == 7, " ").otherwise(word(0)).alias("subject"), word(1).alias("predicate"),
-            F.array_join(F.slice("w", 3, 4), " ").alias("object"),
+            F.array_join(F.expr("slice(w, 3, greatest(size(w), 1))"), " ").alias("object"),
             F.when((d % 2 == 0) & (F.lower(alias) != F.lower(word(0))) & (alias != ""), F.array(alias))
             .otherwise(F.array().cast("array<string>")).alias("subject_aliases"),
             F.array().cast("array<string>").alias("object_aliases"), (d % 6 == 0).alias("inferred"),
@@ -370,7 +370,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     "cl": ([], r"""
         SELECT doc_id AS claim_id, CASE WHEN doc_id % 23 = 5 THEN 2 ELSE 1 END AS schema_version, 'Topic ' || (doc_id % 8) AS topic, doc_id % 8 AS topic_id,
                CASE WHEN doc_id % 19 = 7 THEN ' ' ELSE coalesce(w[1], '') END AS subject, coalesce(w[2], '') AS predicate,
-               array_to_string(w[3:6], ' ') AS object, coalesce(w[3], '') AS alias, coalesce(w[1], '') AS first, doc_id % 6 = 0 AS inferred
+               array_to_string(w[3:], ' ') AS object, coalesce(w[3], '') AS alias, coalesce(w[1], '') AS first, doc_id % 6 = 0 AS inferred
         FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents)"""),
     "items": ([], f"""
         SELECT claim_id, idx, 'evidence://source/' || target || '/version/' || target || '#chunk-0' AS citation_uri, target * {CHUNK_KEY} AS chunk_id, target,
