@@ -13,8 +13,9 @@ How the work is spread:
 2. Every distinct set sends the first shingles of that order to their inverted lists. Two sets that reach the overlap
    must meet in one of them (see :func:`head_sizes`).
 3. Members of a short list (``SHORT``) are paired, and pairs whose sketches already differ too much are dropped (see
-   :func:`sketch`). Members of a longer list, which only sets made of frequent shingles are, are paired with its first.
-4. The groups that these pairs connect are placed as blocks: each text goes to its group's block, and the sets of a
+   :func:`sketch`). Members of longer lists, which only sets made of frequent shingles are, form groups whose sketches
+   are compared in tiles of bounded size; of the pairs that stay possible only those that join groups are kept.
+4. The groups that all these pairs connect are placed as blocks: each text goes to its group's block, and the sets of a
    block are searched for in its inverted lists. A group too large for one block is cut into parts and every two parts
    are a block. The work in such a group goes with its square, as thousands of texts that are almost alike can only
    be told apart by looking; what is sent goes with its size times its number of parts.
@@ -40,6 +41,7 @@ from sourcelight.llm.components import components
 SHORT = 64  # shingles with more sets come last in the order where they were met often enough
 MOST_FREQUENT = 1_000_000  # so many of them are known to all tasks (8 bytes each)
 TILE = 1_000_000  # shingles of a block of sets that are searched at a time
+SKETCHES = 4_000  # sketches that are compared with each other at a time
 SENT_IDS = 1_000_000  # ids of 8 bytes that may be sent to all tasks
 _AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -153,14 +155,62 @@ def sketch(tokens: np.ndarray, percent: int) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+class Sketches:
+    """Sketches of a block of sets as one matrix for each length."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        by: dict[int, list[tuple[int, int, bytes]]] = {}
+        for row in rows:
+            by.setdefault(len(row[2]), []).append(row)
+        self.parts = {k: (np.array([r[0] for r in v], np.int64), np.array([r[1] for r in v], np.int64), np.frombuffer(b"".join(r[2] for r in v), np.uint8).reshape(len(v), k)) for k, v in by.items()}
+
+    def near(self, n: int, raw: bytes, percent: int) -> np.ndarray:
+        """Ids of the sets that a set of size ``n`` with this sketch may be similar to."""
+        query = np.frombuffer(raw, np.uint8)
+        out = [np.zeros(0, np.int64)]
+        for length, (ids, sizes, matrix) in self.parts.items():
+            needed = overlap_needed(n, sizes, percent)
+            fits = needed <= np.minimum(sizes, n)
+            if not fits.any():
+                continue
+            width = min(length, len(query))
+            differ = np.bitwise_count(folded(matrix[fits], width).view(np.uint64) ^ folded(query[None], width).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            out.append(ids[fits][differ <= n + sizes[fits] - 2 * needed[fits]])
+        return np.concatenate(out)
+
+
+def folded(matrix: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (one per row) with fewer cells: the parities of joined cells."""
+    while matrix.shape[1] > width:
+        half = matrix.shape[1] // 2
+        matrix = matrix[:, :half] ^ matrix[:, half:]
+    return np.ascontiguousarray(matrix)
+
+
 def near(a: bytes, b: bytes, m: int, n: int, percent: int) -> bool:
     """Whether the sketches of two sets of sizes m and n leave the similarity possible."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):  # fold the larger one: parities of joined cells
-        x = x.reshape(2, -1)[0] ^ x.reshape(2, -1)[1]
-    while len(y) > len(x):
-        y = y.reshape(2, -1)[0] ^ y.reshape(2, -1)[1]
-    return int(np.bitwise_count(x ^ y).sum()) <= m + n - 2 * int(overlap_needed(m, n, percent))
+    return len(Sketches([(0, n, b)]).near(m, a, percent)) > 0
+
+
+class Forest:
+    """Links that join what was apart."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def add(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
+        if x != y:
+            self.root[x] = y
+            self.links.append((a, b))
 
 
 _FACTS = "id long, n long, name binary, sketch binary, token long, met long"
@@ -316,49 +366,54 @@ def _filtered(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _searched(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (block, part, alone, id, text) in the order of block and part: links of each block between part 0 and 1,
-    or inside part 0 if it is ``alone``; at most one per set."""
+def _blockwise(batches: Iterator[pa.RecordBatch], read: Callable[[dict], object], solve: Callable[[list, list, bool], list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, part, alone, id, ...) in the order of block and part: what ``solve`` finds between the parts of each
+    block, or inside part 0 if it is ``alone``."""
+    at, parts, alone = None, ([], []), False
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for row in batch.to_pylist():
+            if row["block"] != at:
+                found += solve(*parts, alone) if at is not None else []
+                at, parts, alone = row["block"], ([], []), row["alone"]
+            parts[row["part"]].append(read(row))
+        yield _linked(found)
+    yield _linked(solve(*parts, alone) if at is not None else [])
 
-    def links(parts: tuple[list, list], alone: bool) -> list[tuple[int, int]]:
-        queries, members = parts if not alone else (parts[0], parts[0])
-        index = Index([t for _, t in members], percent)
-        root: dict[tuple[int, int], tuple[int, int]] = {}
 
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+def _searched(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between the sets of each block's texts, at most one per set."""
 
-        out = []
+    def solve(queries: list, others: list, alone: bool) -> list[tuple[int, int]]:
+        members = queries if alone else others
+        index, forest = Index([t for _, t in members], percent), Forest()
         for q, (a, tokens) in enumerate(queries):
             for m in index.search(tokens).tolist():
-                if alone and m <= q:
-                    continue
-                b = members[m][0]
-                x, y = find(a), find(b)
-                if x != y:
-                    root[x] = y
-                    out.append((a, b))
-        return out
+                if not alone or m > q:
+                    forest.add(a, members[m][0])
+        return forest.links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, alone = None, ([], []), False
         cache: dict[bytes, int] = {}
-        for batch in common.chunks(batches, "text"):
-            found: list[tuple[int, int]] = []
-            for block, part, alone_, doc, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if block != at:
-                    found += links(parts, alone) if at is not None else []
-                    at, parts, alone = block, ([], []), alone_
-                parts[part].append((doc, shingle_hashes(text or "", width, cache)))
-            yield _linked(found)
-        yield _linked(links(parts, alone) if at is not None else [])
+        return _blockwise(common.chunks(batches, "text"), lambda r: (r["id"], shingle_hashes(r["text"] or "", width, cache)), solve)
 
     return run
 
 
+def _sketched(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between sets of a block whose sketches leave the similarity possible, at most one per set."""
+
+    def solve(queries: list, others: list, alone: bool) -> list[tuple[int, int]]:
+        members, forest = Sketches(queries if alone else others), Forest()
+        for a, n, raw in queries:
+            for b in members.near(n, raw, percent).tolist():
+                if a != b:
+                    forest.add(a, b)
+        return forest.links
+
+    return lambda batches: _blockwise(batches, lambda r: (r["id"], r["n"], r["sketch"]), solve)
+
+
 def _linked(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
@@ -370,11 +425,28 @@ def frequent_shingles(facts: DataFrame, short: int, most: int = MOST_FREQUENT) -
     return np.sort(found.view(np.uint64))
 
 
-def candidates(rows: DataFrame, facts: DataFrame, same: DataFrame, width: int, percent: int, short: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (``a``, ``b``) that sketches leave possible, and pairs of the first and another member of long lists."""
+def placed(members: DataFrame, limit: int) -> DataFrame:
+    """Where the rows of ``members`` (id, component, weight) are compared: (``id``, ``block``, ``part``, ``alone``).
+
+    Groups that weigh more than ``limit`` are cut into parts, and each two parts are a block.
+    """
+    tiles = members.groupBy("component").agg(F.ceil(F.sum("weight") / limit).cast("int").alias("tiles"))
+    tiled = members.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    spread = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    name = F.concat_ws(":", F.col("component").cast("string"), F.least("tile", "other").cast("string"), F.greatest("tile", "other").cast("string"))
+    return spread.select("id", name.alias("block"), (F.col("tile") > F.col("other")).cast("int").alias("part"), (F.col("tile") == F.col("other")).alias("alone"))
+
+
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("block").sortWithinPartitions("block", "part", "id")
+
+
+def candidates(rows: DataFrame, facts: DataFrame, same: DataFrame, width: int, percent: int, short: int, sketches_at_once: int) -> DataFrame:
+    """Pairs (``a``, ``b``) that connect all sets which can be similar, by what their sketches say."""
     frequent = frequent_shingles(facts, short)
     postings = rows.filter("id is not null").mapInArrow(_postings(width, percent, frequent), "token long, id long, n long")
-    met = common.stored(postings.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_paired(percent, short), "a long, b long, long boolean"))
+    paired = postings.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_paired(percent, short), "a long, b long, long boolean")
+    met = common.stored(paired.distinct())  # most pairs meet in many lists
     # Copies stand for the first row with their set.
     first = lambda df, x: df.join(same.select(F.col("b").alias(x), F.col("a").alias("f")), x, "left").withColumn(x, F.coalesce("f", x)).drop("f")
     met = first(first(met, "a"), "b").filter("a <> b").select("long", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -382,23 +454,14 @@ def candidates(rows: DataFrame, facts: DataFrame, same: DataFrame, width: int, p
     sketches = common.stored(facts.filter("sketch is not null and id is not null").select("id", "sketch", "n").distinct())
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     pairs = met.filter("not long").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
-    return pairs.mapInArrow(_filtered(percent), "a long, b long").distinct(), met.filter("long").select("a", "b")
-
-
-def placed(facts: DataFrame, groups: DataFrame, tile: int) -> DataFrame:
-    """Where each set is searched: (``id``, ``block``, ``part``, ``alone``). Groups of more than ``tile`` shingles are
-    cut into parts, and each two parts are a block."""
-    sizes = facts.filter("id is not null").groupBy("id").agg(F.max("n").alias("n"))
-    members = groups.join(sizes, "id").select("id", F.col("component").alias("group"), "n")
-    tiles = members.groupBy("group").agg(F.ceil(F.sum("n") / tile).cast("int").alias("tiles"))
-    tiled = members.join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    spread = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    name = F.concat_ws(":", F.col("group").cast("string"), F.least("tile", "other").cast("string"), F.greatest("tile", "other").cast("string"))
-    return spread.select("id", name.alias("block"), (F.col("tile") > F.col("other")).cast("int").alias("part"), (F.col("tile") == F.col("other")).alias("alone"))
+    groups = components(met.filter("long").select("a", "b")).withColumn("weight", F.lit(1))
+    spread = placed(groups, sketches_at_once).join(sketches, "id").select("block", "part", "alone", "id", "n", "sketch")
+    far = _by_block(spread).mapInArrow(_sketched(percent), "a long, b long")
+    return pairs.mapInArrow(_filtered(percent), "a long, b long").distinct().union(far)
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
-            short: int = SHORT, tile: int = TILE) -> DataFrame:
+            short: int = SHORT, tile: int = TILE, sketches_at_once: int = SKETCHES) -> DataFrame:
     """Groups of texts that are linked by shingle similarity: ``id_col``, ``n_shingles``, ``component_id``.
 
     Two texts are linked when ``100 * |intersection| >= percent * |union|`` of their shingle sets; a text of fewer than
@@ -413,10 +476,11 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     named = docs.filter("id is not null and name is not null")
     first = named.groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     same = common.stored(named.join(first, "name").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    pairs, long = candidates(rows, facts, same, width, percent, short)
-    blocks = common.stored(placed(docs, components(pairs.union(long)), tile))
-    texts = rows.join(blocks, "id").select("block", "part", "alone", "id", "text").repartition("block").sortWithinPartitions("block", "part", "id")
-    links = texts.mapInArrow(_searched(width, percent), "a long, b long")
+    groups = components(candidates(rows, facts, same, width, percent, short, sketches_at_once))
+    sizes = docs.filter("id is not null").groupBy("id").agg(F.max("n").alias("weight"))
+    blocks = common.stored(placed(groups.join(sizes, "id"), tile))
+    texts = rows.join(blocks, "id").select("block", "part", "alone", "id", "text")
+    links = _by_block(texts).mapInArrow(_searched(width, percent), "a long, b long")
     found = components(links.union(same))
     joined = docs.select("id", F.col("n").alias("n_shingles")).join(found, "id", "left")
     return joined.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.coalesce("component", "id").cast(kind).alias("component_id"))

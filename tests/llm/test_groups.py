@@ -56,7 +56,7 @@ def test_near_duplicates(spark, width, percent, short):
     passage = sentence(rng, 30)
     rows = [(None, base[5])] + [(i, _edited(rng, base[i % 8], rng.choice((0, 0, 1, 1, 2, 3, 8)))) for i in range(90)]
     rows += [(200 + i, sentence(rng, 25) + " " + passage) for i in range(12)] + [(300, base[5].upper()), (300, base[6])] + [(i + 1000 if i is not None else None, t) for i, t in awkward(rng)]
-    got = op2_ngram_join.similar(table(spark, rows), width=width, percent=percent, short=short, tile=300).collect()
+    got = op2_ngram_join.similar(table(spark, rows), width=width, percent=percent, short=short, tile=300, sketches_at_once=7).collect()
     sets = [(i, _shingles(t, width)) for i, t in rows]
     links = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if a is not None and b is not None and s and t and 100 * len(s & t) >= percent * len(s | t)]
     root = _roots({i for i, _ in rows if i is not None}, links)
