@@ -35,10 +35,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(column: pa.Array, start: int, length: int) -> int:
-    return column.slice(start, length).nbytes
-
-
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of at most ``limit`` bytes of text; a longer text is a slice of its own."""
     for batch in batches:

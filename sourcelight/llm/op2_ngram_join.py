@@ -29,11 +29,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sourcelight.llm import common
 from sourcelight.llm.components import components
@@ -43,12 +41,11 @@ MOST_FREQUENT = 1_000_000  # so many of them are known to all tasks (8 bytes eac
 TILE = 1_000_000  # shingles of a block of sets that are searched at a time
 SKETCHES = 4_000  # sketches that are compared with each other at a time
 SENT_IDS = 1_000_000  # ids of 8 bytes that may be sent to all tasks
-_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shingle_hashes(text: str, width: int, cache: dict[bytes, int]) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``width`` words; of all words if there are fewer; none without words."""
-    words = text.encode("utf-8", "surrogatepass").translate(_AZ).split()
+    words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)

@@ -109,10 +109,11 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     n, k = scores.shape
     total = scores.sum(axis=0)
     best = int(total.argmax())
-    # A span of another language pays only if its gain beats the penalty. If no span's gain does, one label is best.
+    # A path of s spans has s - 1 switches, at least half of s. If no span of another label gains more than half the
+    # penalty, one label is best.
     gain = np.cumsum(scores - scores[:, [best]], axis=0)
     floor = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0)
-    if (gain - floor).max() <= penalty:
+    if (gain - floor).max() <= penalty / 2:
         return np.full(n, best, np.int64)
     back = np.empty((n, k), np.int8)
     now = scores[0].tolist()
@@ -156,6 +157,7 @@ def label_texts(model: Model, values: list[str]) -> list[tuple[str, float, list[
     words = split_words(values)
     scores = word_scores(model, words)
     bounds = np.searchsorted(words.text, np.arange(len(values) + 1))
+    begins = np.cumsum([0] + [len(v) + 1 for v in values])
     known = model.scripts[words.script].any(axis=1)
     out = []
     for i in range(len(values)):
@@ -169,20 +171,12 @@ def label_texts(model: Model, values: list[str]) -> list[tuple[str, float, list[
         cut = np.flatnonzero(np.diff(path)) + 1
         first = np.concatenate([[0], cut])
         last = np.concatenate([cut, [b - a]]) - 1
-        base = _text_start(values, i, words, a)
+        base = int(begins[i])
         spans = [(int(words.start[a + f] - base), int(words.start[a + e] + words.size[a + e] - base), model.languages[path[f]]) for f, e in zip(first, last, strict=True)]
         out.append((model.languages[best], float(letters[best] / words.size[a:b].sum()), spans))
     return out
 
 
-def _text_start(values: list[str], i: int, words: Words, a: int) -> int:
-    starts = getattr(words, "_starts", None)
-    if starts is None:
-        starts = np.cumsum([0] + [len(v) + 1 for v in values])
-        words._starts = starts
-    return int(starts[i])
-
-
 def _count(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     number = {name: i for i, name in enumerate(languages)}
 

@@ -1,9 +1,10 @@
 """Main text of web pages: the maximum-scoring subsequence of a page's tokens.
 
 A page is a sequence of words and tags. Words score positive and tags negative, words inside elements that never
-belong to an article score negative too. The scores are log-ratios counted on a bounded sample of pages that label
-themselves (exactly one ``article`` element). One linear scan finds the best contiguous region; furniture inside the
-region (menus, forms, notices, comments, ...) is taken out, and the blocks of the rest are joined.
+belong to an article score nothing. The scores are log-ratios counted on a bounded sample of pages that label
+themselves (exactly one ``article`` element). One linear scan finds the best contiguous region, which is then made to fit
+the article elements it meets; furniture inside it (menus, forms, notices, comments, ...) is taken out, and the blocks
+of the rest are joined.
 """
 
 from __future__ import annotations
@@ -129,14 +130,14 @@ class Weights:
     """Scores of a word inside and outside furniture and of each tag; ``other`` for tags not seen."""
 
     word: float = 1.0
-    out_word: float = -4.0
+    out_word: float = 0.0
     tags: dict[str, float] = field(default_factory=dict)
-    other: float = -1.0
+    other: float = -0.5
 
     def of(self, piece: Piece) -> float:
         if piece.text is not None:
             return len(piece.text.split()) * (self.out_word if piece.out else self.word)
-        return self.tags.get(piece.name + ("!" if piece.out else ""), self.out_word if piece.out else self.other)
+        return self.tags.get(piece.name + ("!" if piece.out else ""), self.other)
 
 
 def region(run: list[Piece], weights: Weights) -> tuple[int, int]:
@@ -151,9 +152,22 @@ def region(run: list[Piece], weights: Weights) -> tuple[int, int]:
     return best_at
 
 
+def widened(run: list[Piece], first: int, last: int) -> tuple[int, int]:
+    """The region made to fit the article elements that it meets, if there are any."""
+    inside = [i for i in range(first, last) if run[i].article]
+    if not inside:
+        return first, last
+    first, last = inside[0], inside[-1] + 1
+    while first > 0 and run[first - 1].article:
+        first -= 1
+    while last < len(run) and run[last].article:
+        last += 1
+    return first, last
+
+
 def main_text(page: str, weights: Weights) -> str:
     run = pieces(page)
-    first, last = region(run, weights)
+    first, last = widened(run, *region(run, weights))
     parts: list[str] = []
     for piece in run[first:last]:
         if piece.text is None:

@@ -160,7 +160,6 @@ def repeated_starts(group: np.ndarray, left: np.ndarray, rows: list[bytes], star
     same_group = np.concatenate([[False], group[1:] == group[:-1]])
     number = np.cumsum(~same_group) - 1
     firsts = np.flatnonzero(~same_group)
-    sizes = np.diff(np.append(firsts, n))
     for column in range(before + after - 1, -1, -1):
         s = symbols[column][order]
         equal = same_group & (s >= 0)
@@ -189,7 +188,6 @@ def repeated_starts(group: np.ndarray, left: np.ndarray, rows: list[bytes], star
             offset = column - before + left[i]  # from the row's first byte
             ok = (offset >= 0) & (offset < starts[i])
             found[i[ok], column] = True
-    del sizes
     return found
 
 

@@ -178,7 +178,7 @@ def test_toxicity(spark):
     rng = random.Random(7)
     plain = [sentence(rng, 40).replace("w", rng.choice("klmn")) for _ in range(300)]
     bad = ["grobnik", "flumpet", "zzorkish"]
-    rows = [(i, t if i % 5 else t + f" you {rng.choice(bad)} and {rng.choice(bad)}") for i, t in enumerate(plain)]
+    rows = [(i, t if i % 5 else t + f" {rng.choice(bad)} {rng.choice(bad)}") for i, t in enumerate(plain)]
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)] + [(None, 1, 1), (1, 1, None), (9999, 0, 1)], "doc_id long, quality int, toxic int")
     model = op8_toxicity.fit(table(spark, rows), labels)
     assert {e.text for e in model.entries} == set(bad)
