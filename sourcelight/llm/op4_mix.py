@@ -50,10 +50,11 @@ def rates(df: DataFrame, source_col: str, text_col: str, weights: DataFrame | No
     else:
         given = weights.groupBy(F.col("source").alias("__s")).agg(F.sum("weight").cast("double").alias("weight"))
         mass = mass.join(given, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    sums = mass.agg(F.sum("mass").alias("all_mass"), F.sum(F.when(F.col("mass") > 0, F.col("weight"))).alias("all_weight"))
-    wanted = F.col("all_mass") if total is None else total
-    rate = F.when(F.col("mass") == 0, 1.0).when(F.col("weight") <= 0, 0.0).otherwise(wanted * F.col("weight") / F.col("all_weight") / F.col("mass"))
-    return mass.join(F.broadcast(sums)).select("source", "mass", rate.alias("rate"))
+    mass = common.stored(mass)
+    sums = mass.agg(F.coalesce(F.sum("mass"), F.lit(0.0)).alias("mass"), F.coalesce(F.sum(F.when(F.col("mass") > 0, F.col("weight"))), F.lit(0.0)).alias("weight")).first()
+    wanted = F.lit(sums["mass"]) if total is None else total
+    rate = F.when(F.col("mass") == 0, 1.0).when(F.col("weight") <= 0, 0.0).otherwise(wanted * F.col("weight") / F.lit(sums["weight"]) / F.col("mass"))
+    return mass.select("source", "mass", rate.alias("rate"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: DataFrame | None = None,
