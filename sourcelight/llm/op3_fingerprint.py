@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from sourcelight.llm import common
 
 SAMPLES = 32
+NO_ID = -(1 << 63)
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -86,12 +87,13 @@ def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     The edited text has its last floor(n / 2) characters replaced by the first as many of the next id's text. Rows
     that repeat both id and text are one row with their number in ``copies``; of several texts of the next id the
-    least is taken.
+    least is taken. Ids are whole numbers, and null is ``NO_ID`` here: a column that is never null lets both uses of
+    the texts share one shuffle.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text"))
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
     sizes = common.stored(rows.groupBy("id").agg(F.max(F.length("text")).alias("n")))
-    after = common.stored(successors(sizes.filter("id is not null"), "id").join(sizes, "id").select(F.col("next"), F.col("id").alias("of"), F.floor(F.col("n") / 2).cast("int").alias("half")))
+    after = common.stored(successors(sizes.filter(F.col("id") != NO_ID), "id").join(sizes, "id").select(F.col("next"), F.col("id").alias("of"), F.floor(F.col("n") / 2).cast("int").alias("half")))
     placed = rows.repartition("id")
     texts = placed.withColumn("hash", F.xxhash64("text")).groupBy("id", "hash").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     heads = placed.join(after, placed["id"] == after["next"]).select("of", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("head"))
@@ -117,14 +119,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = signatures(both.select("id", "hash", "v.which", "v.t"), ["id", "hash", "which"], "t", samples)
     pivoted = signed.groupBy("id", "hash").agg(F.first(F.when(F.col("which") == 0, F.col("signature")), True).alias("own"), F.first(F.when(F.col("which") == 1, F.col("signature")), True).alias("changed"))
     facts = facts.withColumnRenamed("id", "fid").withColumnRenamed("hash", "fhash")
-    joined = facts.join(pivoted, F.col("fid").eqNullSafe(F.col("id")) & (F.col("fhash") == F.col("hash")), "left").select(F.col("fid").alias("id"), F.col("fhash").alias("hash"), "copies", "n_chars", "edited_sha256", "own", "changed")
+    joined = facts.join(pivoted, (F.col("fid") == F.col("id")) & (F.col("fhash") == F.col("hash")), "left").select(F.col("fid").alias("id"), F.col("fhash").alias("hash"), "copies", "n_chars", "edited_sha256", "own", "changed")
     signed = common.stored(joined)
-    links = successors(signed.select("id").filter("id is not null"), "id")
+    links = successors(signed.select("id").filter(F.col("id") != NO_ID), "id")
     least = signed.groupBy("id").agg(F.min("hash").alias("h"))
     following = signed.select(F.col("id").alias("nid"), F.col("hash").alias("nhash"), F.col("own").alias("next_own")).join(least.select(F.col("id").alias("nid"), F.col("h").alias("nhash")), ["nid", "nhash"])
     found = signed.join(links, "id", "left").join(following.drop("nhash"), F.col("next") == F.col("nid"), "left")
     out = found.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"),
+        F.when(F.col("id") != NO_ID, F.col("id")).cast(df.schema[id_col].dataType).alias(id_col), "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed"), samples).alias("near_edited"), likeness(F.col("own"), F.col("next_own"), samples).alias("near_next"), "copies",
     )
     return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
