@@ -276,17 +276,20 @@ def _near(machine_entries: list[Entry]) -> Callable[[Iterator[pa.RecordBatch]],
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
     """Learn the lexicon and its weights from at most ``per_label`` labelled rows of each label (smallest hash first).
 
-    Rows without key, text or label are not used. At most ``MAX_ENTRIES`` entries are kept, those with the greatest
+    The prior is the ratio of the labels over all rows with key, text and label, however many of them are in the
+    sample; rows without key, text or label are not used. At most ``MAX_ENTRIES`` entries are kept, those with the greatest
     log-ratio. Without labelled rows of both kinds every text gets the same score.
     """
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
     chosen = named.distinct().withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label).drop("r")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    usable = texts.select("id").join(named.distinct(), "id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    every = {r.label: r.n for r in usable.collect()}
+    prior = math.log((every.get(1, 0) + 0.5) / (every.get(0, 0) + 0.5)) if every else -2.0
     sample = common.stored(texts.join(F.broadcast(chosen), "id").select("text", "label"))
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    prior = math.log((toxic + 0.5) / (clean + 0.5)) if toxic + clean else -2.0
     if not toxic or not clean:
         return Model([], None, prior, 0.3, 0.8)
     counts = sample.mapInArrow(_candidates, "term string, label int, n long").groupBy("term").agg(

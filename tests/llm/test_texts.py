@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -195,6 +196,16 @@ def test_toxicity_without_labels(spark):
     assert op8_toxicity.score(table(spark, [(1, "text")]), model).first().predicted == 0
 
 
+def test_toxicity_prior_counts_all_labels(spark):
+    rng = random.Random(8)
+    rows = [(i, sentence(rng, 20).replace("w", rng.choice("klmn")) + (" grobnik" if i % 6 == 0 else "")) for i in range(300)] + [(300, None)]
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(301)] + [(0, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    model = op8_toxicity.fit(table(spark, rows), labels, per_label=45)
+    assert abs(model.prior - math.log(50.5 / 250.5)) < 1e-9
+    got = {r.doc_id: r.predicted for r in op8_toxicity.score(table(spark, [(1, "a clean text"), (2, ""), (3, None), (4, "such a grobnik")]), model).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
 def test_names_of_items_are_hashed(spark, tmp_path):
     spark.createDataFrame([(2, "p q r s t u v w x y"), (10, "p q r")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     table(spark, [(1, "p q r s t u v w x y z")]).write.parquet(f"{tmp_path}/documents.parquet")
