@@ -1,7 +1,7 @@
 """Reversible line dedup: sharded cuckoo filters in front of exact reference counts.
 
 State is three tables: ``postings`` (which rows hold a line), ``refs`` (per line: number of rows and the greatest row
-id, by shard of the line's hash) and ``filters`` (per shard: cuckoo filters over the lines that reached ``least``
+id, by shard of the line's hash) and ``filters`` (per shard: one cuckoo filter over the lines that reached ``least``
 rows). Inserting or deleting documents changes all three and returns a new state; a line that falls below ``least``
 leaves its filter again. Applying the state reads each text line by line: the filters of a shard turn away lines
 that repeat too rarely, what passes is looked up in the exact table, so filters never decide alone.
@@ -153,18 +153,22 @@ def shard_of(shards: int):
     return F.pmod(F.col("hi"), F.lit(shards)).cast("int")
 
 
-def _update_filters(key: tuple, old: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-    """Filters of one shard after lines left (``up`` false) and came. A full filter gets a larger one beside it."""
-    tables = [Cuckoo(np.frombuffer(t, np.uint16).reshape(-1, 4).copy()) for t in old.sort_values("number")["table"]]
-    gone = changes.loc[~changes["up"], "lo"].to_numpy(np.int64)
-    for t in reversed(tables):
-        gone = gone[~t.delete(gone)]
-    rest = np.sort(changes.loc[changes["up"], "lo"].to_numpy(np.int64))
-    for t in tables:
-        rest = t.insert(rest)
+def _update_filters(key: tuple, old: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+    """The filter of one shard, of whose lines all are given that reached ``least`` before (``was``) or do so now.
+
+    A filter is one table, so what a line leaves behind in it is its own. One that overflows is built anew, larger,
+    from the exact lines of the shard.
+    """
+    was, now = (np.unique(lines.loc[lines[c], "lo"].to_numpy(np.int64)) for c in ("was", "now"))
+    tables = [Cuckoo(np.frombuffer(t, np.uint16).reshape(-1, 4).copy()) for t in old["table"]]
+    rest = now
+    if len(tables) == 1:
+        tables[0].delete(np.setdiff1d(was, now, assume_unique=True))
+        rest = tables[0].insert(np.setdiff1d(now, was, assume_unique=True))
+    size = 2 * len(now)
     while len(rest):
-        tables.append(Cuckoo.sized(2 * len(rest)))
-        rest = tables[-1].insert(rest)
+        tables = [Cuckoo.sized(size)]
+        rest, size = tables[0].insert(now), 2 * size
     return pd.DataFrame({"shard": [key[0]] * len(tables), "number": range(len(tables)), "table": [t.table.tobytes() for t in tables]}, columns=["shard", "number", "table"])
 
 
@@ -172,12 +176,11 @@ _FILTERS = "shard int, number int, table binary"
 
 
 def _refreshed(state: State, before: DataFrame, after: DataFrame) -> DataFrame:
-    """Filters after the counts of some lines changed from ``before`` to ``after`` (lo, hi, n_docs)."""
-    old = before.select("lo", "hi", F.col("n_docs").alias("was"))
-    both = after.select("lo", "hi", F.col("n_docs").alias("now")).join(old, ["lo", "hi"], "full")
-    was, now = F.coalesce("was", F.lit(0)) >= state.least, F.coalesce("now", F.lit(0)) >= state.least
-    changes = both.filter(was != now).select(shard_of(state.shards).alias("shard"), "lo", now.alias("up"))
-    return state.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_update_filters, _FILTERS)
+    """Filters after the counts of lines changed from ``before`` to ``after`` (lo, hi, n_docs of all lines)."""
+    reached = lambda refs, name: refs.filter(F.col("n_docs") >= state.least).select("lo", "hi", F.lit(True).alias(name))
+    both = reached(before, "was").join(reached(after, "now"), ["lo", "hi"], "full")
+    lines = both.select(shard_of(state.shards).alias("shard"), "lo", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("was", "now")))
+    return state.filters.groupBy("shard").cogroup(lines.groupBy("shard")).applyInPandas(_update_filters, _FILTERS)
 
 
 def empty_state(spark: SparkSession, id_type: T.DataType, expected_lines: int, least: int = LEAST_DOCS) -> State:
@@ -197,7 +200,7 @@ def build_state(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     refs = common.stored(_counted(postings))
     state = empty_state(df.sparkSession, postings.schema["id"].dataType, refs.filter(F.col("n_docs") >= least).count(), least)
     state.postings, state.refs = postings, refs
-    state.filters = common.stored(_refreshed(state, refs.limit(0), refs.filter(F.col("n_docs") >= least)))
+    state.filters = common.stored(_refreshed(state, refs.limit(0), refs))
     return state
 
 
@@ -208,8 +211,7 @@ def insert(state: State, df: DataFrame, id_col: str = "doc_id", text_col: str =
     delta = _counted(new).select("lo", "hi", F.col("n_docs").alias("n"), F.col("max_id").alias("m"))
     joined = state.refs.join(delta, ["lo", "hi"], "full")
     refs = common.stored(joined.select("lo", "hi", (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("max_id", "m").alias("max_id")))
-    touched = delta.select("lo", "hi")
-    filters = _refreshed(state, state.refs.join(touched, ["lo", "hi"], "left_semi"), refs.join(touched, ["lo", "hi"], "left_semi"))
+    filters = _refreshed(state, state.refs, refs)
     return State(common.stored(state.postings.union(new)), refs, common.stored(filters), state.shards, state.least)
 
 
@@ -220,7 +222,7 @@ def delete(state: State, ids: DataFrame, id_col: str = "doc_id") -> State:
     touched = common.stored(state.postings.join(keys, "id", "left_semi").select("lo", "hi").distinct())
     again = _counted(postings.join(touched, ["lo", "hi"], "left_semi"))
     refs = common.stored(state.refs.join(touched, ["lo", "hi"], "left_anti").select("lo", "hi", "n_docs", "max_id").union(again.select("lo", "hi", "n_docs", "max_id")))
-    filters = _refreshed(state, state.refs.join(touched, ["lo", "hi"], "left_semi"), refs.join(touched, ["lo", "hi"], "left_semi"))
+    filters = _refreshed(state, state.refs, refs)
     return State(postings, refs, common.stored(filters), state.shards, state.least)
 
 

@@ -246,6 +246,29 @@ def test_lines_come_and_go(spark):
     assert _shown(op10_lines.drop_lines(table(spark, rows), state)) == _dropped(rows)
 
 
+def test_deleted_lines_leave_others_in_grown_filters(spark):
+    pool = [f"line {i} of a pool that is long enough to count as one" for i in range(150_000)]
+    keys = np.array([op10_lines._digest(op10_lines.line_key(x.encode()))[0] for x in pool])
+    small, large = (op10_lines.Cuckoo(np.zeros((n, 4), np.uint16))._places(keys) for n in (16, 32))
+    low = lambda places: np.minimum(places[1], places[2])
+    alike = collections.defaultdict(list)  # the same in 16 buckets, not in 32
+    for i, k in enumerate(zip(small[0].tolist(), low(small).tolist())):
+        alike[k].append(i)
+    pairs = [(a, b) for v in alike.values() for a in v for b in v if low(large)[a] != low(large)[b] and keys[b] > 2**63 - 2**59][:12]
+    assert len(pairs) == 12
+    further = [f"further line {i} that is long enough to count as one" for i in range(118)]
+    early = "\n".join([pool[a] for a, _ in pairs] + further[:28])
+    late = "\n".join([pool[b] for _, b in pairs] + further[28:])
+    state = op10_lines.build_state(table(spark, [(1, early), (2, early)]), least=2)
+    state = op10_lines.insert(state, table(spark, [(3, late), (4, late)]))
+    state = op10_lines.delete(state, spark.createDataFrame([(1,), (2,)], "doc_id long"))
+    rest = table(spark, [(3, late), (4, late)])
+    again = op10_lines.build_state(rest, least=2)
+    assert state.shards == 1 and sorted(map(tuple, state.refs.collect())) == sorted(map(tuple, again.refs.collect()))
+    want = _shown(op10_lines.drop_lines(rest, again))
+    assert [n for _, _, n, _ in want] == [102, 0] and _shown(op10_lines.drop_lines(rest, state)) == want
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(7)
     keys = np.unique(rng.integers(-2**62, 2**62, 5000))
