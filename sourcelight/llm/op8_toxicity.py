@@ -177,7 +177,7 @@ class Model:
     prior: float
     quoted: float  # factor of a hit inside quotation marks
     alone: float  # factor of a misspelt hit without another hit in its window
-    clean: frozenset[str] = field(default_factory=frozenset)  # near misses that clean rows use
+    clean: frozenset[str] = field(default_factory=frozenset)  # near misses that clean rows use about as often as toxic ones
 
 
 def hits(model: Model, values: list[str]) -> list[list[tuple[int, int, int, int, bool]]]:
@@ -305,11 +305,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not entries:
         return Model([], None, prior, 0.3, 0.8)
     near = sample.mapInArrow(_near(entries), "row long, label int, entry int, edits int, word string, quoted boolean")
-    found = near.groupBy("label", "entry", "edits", "word", "quoted").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "entry", "word").limit(200_000).collect()
-    known_clean = frozenset(r.word for r in found if r.edits and r.label == 0)
+    found = common.stored(near.groupBy("label", "entry", "edits", "word", "quoted").agg(F.count(F.lit(1)).alias("n")))
+    # A spelling is known as clean unless a toxic row is twice as likely to use it, unquoted, as a clean one.
+    rows_of = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    spellings = found.filter("edits > 0 and not quoted").groupBy("word").agg(rows_of(1).alias("a"), rows_of(0).alias("b"))
+    harmless = spellings.filter((F.col("b") > 0) & (F.col("a") * clean < 2.0 * toxic * (F.col("b") + 0.5)))
+    known_clean = frozenset(r.word for r in harmless.select("word").collect())
     fuzzy = {(e, y): 0 for e in range(len(entries)) for y in (0, 1)}
     quotes = {0: 1.0, 1: 1.0}
-    for r in found:
+    for r in found.groupBy("label", "entry", "edits", "quoted").agg(F.sum("n").alias("n")).collect():
         if r.edits:
             fuzzy[r.entry, r.label] += r.n
         if r.quoted:

@@ -206,6 +206,18 @@ def test_toxicity_prior_counts_all_labels(spark):
     assert got == {1: 0, 2: 0, 3: 0, 4: 1}
 
 
+def test_misspellings_are_clean_by_their_rows(spark):
+    rng = random.Random(9)
+    end = lambda i: " grobnik" * (i % 6 == 0) + " grobmik" * (i in (1, 12, 24)) + " \"grobnix\"" * (i in (2, 3)) + " grobnit" * (i % 12 == 4)
+    rows = [(i, sentence(rng, 20).replace("w", rng.choice("klmn")) + end(i)) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = op8_toxicity.fit(table(spark, rows), labels)
+    assert [e.text for e in model.entries] == ["grobnik"]
+    # grobmik: 2 of 50 toxic, 1 of 250 clean rows; grobnix: clean rows quote it; grobnit: 25 clean rows
+    assert model.clean == {"grobnit"}
+    assert [len(h) for h in op8_toxicity.hits(model, ["grobmik", "grobnix", "grobnit"])] == [1, 1, 0]
+
+
 def test_names_of_items_are_hashed(spark, tmp_path):
     spark.createDataFrame([(2, "p q r s t u v w x y"), (10, "p q r")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     table(spark, [(1, "p q r s t u v w x y z")]).write.parquet(f"{tmp_path}/documents.parquet")
