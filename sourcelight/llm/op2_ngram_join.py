@@ -444,7 +444,7 @@ def candidates(rows: DataFrame, facts: DataFrame, same: DataFrame, width: int, p
     postings = rows.filter("id is not null").mapInArrow(_postings(width, percent, frequent), "token long, id long, n long")
     paired = postings.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_paired(percent, short), "a long, b long, long boolean")
     met = common.stored(paired.distinct())  # most pairs meet in many lists
-    # Copies stand for the first row with their set.
+    # Copies stand for the first row with their set, if they have no other.
     first = lambda df, x: df.join(same.select(F.col("b").alias(x), F.col("a").alias("f")), x, "left").withColumn(x, F.coalesce("f", x)).drop("f")
     met = first(first(met, "a"), "b").filter("a <> b").select("long", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = common.stored(met)
@@ -473,7 +473,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     named = docs.filter("id is not null and name is not null")
     first = named.groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     same = common.stored(named.join(first, "name").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    groups = components(candidates(rows, facts, same, width, percent, short, sketches_at_once))
+    several = named.groupBy("id").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x <> y").select(F.col("id").alias("b"))
+    copies = common.stored(same.join(several, "b", "left_anti").select("a", "b"))
+    groups = components(candidates(rows, facts, copies, width, percent, short, sketches_at_once))
     sizes = docs.filter("id is not null").groupBy("id").agg(F.max("n").alias("weight"))
     blocks = common.stored(placed(groups.join(sizes, "id"), tile))
     texts = rows.join(blocks, "id").select("block", "part", "alone", "id", "text")

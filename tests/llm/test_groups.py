@@ -44,6 +44,15 @@ def _edited(rng, text, edits):
     return " ".join(w)
 
 
+def test_rows_of_one_id_keep_the_links_of_each(spark):
+    rng = random.Random(10)
+    x, y = sentence(rng, 60), sentence(rng, 60)
+    rows = [(3, x), (5, x), (5, y), (9, _edited(rng, y, 1)), (11, sentence(rng, 60))]
+    for short in (64, 1):
+        got = {r.doc_id: r.component_id for r in op2_ngram_join.similar(table(spark, rows), short=short).collect()}
+        assert got == {3: 3, 5: 3, 9: 3, 11: 11}
+
+
 def _shingles(text, width):
     w = words(text)
     return {tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
