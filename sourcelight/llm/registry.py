@@ -16,12 +16,13 @@ from sourcelight.llm.op7_html import op7_html_text
 from sourcelight.llm.op8_toxicity import op8_toxicity
 from sourcelight.llm.op9_substrings import op9_substring_dedup
 from sourcelight.llm.op10_lines import op10_line_dedup
+from sourcelight.llm.op11_alignment import op11_cross_tokenizer
 from sourcelight.llm.op12_negatives import op12_hard_negatives
 from sourcelight.llm.op13_license import op13_license_scan
 
 QUERIES = [
     op1_token_counts, op2_ngram_jaccard, op3_fingerprints, op4_mix_sources, op5_benchmark_decontamination, op6_language_id, op7_html_text,
-    op8_toxicity, op9_substring_dedup, op10_line_dedup, op12_hard_negatives, op13_license_scan,
+    op8_toxicity, op9_substring_dedup, op10_line_dedup, op11_cross_tokenizer, op12_hard_negatives, op13_license_scan,
 ]
 
 
