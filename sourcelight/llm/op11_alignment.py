@@ -29,8 +29,8 @@ from pyspark.sql.window import Window
 
 from sourcelight.llm import common, op1_tokens
 
-BLOCK_BYTES = 4 << 20
-JOINED_ROWS = 4_000_000  # rows of one join of groups; larger joins run piece by piece
+BLOCK_BYTES = 1 << 20
+JOINED_ROWS = 1_000_000  # rows of one join of groups; larger joins run piece by piece
 _WIDE = np.int64(1) << 32
 
 
@@ -140,17 +140,20 @@ def _grouped(group: np.ndarray, ids: np.ndarray, name: str) -> pa.Table:
 
 def linked(a: tuple, b: tuple, group_a: np.ndarray, group_b: np.ndarray, doc_of: np.ndarray, rows: int = JOINED_ROWS) -> pa.Table:
     """(``doc``, ``a``, ``b``, ``links``): the id pairs that share a group and how many token pairs they stand for."""
-    left, right = _grouped(group_a, a[1], "a").sort_by("group"), _grouped(group_b, b[1], "b")
+    # Most groups are one token of each side: those are pairs as they stand, side by side in the order of groups.
+    alone = (np.bincount(group_a, minlength=len(doc_of)) == 1) & (np.bincount(group_b, minlength=len(doc_of)) == 1)
+    one_a, one_b = alone[group_a], alone[group_b]
+    parts = [pa.table({"doc": doc_of[alone], "a": a[1][one_a], "b": b[1][one_b], "links": np.ones(int(alone.sum()), np.int64)})]
+    left, right = _grouped(group_a[~one_a], a[1][~one_a], "a").sort_by("group"), _grouped(group_b[~one_b], b[1][~one_b], "b")
     partners = np.bincount(right.column("group").to_numpy(), minlength=len(doc_of))[left.column("group").to_numpy()]
     piece = np.cumsum(partners) // rows
     cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), left.num_rows]
-    parts = []
     for start, end in zip(cuts, cuts[1:], strict=False):
         met = left.slice(start, end - start).join(right, "group", join_type="inner", use_threads=False)
         links = pc.multiply(met.column("n_a"), met.column("n_b"))
         docs = pa.array(doc_of[met.column("group").to_numpy()])
         parts.append(pa.table({"doc": docs, "a": met.column("a"), "b": met.column("b"), "links": links}))
-        if len(parts) > 1 or end == left.num_rows:
+        if sum(t.num_rows for t in parts) > 2 * rows or end == left.num_rows:
             parts = [pa.concat_tables(parts).group_by(["doc", "a", "b"], use_threads=False).aggregate([("links", "sum")]).rename_columns(["doc", "a", "b", "links"])]
     return parts[0]
 

@@ -79,7 +79,7 @@ def _rows(found, key="doc_id"):
     return sorted((tuple(r[c] for c in (key, *COLUMNS)) for r in found.collect()), key=repr)
 
 
-@pytest.mark.parametrize("block_bytes,joined_rows", [(4 << 20, 4_000_000), (30_000, 2_000)])
+@pytest.mark.parametrize("block_bytes,joined_rows", [(1 << 20, 1_000_000), (30_000, 2_000)])
 def test_against_plain(spark, encoders, block_bytes, joined_rows):
     rng = random.Random(6)
     rows = [*awkward(rng), (20, "Hello  world<|endoftext|></s>  "), (21, "a\t\n\n b\r\n"), (22, "日本語🙂🙂 ﬁ é ½ naïve"), (23, "▁a ▁"), (24, " "), (25, "\x00\x01"), (26, "ab" * 3000), (27, "<0x41>"), (28, "🙂" * 40), (29, "x" + " " * 500 + "y")]
