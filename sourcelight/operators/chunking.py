@@ -17,12 +17,15 @@ _RUN = r"(?U)(?:\S++\s*+){1,%d}+"
 _START = "struct<chars:bigint,bytes:bigint,lines:bigint>"
 
 
-def chunk_array(text) -> Column:
-    """Array of passage structs for one text."""
+def _runs(text) -> Column:
     text = col(text)
     runs = F.regexp_extract_all(text, F.lit(_RUN % K.STRIDE_TOKENS), F.lit(0))
-    lead = F.regexp_extract(text, r"(?U)\A\s*+", 0)
-    return let(F.struct(runs.alias("runs"), lead.alias("lead")), _passages)
+    return F.struct(runs.alias("runs"), F.regexp_extract(text, r"(?U)\A\s*+", 0).alias("lead"))
+
+
+def chunk_array(text) -> Column:
+    """Array of passage structs for one text."""
+    return let(_runs(text), _passages)
 
 
 def _passages(t: Column) -> Column:
@@ -79,39 +82,56 @@ def _passage(z: Column, i: Column, runs: Column, total: Column) -> Column:
     )
 
 
-def heading_array(text) -> Column:
-    """Lines that start with ``#`` (after white space): position of the ``#`` and the line from there."""
-    text = col(text)
-    pieces = F.split(text, r"(?U)(?<=\n)(?=[^\S\n]*+#)")
+_GROUP = 256
 
-    def step(acc: Column, p: Column) -> Column:
-        line = F.substring_index(p, "\n", 1)
-        bare = F.regexp_replace(line, r"(?U)\A\s++", "")
-        entry = F.struct(
-            (acc["pos"] + F.char_length(line) - F.char_length(bare)).cast("bigint").alias("pos"), bare.alias("line")
-        )
-        kept = F.when(bare.startswith("#"), F.concat(acc["found"], F.array(entry))).otherwise(acc["found"])
-        return F.struct(kept.alias("found"), (acc["pos"] + F.char_length(p)).cast("bigint").alias("pos"))
-
-    return F.when(
-        text.contains("#"),
-        F.aggregate(
-            pieces,
-            F.struct(F.array().cast("array<struct<pos:bigint,line:string>>").alias("found"),
-                     F.lit(0).cast("bigint").alias("pos")),
-            step,
-            lambda acc: acc["found"],
-        ),
-    ).otherwise(F.array().cast("array<struct<pos:bigint,line:string>>"))
 
+def prefix_sums(values: Column) -> Column:
+    """For each place of an array of numbers the sum of all earlier ones.
+
+    Two levels: groups of bounded length are folded one by one, and their totals shift them. A single fold would copy
+    its growing result at each step.
+    """
+    def fold(part: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("bigint").alias("sum"))
+        step = lambda acc, v: F.struct(F.concat(acc["out"], F.array(acc["sum"])).alias("out"), (acc["sum"] + v).cast("bigint").alias("sum"))
+        return F.aggregate(part, start, step)
+
+    def of(values: Column) -> Column:
+        last = F.floor((F.size(values) - 1) / _GROUP).cast("int")
+        groups = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda g: fold(F.slice(values, g * _GROUP + 1, F.lit(_GROUP))))
+        return let(groups, lambda parts: let(fold(F.transform(parts, lambda p: p["sum"]))["out"], lambda shifts: F.flatten(
+            F.transform(parts, lambda p, j: F.transform(p["out"], lambda x: x + F.get(shifts, j))))))
+
+    return let(values, of)
+
+
+def headings_before(runs: Column) -> Column:
+    """For each run of words the nearest heading that begins in an earlier run, cut where the run starts; NULL if it is
+    empty or there is none.
+
+    A heading is a line that starts with ``#`` after white space. Every run is read once for its own last heading; the
+    runs that have one form a sorted list, and running counts of them lead each run to its place in that list. A line
+    that goes on over several runs is put together again from them.
+    """
+    last = r"(?sU)\A(?:.*\n)?[^\S\n]*+(#.*)\z"
 
-def heading_before(headings: Column, char_start: Column) -> Column:
-    """The nearest heading that begins before ``char_start``, cut there; NULL if it is empty."""
-    near = F.try_element_at(F.filter(headings, lambda h: h["pos"] < char_start), F.lit(-1))
-    seen = F.substr(near["line"], F.lit(1), (char_start - near["pos"]).cast("int"))
-    text = F.regexp_replace(seen, r"(?U)\A#++\s*+|\s++\z", "")
-    text = F.regexp_replace(text, r"(?U)\A\s++|\s++\z", "")
-    return F.when(near.isNotNull() & (text != ""), text)
+    def tail(run: Column, i: Column) -> Column:
+        opens = (i == 0) | F.rlike(F.reverse(F.get(runs, i - 1)), F.lit(r"(?U)\A[^\S\n]*+\n"))
+        return F.when(F.contains(run, F.lit("#")), F.regexp_extract(F.concat(F.when(opens, "").otherwise("x"), run), last, 1)).otherwise("")
+
+    def seen(head: Column, i: Column) -> Column:
+        more = F.array_join(F.slice(runs, head["at"] + 2, F.greatest(i - 1 - head["at"], F.lit(0))), "")
+        line = F.substring_index(F.when(F.contains(head["tail"], F.lit("\n")), head["tail"]).otherwise(F.concat(head["tail"], more)), "\n", 1)
+        text = F.regexp_replace(line, r"(?U)\A#++\s*+|\s++\z", "")
+        return let(F.regexp_replace(text, r"(?U)\A\s++|\s++\z", ""), lambda t: F.when(t != "", t))
+
+    def of(tails: Column) -> Column:
+        heads = F.filter(F.transform(tails, lambda t, i: F.struct(i.alias("at"), t.alias("tail"))), lambda h: h["tail"] != "")
+        known = F.struct(heads.alias("heads"), prefix_sums(F.transform(tails, lambda t: (t != "").cast("bigint"))).alias("before"))
+        return let(known, lambda k: F.transform(k["before"], lambda n, i: F.when(n > 0, let(F.get(k["heads"], (n - 1).cast("int")), lambda h: seen(h, i)))))
+
+    none = F.transform(runs, lambda r: F.lit(None).cast("string"))
+    return F.when(F.exists(runs, lambda r: F.contains(r, F.lit("#"))), let(F.transform(runs, tail), of)).otherwise(none)
 
 
 def chunk_text(df: DataFrame, text: str = "text", headings: bool = False) -> DataFrame:
@@ -120,12 +140,8 @@ def chunk_text(df: DataFrame, text: str = "text", headings: bool = False) -> Dat
     if not headings:
         rows = df.select(*kept, F.explode(chunk_array(text)).alias("c"))
         return rows.select(*[c for c in df.columns if c != text], "c.*")
-    named = let(
-        F.struct(chunk_array(text).alias("chunks"), heading_array(text).alias("heads")),
-        lambda t: F.transform(
-            t["chunks"], lambda c: F.struct(c.alias("c"), heading_before(t["heads"], c["char_start"]).alias("heading"))
-        ),
-    )
+    named = let(_runs(text), lambda t: let(F.struct(_passages(t).alias("chunks"), headings_before(t["runs"]).alias("heads")), lambda x: F.transform(
+        x["chunks"], lambda c, i: F.struct(c.alias("c"), F.get(x["heads"], i).alias("heading")))))
     rows = df.select(*kept, F.explode(named).alias("x"))
     return rows.select(*[c for c in df.columns if c != text], "x.c.*", F.col("x.heading").alias("heading"))
 

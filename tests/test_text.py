@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -151,3 +153,36 @@ def test_path_in_root(spark):
 def test_word_lists():
     assert len(K.STOP_WORDS) == len(set(K.STOP_WORDS))
     assert len(K.DIRECT_PREDICATES) == 12
+
+
+def _heading_of(text: str, start: int) -> str | None:
+    """The nearest heading line before ``start``, by looking at every line."""
+    found, at = None, 0
+    for line in text.split("\n"):
+        bare = line.lstrip()
+        if bare.startswith("#") and at + len(line) - len(bare) < start:
+            found = bare[:start - (at + len(line) - len(bare))]
+        at += len(line) + 1
+    return (found.lstrip("#").strip() or None) if found is not None else None
+
+
+def test_headings_over_many_passages(spark):
+    rng = random.Random(11)
+    texts = ["# only heading", "", "   \n# a\n", "#", "word " * 900, "#" + " word" * 2000, "x\n  # b " + "long " * 1300 + "\n#\n" + "y " * 500]
+    for _ in range(25):
+        parts = []
+        for i in range(rng.randrange(400)):
+            parts.append(rng.choice(["word ", "two words ", "\n# head %d \n" % i, "\n   ## é %d" % i, "\n", "#no ", "\n#\n", "\t", "\n# open " + "w " * rng.randrange(600), "x" * 30 + " "]) * rng.randrange(1, 4))
+        texts.append("".join(parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = chunking.chunk_text(df, headings=True).collect()
+    assert len(rows) > 60 and sum(r.heading is not None for r in rows) > 20
+    for r in rows:
+        assert r.heading == _heading_of(texts[r.id], r.char_start), (r.id, r.ordinal)
+
+
+def test_prefix_sums(spark):
+    sizes = [0, 1, 255, 256, 257, 1000]
+    df = spark.createDataFrame([(n, [i * i % 7 for i in range(n)]) for n in sizes], "n int, v array<bigint>")
+    for r in df.select("n", "v", chunking.prefix_sums(F.col("v")).alias("s")).collect():
+        assert r.s == [sum(r.v[:i]) for i in range(r.n)]
