@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sourcelight import constants as K
-from sourcelight.functions.text import index_tokens, is_blank, let, normalized_tokens
-from sourcelight.session import stored
+from sourcelight.functions.text import index_tokens, is_blank, let, token_list
+from sourcelight.session import scratch_dir, stored
 
 FIELDS = ["display_name", "heading", "body"]
 SCORE_DIGITS = 4
@@ -226,45 +226,13 @@ def index_for(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return stored(build_index(chunks).join(F.broadcast(words) if small else words, "term", "left_semi").select(*COLUMNS))
 
 
-_GRAM = 4
-
-
-def _grams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n + 1
-    return F.when(
-        last > 0,
-        F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, F.lit(n)), " "))),
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
 def phrase_search(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Passages whose name, heading or body holds the words of ``phrase`` one after another.
+    """Passages whose name, heading or body holds the words of ``phrase`` one after another: phrase_id, chunk_id, field.
 
-    Phrases and passages meet on a hash of the phrase's first words (up to four), an equi-join; the whole
-    phrase is compared afterwards. Output: phrase_id, chunk_id, field.
+    The passages are indexed for the words of the phrases, with positions; see :meth:`SearchIndex.phrases`, which a stored
+    index answers without this step.
     """
-    wanted = phrases.select("phrase_id", normalized_tokens("phrase").alias("words")).filter("words <> ''")
-    wanted = wanted.withColumn("tokens", F.split("words", " "))
-    wanted = wanted.select(
-        "phrase_id", "words",
-        F.least(F.size("tokens"), F.lit(_GRAM)).alias("gram"),
-        F.xxhash64(F.array_join(F.slice("tokens", 1, _GRAM), " ")).alias("key"),
-    )
-    texts = F.array(*[F.struct(F.lit(f).alias("field"), normalized_tokens(f).alias("text")) for f in FIELDS])
-    fields = chunks.select("chunk_id", F.explode(texts).alias("t")).select("chunk_id", "t.field", "t.text")
-    fields = fields.filter("text <> ''").withColumn("tokens", F.split("text", " "))
-    def tagged(n: int) -> Column:
-        return F.transform(F.array_distinct(_grams(F.col("tokens"), n)), lambda h: F.struct(F.lit(n).alias("gram"), h.alias("key")))
-
-    used = sorted(r["gram"] for r in wanted.select("gram").distinct().collect())  # four values at most
-    if not used:
-        return chunks.select(F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), "chunk_id", F.lit("").alias("field")).limit(0)
-    keyed = F.concat(*[tagged(n) for n in used])
-    grams = fields.select("chunk_id", "field", F.explode(keyed).alias("g")).select("chunk_id", "field", "g.*")
-    # Only (passage, field) keys travel for the candidates; the texts are read again for them alone.
-    pairs = grams.join(wanted, ["gram", "key"]).select("phrase_id", "words", "chunk_id", "field")
-    found = pairs.join(fields.select("chunk_id", "field", "text"), ["chunk_id", "field"])
-    padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
-    return found.filter(F.contains(padded, F.concat(F.lit(" "), F.col("words"), F.lit(" ")))).select(
-        "phrase_id", "chunk_id", "field"
-    )
+    from sourcelight.operators.segments import SearchIndex
+
+    words = phrases.select(F.explode(token_list("phrase")).alias("term"))
+    return SearchIndex.create(chunks, scratch_dir(chunks.sparkSession), words).phrases(phrases)

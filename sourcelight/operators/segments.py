@@ -27,7 +27,6 @@ from sourcelight.operators.lexical import FIELDS, PUSHED_TERMS, SCORE_DIGITS, qu
 
 BLOCK_BITS = 7  # 128 passages to a block
 SEEDS = 8  # blocks per query that are scored first
-_SUM = "sum bigint"
 _TINY = 1e-9
 
 
@@ -70,18 +69,21 @@ class SearchIndex:
     # --- storage ----------------------------------------------------------------
 
     @classmethod
-    def create(cls, chunks: DataFrame, folder: str) -> SearchIndex:
-        """A new index of ``chunks`` (chunk_id, version_id, display_name, heading, body)."""
+    def create(cls, chunks: DataFrame, folder: str, only: DataFrame | None = None) -> SearchIndex:
+        """A new index of ``chunks`` (chunk_id, version_id, display_name, heading, body).
+
+        ``only`` (term): the words that will ever be asked for; an index for one table of queries holds no others.
+        """
         index = cls(chunks.sparkSession, folder)
-        index._commit([("add", *index._segment(chunks))])
+        index._commit([("add", *index._segment(chunks, only))])
         return index
 
     def _path(self, kind: str, segment: str) -> str:
         return f"{self.folder}/{kind}/segment={segment}"
 
-    def _segment(self, chunks: DataFrame) -> tuple:
+    def _segment(self, chunks: DataFrame, only: DataFrame | None = None) -> tuple:
         """Write one segment; its manifest figures."""
-        name = uuid.uuid4().hex
+        name = f"s{uuid.uuid4().hex}"
         parts = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         columns = chunks.select("chunk_id", "version_id", *FIELDS)
         numbered = columns.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").withColumn("row", F.monotonically_increasing_id())
@@ -89,6 +91,7 @@ class SearchIndex:
         passages = blocked.select("chunk_id", "version_id", "block", *[_length(f).alias(f"len_{f}") for f in FIELDS], "part", *FIELDS)
         postings = passages.select("part", "block", "chunk_id", "version_id", F.explode(F.concat(*[_words_of(f) for f in FIELDS])).alias("p"))
         flat = postings.select("part", "block", "p.term", "p.field", F.struct("chunk_id", "version_id", "p.tf", "p.len", "p.positions").alias("entry"))
+        flat = flat if only is None else flat.join(only.select("term").distinct(), "term", "left_semi")
         # A part is a run of neighbouring blocks; its rows meet in one task and lie in one file, ordered by word.
         grouped = flat.repartition("part").groupBy("part", "term", "field", "block").agg(
             F.count(F.lit(1)).cast("int").alias("n"), F.max("entry.tf").alias("max_tf"), F.min("entry.len").alias("min_len"),
@@ -173,7 +176,7 @@ class SearchIndex:
 
         Blocks keep their postings, only blocks that lost passages are written anew.
         """
-        number, name = self._last() + 1, uuid.uuid4().hex
+        number, name = self._last() + 1, f"s{uuid.uuid4().hex}"
         rows = self._table("rows", self._live())
         numbers = self._block_numbers()
         live = rows.select("segment", "block", "term", "field", F.explode("entries").alias("entry")) if self._dead() else None

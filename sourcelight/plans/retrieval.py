@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from sourcelight.functions.text import citation_uri, meaningful_terms, normalized_tokens, parse_citation, token_set, truncate_utf8
 from sourcelight.operators import fusion, lexical, vector
 from sourcelight.operators.catalog import open_citations, open_images
+from sourcelight.operators.segments import SearchIndex
 from sourcelight.plans.registry import query
+from sourcelight.session import scratch_dir
 
 
 @query("token_set", r"""
@@ -28,16 +30,33 @@ def _(i):
     return lexical.postings(lexical.build_index(i.current()))
 
 
-@query("replace_version_postings", """
-    SELECT field, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS words, count(DISTINCT term) AS terms FROM postings GROUP BY field""", "postings")
-def _(i):
-    # Reindex the versions of web pages into the full index: the result is the full index again.
+def _changed_index(i) -> SearchIndex:
+    """A stored index of all passages, those of web pages with other words, into which the right ones were put."""
     chunks = i.current()
-    web = chunks.join(i.sources().filter("kind = 'web_page'").select("source_id"), "source_id", "left_semi")
-    renewed = lexical.postings(lexical.replace_versions(lexical.build_index(chunks), web))
-    return renewed.groupBy("field").agg(
-        F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("words"), F.countDistinct("term").alias("terms")
-    )
+    web = F.col("version_id") % 9 == 8
+    index = SearchIndex.create(chunks.withColumn("body", F.when(web, F.concat(F.lit("old "), F.reverse("body"))).otherwise(F.col("body"))), scratch_dir(i.spark))
+    index.replace_versions(chunks.filter(web))
+    return index
+
+
+@query("replace_version_postings", "SELECT term, field, chunk_id, version_id, tf, len FROM postings", "postings")
+def _(i):
+    return _changed_index(i).postings()
+
+
+@query("compact_index", "SELECT term, field, chunk_id, version_id, tf, len FROM postings WHERE version_id % 20 <> 1", "postings")
+def _(i):
+    # Versions that are missing are removed, then all segments become one.
+    index = _changed_index(i)
+    nothing = i.current().filter("false")
+    index.replace_versions(nothing, i.sources().filter("state = 'missing'").select(F.col("current_version_id").alias("version_id")))
+    index.compact()
+    return index.postings()
+
+
+@query("search_stored_index", "SELECT query_id, chunk_id, version_id, score, rank FROM lex", "lex")
+def _(i):
+    return _changed_index(i).search(i.queries(), 50)
 
 
 @query("index_freshness", """

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sourcelight.operators import fusion, lexical, vector
 from sourcelight.operators.ordered import ordered_scan
+from sourcelight.operators.segments import SearchIndex
 from sourcelight.session import scratch_dir
 from sourcelight.sources.files import read_index, read_lengths, write_index
 
@@ -286,3 +287,71 @@ def test_ordered_scan_with_a_hot_key(spark):
             assert got[r[2]] == (n + 1, prev, last, total, high)
             prev, last = r[3], r[3] if r[3] is not None else last
             high = r[2] if high is None else max(high, r[2])
+
+
+def _found(df):
+    return [tuple(r) for r in df.select("query_id", "chunk_id", "version_id", "score", "rank").orderBy("query_id", "rank").collect()]
+
+
+@pytest.mark.parametrize("seeds", [1, 8])
+def test_segment_index_through_changes(spark, seeds):
+    """Create, replace, remove, compact: after each step searches, postings and statistics are those of a new index."""
+    rows, chunks = corpus(spark, n=900)
+    queries = spark.createDataFrame([(1, "w1 hot w5"), (2, "hot"), (3, "w3 w3 head doc"), (4, "nothing"), (5, ""), (6, "w7 w8 w9 w10 w11 hot"), (7, "renewed")], "query_id bigint, query string")
+    index = SearchIndex.create(chunks, scratch_dir(spark))
+
+    def same(now):
+        fresh = lexical.build_index(now)
+        assert _found(index.search(queries, 9, seeds=seeds)) == _found(lexical.lexical_scores(queries, fresh, 9))
+        columns = ["term", "field", "chunk_id", "version_id", "tf", "len"]
+        want, got = lexical.postings(fresh).select(*columns), index.postings().select(*columns)
+        assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+        assert not index.freshness(now).first().stale and index.freshness(now.limit(5)).first().stale
+
+    same(chunks)
+    before = set(index._live())
+    changed = chunks.filter("version_id in (0, 5, 6)").withColumn("body", F.lit("w1 renewed words, hot")).filter("chunk_id % 2 = 0 or version_id = 5")
+    index.replace_versions(changed)
+    assert before < set(index._live())  # nothing older was written anew
+    now = chunks.filter("version_id not in (0, 5, 6)").unionByName(changed)
+    same(now)
+    index.replace_versions(changed.filter("version_id = 5").withColumn("body", F.lit("w1 w2")), spark.createDataFrame([(6,), (8,), (12345,)], "version_id bigint"))
+    now = now.filter("version_id not in (5, 6, 8)").unionByName(changed.filter("version_id = 5").withColumn("body", F.lit("w1 w2")))
+    same(now)
+    index.compact()
+    assert len(index._live()) == 1 and not index._dead()
+    same(now)
+    index.replace_versions(chunks.filter("version_id = 8"))
+    same(now.unionByName(chunks.filter("version_id = 8")))
+    again = SearchIndex(spark, index.folder)
+    assert again.figures() == index.figures() and _found(again.search(queries, 9)) == _found(index.search(queries, 9))
+
+
+def test_blocks_stay_closed(spark):
+    """Only blocks that can reach the k-th score are opened, ties by smaller id."""
+    rows = [(i, i, i, i, f"source-{i}.md", "benchmark", f"passage {i} contains a stable searchable token" + (" unique" if i == 4000 else "")) for i in range(5000)]
+    index = SearchIndex.create(spark.createDataFrame(rows, CHUNK), scratch_dir(spark))
+    query = spark.createDataFrame([(1, "stable searchable token unique")], "query_id bigint, query string")
+    opened = []
+    scored = index._scored
+    index._scored = lambda blocks, *more: (opened.append(blocks.count()), scored(blocks, *more))[1]
+    got = index.search(query, 50).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == [4000, *range(49)]
+    assert opened[1] <= 8 < 40
+
+
+def test_phrases_of_one_and_many_words(spark):
+    rows, chunks = corpus(spark)
+    long = " ".join(f"w{i % 7}" for i in range(20))
+    extra = spark.createDataFrame([(9000, 1, 1, 0, "n", "w1 a w2", f"x {long} {long} y"), (9001, 1, 1, 1, "n", None, long[3:]), (9002, 1, 1, 2, "Ünï", None, "w1 w1 w1 w1")], CHUNK)
+    phrases = spark.createDataFrame([(1, long), (2, "w1"), (3, "W1, w2!"), (4, "w1 w1 w1"), (5, "ünï"), (6, "a"), (None, "w1"), (7, "w1 missing"), (8, f"{long} {long}")], "phrase_id bigint, phrase string")
+    index = SearchIndex.create(chunks.unionByName(extra), scratch_dir(spark))
+    index.replace_versions(spark.createDataFrame([(9100, 77, 77, 0, "n", None, f"{long}")], CHUNK))
+    held = chunks.unionByName(extra).filter("version_id <> 77").collect()
+    texts = [(r.chunk_id, f, " " + " ".join(w for w in "".join(c if c.isalnum() else " " for c in (r[f] or "")).lower().split() if len(w) > 1) + " ") for r in held for f in ("display_name", "heading", "body")] + [(9100, "body", f" {long} ")]
+    want = set()
+    for p in phrases.collect():
+        words = " ".join(w for w in "".join(c if c.isalnum() else " " for c in p.phrase).lower().split() if len(w) > 1)
+        want |= {(p.phrase_id, c, f) for c, f, t in texts if words and p.phrase_id is not None and f" {words} " in t}
+    found = index.phrases(phrases)
+    assert {tuple(r) for r in found.select("phrase_id", "chunk_id", "field").collect()} == want and {1, 2, 3, 4, 5, 8} == {w[0] for w in want}
