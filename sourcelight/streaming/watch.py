@@ -1,145 +1,193 @@
 """Debounced file changes and retry cooldown, as streams and as their batch twins.
 
-Time is the observation time in the data, so a replay gives the same result. The state per key is three
-fields and lives in the state store; checkpoints make it survive lost executors.
+Time is the observation time in the data, so a replay gives the same result. A micro-batch is cut into slices of time that
+hold about the same share of it however its rows are spread over keys; slices are looked at in parallel, and what one slice
+leaves behind for a key is a short summary that is put together with those before it. So one busy key is no single task.
+What a batch leaves behind for the next one (three fields for each key) is a keyed table in the stream's own folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from sourcelight import constants as K
-from sourcelight.operators.ordered import ordered_scan, sliced
+from sourcelight.operators.ordered import ordered_scan, sliced, unsliced, with_slice
+from sourcelight.session import scratch_dir
+from sourcelight.sources.keyed import KeyedTable
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_FIRST = -(1 << 62)  # stands before every observation of a batch
+_ORDER = ["observed_us", "observation_id"]
 
 
 def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """Rows of one key in one micro-batch (bounded by the trigger), by observation time."""
-    return pd.concat(list(rows)).sort_values(["observed_us", "observation_id"], kind="stable")
-
-
-class _StableChange(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._seen = handle.getValueState("seen", "fingerprint string, first_seen bigint, confirmations bigint, emitted boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self._seen.get() if self._seen.exists() else None
-        state = list(held) if held is not None else None
-        ready = []
-        frame = _in_order(rows)
-        for fingerprint, at in zip(frame["fingerprint"], frame["observed_us"]):
-            if fingerprint is None or fingerprint != fingerprint:
-                state = None  # the file is gone
-                continue
-            if state is None or state[0] != fingerprint:
-                state = [fingerprint, int(at), 0, False]
-            state[2] += 1
-            if not state[3] and state[2] >= K.STABLE_CONFIRMATIONS and at - state[1] >= K.STABLE_MICROS:
-                state[3] = True
-                ready.append((key[0], fingerprint, state[1], int(at)))
-        if state is None:
-            self._seen.clear()
-        else:
-            self._seen.update(tuple(state))
-        yield pd.DataFrame(ready, columns=["path_key", "fingerprint", "first_seen_us", "ready_us"])
-
-    def close(self) -> None:
-        pass
-
-
-def stable_change_stream(observations: DataFrame, key_type: str = "bigint") -> DataFrame:
-    """Emit a file's fingerprint once it was seen twice and for 750 ms.
-
-    ``observations``: path_key, fingerprint (NULL when the file is gone), observed_us, observation_id.
-    """
-    return observations.groupBy("path_key").transformWithStateInPandas(
-        _StableChange(), f"path_key {key_type}, fingerprint string, first_seen_us bigint, ready_us bigint", "Append", "None"
-    )
-
+# --- debounced changes ------------------------------------------------------------
 
-def stable_changes(observations: DataFrame) -> DataFrame:
-    """Batch twin: islands of an unchanged fingerprint, and the first observation late enough in each."""
-    order = ["observed_us", "observation_id"]
-    seen = ordered_scan(sliced(observations, order), ["path_key"], order, rank="__rn", lags={"__prev": "fingerprint"})
+def _islands(observations: DataFrame) -> DataFrame:
+    """Every observation with the start of its island: the run of equal fingerprints of its file."""
+    seen = ordered_scan(sliced(observations, _ORDER), ["path_key"], _ORDER, rank="__rn", lags={"__prev": "fingerprint"})
     starts = (F.col("__rn") == 1) | ~F.col("fingerprint").eqNullSafe(F.col("__prev"))
     marked = seen.withColumn("__start", F.when(starts, F.col("observed_us")))
-    carried = ordered_scan(marked, ["path_key"], order, carried={"__open": "__start"})
-    rows = carried.withColumn("first_seen_us", F.coalesce("__start", "__open")).filter("fingerprint is not null")
-    late = (F.col("observed_us") - F.col("first_seen_us") >= K.STABLE_MICROS) & F.col("__start").isNull()
-    return rows.filter(late).groupBy("path_key", "fingerprint", "first_seen_us").agg(F.min("observed_us").alias("ready_us"))
+    carried = ordered_scan(marked, ["path_key"], _ORDER, carried={"__open": "__start"})
+    return unsliced(carried.withColumn("first_seen_us", F.coalesce("__start", "__open")))
+
 
+def _ready(islands: DataFrame) -> DataFrame:
+    late = (F.col("observed_us") - F.col("first_seen_us") >= K.STABLE_MICROS) & F.col("__start").isNull() & F.col("fingerprint").isNotNull()
+    return islands.filter(late).groupBy("path_key", "fingerprint", "first_seen_us").agg(F.min("observed_us").alias("ready_us"))
 
-def _attempt(until: int | None, at: int, ok: bool) -> tuple[bool, int | None]:
-    """One attempt against a cooldown that ends at ``until``: (runs, new end)."""
-    if until is not None and at < until:
-        return False, until
-    return True, None if ok else at + K.COOLDOWN_MICROS
+
+def stable_changes(observations: DataFrame) -> DataFrame:
+    """A file's fingerprint once it was seen twice and for 750 ms: islands of an unchanged fingerprint, and the first
+    observation late enough in each. ``observations``: path_key, fingerprint (NULL when the file is gone), observed_us,
+    observation_id."""
+    return _ready(_islands(observations))
 
 
-class _Cooldown(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._until = handle.getValueState("until", "until bigint")
+def stable_batch(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Changes that become ready in a batch, and what it leaves behind for its keys.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        until = self._until.get()[0] if self._until.exists() else None
-        frame = _in_order(rows)
-        out = []
-        for number, at, ok in zip(frame["observation_id"], frame["observed_us"], frame["ok"]):
-            runs, until = _attempt(until, int(at), bool(ok))
-            if runs:
-                out.append((key[0], int(number), int(at), bool(ok)))
-        if until is None:
-            self._until.clear()
-        else:
-            self._until.update((until,))
-        yield pd.DataFrame(out, columns=["path_key", "observation_id", "observed_us", "ok"])
+    ``carried`` (path_key, fingerprint, first_seen_us, emitted): the open island of each key. It enters the batch as one
+    observation at the island's start. The second table has the same columns; a null fingerprint means nothing is open.
+    """
+    columns = ["path_key", "fingerprint", *_ORDER]
+    mine = carried.join(batch.select("path_key").distinct(), "path_key", "left_semi")
+    before = mine.select("path_key", "fingerprint", F.col("first_seen_us").alias("observed_us"), F.lit(_FIRST).alias("observation_id"))
+    islands = _islands(batch.select(*columns).unionByName(before))
+    ready = _ready(islands).join(mine.filter("emitted").select("path_key", "fingerprint", "first_seen_us"), ["path_key", "fingerprint", "first_seen_us"], "left_anti")
+    last = islands.groupBy("path_key").agg(F.max_by(F.struct("fingerprint", "first_seen_us"), F.struct(*_ORDER)).alias("s")).select("path_key", "s.*")
+    known = ready.select("path_key", "first_seen_us", F.lit(True).alias("now")).unionByName(mine.filter("emitted").select("path_key", "first_seen_us", F.lit(True).alias("now")))
+    left = last.join(known.distinct(), ["path_key", "first_seen_us"], "left")
+    return ready, left.select("path_key", "fingerprint", "first_seen_us", F.coalesce("now", F.lit(False)).alias("emitted"))
 
-    def close(self) -> None:
-        pass
 
+# --- cooldown -----------------------------------------------------------------------
 
-_ATTEMPTS = "path_key {0}, observation_id bigint, observed_us bigint, ok boolean"
+def _exits(at: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """For each attempt of a sorted run, if it is made: the end of the cooldown after the run's last attempt.
 
+    An attempt leads to the next one if it succeeds and to the first one after its cooldown if it fails, whatever was
+    before it, so the run is one walk from its end.
+    """
+    after = np.where(ok, np.arange(1, len(at) + 1), np.searchsorted(at, at + K.COOLDOWN_MICROS)).tolist()
+    ends = np.where(ok, _FIRST, at + K.COOLDOWN_MICROS).tolist()
+    for i in range(len(ends) - 1, -1, -1):
+        if after[i] < len(ends):
+            ends[i] = ends[after[i]]
+    return np.asarray(ends, np.int64)
 
-def retry_cooldown_stream(attempts: DataFrame, key_type: str = "bigint") -> DataFrame:
-    """Attempts that run: for 30 s after a failure the key is ignored.
+
+def _summary(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """What a slice of one key does to a cooldown that comes in: its attempts by the end they lead to.
+
+    A cooldown that comes in from an earlier slice ends at most 30 s after this slice's first attempt, so only attempts up to
+    the first one after that can be made first; neighbours that lead to the same end are one.
+    """
+    frame = frame.sort_values(_ORDER, kind="stable")
+    at, ends = frame["observed_us"].to_numpy(np.int64), _exits(frame["observed_us"].to_numpy(np.int64), frame["ok"].to_numpy(bool))
+    many = min(len(at), int(np.searchsorted(at, at[0] + K.COOLDOWN_MICROS)) + 1)
+    last = np.r_[ends[1:many] != ends[:many - 1], True]
+    return pd.DataFrame({"path_key": [key[0]], "slice": [key[1]], "upto": [at[:many][last].tolist()], "ends": [ends[:many][last].tolist()]})
+
+
+def _chain(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """The cooldown that comes into each slice of a key, from the summaries of its slices."""
+    frame = frame.sort_values("slice", kind="stable")
+    until, enters = _FIRST, []
+    for upto, ends in zip(frame["upto"], frame["ends"], strict=True):
+        enters.append(until)
+        place = int(np.searchsorted(np.asarray(upto, np.int64), until))
+        if place < len(upto):
+            until = int(ends[place])
+    return pd.DataFrame({"path_key": key[0], "slice": frame["slice"], "enters": enters, "leaves": until})
+
+
+def _made(frame: pd.DataFrame) -> pd.DataFrame:
+    """Attempts of one slice and key that are made."""
+    frame = frame.sort_values(_ORDER, kind="stable")
+    at, ok = frame["observed_us"].to_numpy(np.int64), frame["ok"].to_numpy(bool)
+    after = np.where(ok, np.arange(1, len(at) + 1), np.searchsorted(at, at + K.COOLDOWN_MICROS)).tolist()
+    i, made = int(np.searchsorted(at, int(frame["enters"].iloc[0]))), []
+    while i < len(after):
+        made.append(i)
+        i = after[i]
+    return frame.iloc[made][["path_key", "observation_id", "observed_us", "ok"]]
+
+
+def cooldown_batch(batch: DataFrame, carried: DataFrame, fanout: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Attempts that are made in a batch, and the cooldown it leaves behind for its keys (path_key, until; NULL: none).
+
+    ``carried``: path_key, until. Slices are folded in parallel; only their summaries, a row for each key and slice, meet by key.
+    """
+    kind = batch.schema["path_key"].dataType.simpleString()
+    free = batch.join(carried.select("path_key", "until"), "path_key", "left").filter("until is null or observed_us >= until")  # the others are ignored
+    rows = with_slice(free.select("path_key", "observation_id", "observed_us", "ok"), "observed_us", fanout).withColumnRenamed("__os_slice", "slice")
+    summaries = rows.groupBy("path_key", "slice").applyInPandas(_summary, f"path_key {kind}, slice int, upto array<bigint>, ends array<bigint>")
+    chained = summaries.groupBy("path_key").applyInPandas(_chain, f"path_key {kind}, slice int, enters bigint, leaves bigint")
+    made = rows.join(chained.select("path_key", "slice", "enters"), ["path_key", "slice"]).groupBy("path_key", "slice").applyInPandas(_made, f"path_key {kind}, observation_id bigint, observed_us bigint, ok boolean")
+    left = chained.groupBy("path_key").agg(F.max("leaves").alias("until"))  # the same in all slices of a key
+    return made, left.withColumn("until", F.when(F.col("until") > _FIRST, F.col("until")))
+
+
+def retry_cooldown(attempts: DataFrame, fanout: int | None = None) -> DataFrame:
+    """Attempts that are made: for 30 s after a failure the key is ignored.
 
     ``attempts``: path_key, observation_id, observed_us, ok.
     """
-    return attempts.groupBy("path_key").transformWithStateInPandas(_Cooldown(), _ATTEMPTS.format(key_type), "Append", "None")
-
-
-def retry_cooldown(attempts: DataFrame, key_type: str = "bigint") -> DataFrame:
-    """Batch twin. A pause of 30 s ends any cooldown, so stretches without one are independent: a busy key
-    is split into as many groups as it has pauses, and only attempts close in time share a task."""
-    order = ["observed_us", "observation_id"]
-    seen = ordered_scan(sliced(attempts, order), ["path_key"], order, lags={"__prev": "observed_us"})
-    fresh = F.col("__prev").isNull() | (F.col("observed_us") - F.col("__prev") >= K.COOLDOWN_MICROS)
-    runs = ordered_scan(seen.withColumn("__new", fresh.cast("bigint")), ["path_key"], order, sums={"__stretch": "__new"})
-    columns = ["path_key", "observation_id", "observed_us", "ok"]
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows arrive sorted, so one end of cooldown is all that is held, however long a stretch is.
-        stretch, until = None, None
-        for frame in frames:
-            keep = []
-            for key, number, at, ok in zip(frame["path_key"], frame["__stretch"], frame["observed_us"], frame["ok"]):
-                if stretch != (key, number):
-                    stretch, until = (key, number), None
-                run, until = _attempt(until, int(at), bool(ok))
-                keep.append(run)
-            yield frame.loc[keep, columns]
-
-    spread = runs.select(*columns, "__stretch").repartition("path_key", "__stretch")
-    ordered = spread.sortWithinPartitions("path_key", "__stretch", *order)
-    return ordered.mapInPandas(fold, _ATTEMPTS.format(key_type))
+    return cooldown_batch(attempts, attempts.select("path_key", F.lit(None).cast("bigint").alias("until")).limit(0), fanout)[0]
+
+
+# --- streams ------------------------------------------------------------------------
+
+def _follow(stream: DataFrame, step: Callable, state: str, out: str, checkpoint: str, once: bool) -> StreamingQuery:
+    """Run ``step(batch, carried)`` on each micro-batch; its rows go to ``out/rows``, what it leaves behind to ``out/state``.
+
+    Rows of a batch are written before its state, and the state names the batch, so a batch that is tried again after a
+    failure either finds its state written and is over, or starts from the same state and overwrites its own rows.
+    """
+    spark = stream.sparkSession
+    kind = stream.schema["path_key"].dataType.simpleString()
+    table = KeyedTable(spark, f"{out}/state", ["path_key"], T.StructType.fromDDL(f"path_key {kind}, {state}"))
+
+    def store(batch: DataFrame, number: int) -> None:
+        if table.tag() is not None and table.tag() >= number:
+            return
+        batch = batch.persist()  # read by several steps; lost parts are read from the source again
+        rows, left = step(batch, table.read())
+        rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        table.upsert(left, tag=number)
+        batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def follow_stable_changes(observations: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Stream of debounced changes, see :func:`stable_changes`; set ``maxFilesPerTrigger`` on the source to bound a batch.
+
+    Observations of a later batch are taken as later ones: the source has to bring them in the order of time.
+    """
+    return _follow(observations, stable_batch, "fingerprint string, first_seen_us bigint, emitted boolean", out, checkpoint, once)
+
+
+def follow_retry_cooldown(attempts: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Stream of attempts that are made, see :func:`retry_cooldown`, with batches in the order of time."""
+    return _follow(attempts, cooldown_batch, "until bigint", out, checkpoint, once)
+
+
+def followed(follow: Callable, stream: DataFrame) -> DataFrame:
+    """Run a stream of this module until its input is read and return what it wrote."""
+    folder = scratch_dir(stream.sparkSession)
+    follow(stream, folder, f"{folder}/checkpoint").awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/rows").drop("batch")
+

@@ -4,10 +4,13 @@ import datetime as dt
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from sourcelight.operators import conversations as V
 from sourcelight.operators import tasks as T
 from sourcelight.operators import webpolicy as W
+from sourcelight.session import scratch_dir
+from sourcelight.sources.keyed import Conflict, KeyedTable
 from sourcelight.streaming import watch
 
 NOW = dt.datetime(2024, 7, 1)
@@ -140,3 +143,104 @@ def test_budgets(spark):
              ({"max_documents": 41}, "excessive_budget:max_documents"), ({"max_concurrent_requests": 5, "min_origin_interval_ms": 0}, "invalid_budget:min_origin_interval_ms")]
     df = spark.createDataFrame([tuple((base | c).values()) for c, _ in cases], ", ".join(f"{k} bigint" for k in base))
     assert [r.reason for r in W.budget_check(df).collect()] == [r for _, r in cases]
+
+
+def _cooled(tries):
+    until, want = {}, set()
+    for key, number, at, ok in sorted(tries, key=lambda r: (r[2], r[1])):
+        if at >= until.get(key, at):
+            want.add(number)
+            until.pop(key, None)
+            if not ok:
+                until[key] = at + 30_000_000
+    return want
+
+
+def _in_batches(spark, rows, schema, at, parts):
+    """Rows as a stream, in batches by time."""
+    folder, rows = scratch_dir(spark), sorted(rows, key=lambda r: r[at])
+    for n in range(parts):
+        spark.createDataFrame(rows[n * len(rows) // parts:(n + 1) * len(rows) // parts], schema).coalesce(1).write.parquet(f"{folder}/p={n}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def test_streams_over_batches_match_the_fold(spark):
+    rng = random.Random(18)
+    rows = [(0 if i % 3 else i % 5, rng.choice(["a"] * 6 + ["b", None]), i * 70_000, i) for i in range(500)]
+    stream = _in_batches(spark, rows, "path_key bigint, fingerprint string, observed_us bigint, observation_id bigint", 2, 5)
+    assert sorted(tuple(r) for r in watch.followed(watch.follow_stable_changes, stream).collect()) == fold_stable(rows)
+    tries = [(0 if i % 3 else i % 5, i, i * 1_500_000 + rng.randrange(1_400_000), rng.random() < 0.6) for i in range(500)]
+    stream = _in_batches(spark, tries, "path_key bigint, observation_id bigint, observed_us bigint, ok boolean", 2, 4)
+    assert {r.observation_id for r in watch.followed(watch.follow_retry_cooldown, stream).collect()} == _cooled(tries)
+
+
+def test_a_busy_key_is_spread(spark):
+    rng = random.Random(28)
+    tries = [(7, i, rng.randrange(4_000) * 500_000, rng.random() < 0.9) for i in range(3000)]
+    df = spark.createDataFrame(tries, "path_key bigint, observation_id bigint, observed_us bigint, ok boolean")
+    assert {r.observation_id for r in watch.retry_cooldown(df, fanout=6).collect()} == _cooled(tries)
+    assert watch.retry_cooldown(df.limit(0)).count() == 0
+    slices = watch.with_slice(df, "observed_us", 6).groupBy("__os_slice").count().collect()
+    assert len(slices) > 30 and max(r["count"] for r in slices) < 200
+
+
+def test_a_batch_that_is_tried_again(spark):
+    """A failure after the rows were written, before the state was: the second try gives the same."""
+    rows = [(1, "a", n * 400_000, n) for n in range(6)]
+    schema = "path_key bigint, fingerprint string, observed_us bigint, observation_id bigint"
+    folder, tries = scratch_dir(spark), []
+
+    class Failing(KeyedTable):
+        def upsert(self, *args, **more):
+            tries.append(1)
+            if len(tries) == 2:
+                raise RuntimeError("lost")
+            return super().upsert(*args, **more)
+
+    stream = lambda: _again(spark, rows, schema, folder)
+    kept, watch.KeyedTable = watch.KeyedTable, Failing
+    try:
+        query = watch.follow_stable_changes(stream(), f"{folder}/out", f"{folder}/check")
+        try:
+            query.awaitTermination()
+        except Exception as error:
+            assert "lost" in str(error)
+        watch.follow_stable_changes(stream(), f"{folder}/out", f"{folder}/check").awaitTermination()
+    finally:
+        watch.KeyedTable = kept
+    assert len(tries) == 4
+    assert [tuple(r)[:4] for r in spark.read.parquet(f"{folder}/out/rows").collect()] == [(1, "a", 0, 800_000)]
+
+
+def _again(spark, rows, schema, folder):
+    try:
+        for n in range(3):
+            spark.createDataFrame(rows[2 * n:2 * n + 2], schema).coalesce(1).write.parquet(f"{folder}/in/p={n}")
+    except Exception as error:
+        assert "PATH_ALREADY_EXISTS" in str(error)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+
+
+def test_keyed_table(spark):
+    table = KeyedTable(spark, scratch_dir(spark), ["k"], types.StructType.fromDDL("k string, v bigint"), buckets=8)
+    df = lambda *rows: spark.createDataFrame(list(rows), "k string, v bigint")
+    held = lambda: {r.k: r.v for r in table.read().collect()}
+    assert held() == {} and table.version() == 0 and table.tag() is None
+    assert table.upsert(df(*[(str(i), i) for i in range(50)])) == 1
+    before = table._newest()[2]
+    assert table.upsert(df(("7", 70), ("new", 1), (None, 5)), spark.createDataFrame([("8",), ("none",)], "k string"), expected=1, tag=9) == 2
+    want = {str(i): i for i in range(50) if i != 8} | {"7": 70, "new": 1, None: 5}
+    assert held() == want
+    after = table._newest()[2]
+    assert 0 < sum(after[b] != before.get(b) for b in after) <= 5  # only the buckets of those keys
+    assert table.upsert(df(("x", 1)), tag=9) == 2 and held() == want
+    for act in (lambda: table.upsert(df(("x", 1)), expected=1), lambda: table._publish(2, None, after)):
+        try:
+            act()
+            raise AssertionError("no conflict")
+        except Conflict:
+            pass
+    table.upsert(df().limit(0), table.read().select("k"))
+    assert held() == {} and table.version() == 3
+    table.upsert(df((None, 6)))
+    assert held() == {None: 6}
