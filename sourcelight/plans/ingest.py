@@ -10,17 +10,10 @@ from sourcelight.functions.text import file_path, file_uri, mime_type, normalize
 from sourcelight.operators import catalog, chunking
 from sourcelight.plans.inputs import NOW_SQL, now
 from sourcelight.plans.registry import query
-from sourcelight.sources.files import path_in_root, scan_files, write_table
+from sourcelight.sources.files import path_in_root, write_table
 from sourcelight.session import scratch_dir
 
 
-@query("scan_files")
-def _(i):
-    # The folder of the given tables itself.
-    rows = scan_files(i.spark, i.dir)
-    return rows.select(F.substring_index("path", "/", -1).alias("name"), "size")
-
-
 @query("path_in_root", """
     SELECT path, CASE WHEN list_has_any(string_split(path, '/'), ['.', '..']) OR NOT (path = '/d/src1' OR starts_with(path, '/d/src1/')) THEN 'outside_root' END AS reason
     FROM (SELECT '/d/' || source || CASE WHEN doc_id % 5 = 0 THEN '0' ELSE '' END || CASE doc_id % 7 WHEN 3 THEN '/../x/' WHEN 4 THEN '/./' WHEN 5 THEN '/..x/' ELSE '/' END || doc_id AS path FROM documents)""")

@@ -147,20 +147,50 @@ def test_files_and_partitions(spark):
     assert sorted((r.display_name, r.token_count) for r in chunks.collect()) == [("a.md", 3), ("b é.txt", 1)]
 
 
-def test_ingest_stream_keeps_the_last_good_version(spark):
+def test_ingest_keeps_the_last_good_version(spark):
     root, out = folder(), folder()
     run = lambda: ingest.ingest_stream(spark, root, out, f"{out}/checkpoint").awaitTermination()
     with open(f"{root}/a.txt", "w") as f:
         f.write("first text")
+    with open(f"{root}/b [x] {{1,2}}*.txt", "w") as f:
+        f.write("# H\nother text")
     run()
-    with open(f"{root}/a2.txt", "wb") as f:
+    with open(f"{root}/c.txt", "wb") as f:
         f.write(b"\xff\xfe\x00bad")
     run()
-    versions = spark.read.parquet(f"{out}/versions")
-    assert versions.count() == 2 and spark.read.parquet(f"{out}/chunks").count() == 1
-    states = {r.display_name: r.state for r in versions.collect()}
-    assert states == {"a.txt": "active", "a2.txt": "unsupported"}
-    assert ingest.current_library(versions).count() == 2
+    versions, chunks = ingest.committed(spark, out)
+    assert {r.display_name: r.state for r in versions.collect()} == {"a.txt": "active", "b [x] {1,2}*.txt": "active", "c.txt": "unsupported"}
+    first = {r.source_id: r.current_version_id for r in ingest.current_library(versions).collect()}
+    assert len(first) == 3 and chunks.count() == 2
+    # The same file, broken: its version is recorded, the one before stays current. Then good again.
+    at = os.stat(f"{root}/a.txt").st_mtime
+    for number, (data, good) in enumerate([(b"\xff\xfe\x00bad", False), (b"second text now", True)]):
+        with open(f"{root}/a.txt", "wb") as f:
+            f.write(data)
+        os.utime(f"{root}/a.txt", (at + 10 + number, at + 10 + number))
+        ingest.ingest_files(spark, [f"file:{root}/a.txt"], out, 100 + number)
+        versions, chunks = ingest.committed(spark, out)
+        now = {r.source_id: r.current_version_id for r in ingest.current_library(versions).collect()}
+        assert (now != first) == good and versions.count() == 4 + number
+        left = chunks.join(ingest.current_library(versions).selectExpr("current_version_id as version_id"), "version_id", "left_semi")
+        assert ("second text now" if good else "first text") in {r.body for r in left.collect()}
+    # A batch without its manifest row is not there; trying it again changes nothing.
+    ingest.passages(ingest.extracted(ingest.open_files(spark, [f"file:{root}/a.txt"]))).write.parquet(f"{out}/chunks/batch=200")
+    ingest.ingest_files(spark, [f"file:{root}/a.txt"], out, 101)
+    again, kept = ingest.committed(spark, out)
+    assert again.count() == versions.count() and kept.count() == chunks.count()
+
+
+def test_long_files_are_not_read(spark):
+    root = folder()
+    for name, text in [("short.txt", "x"), ("long.txt", "y" * 50)]:
+        with open(f"{root}/{name}", "w") as f:
+            f.write(text)
+    files = ingest.open_files(spark, [f"file:{root}/short.txt", f"file:{root}/long.txt"], most=10)
+    assert {r.path[-9:]: r.content for r in files.collect()} == {"short.txt": bytearray(b"x"), "/long.txt": None}
+    got = {r.display_name: (r.state, r.byte_size, r.original_sha256 is None) for r in ingest.extracted(files).collect()}
+    assert got == {"short.txt": ("active", 1, False), "long.txt": ("unsupported", 50, True)}
+    assert ingest.open_files(spark, []).count() == 0
 
 
 def test_marker_offsets_and_constraints(spark):
