@@ -17,6 +17,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +28,7 @@ from sourcelight.operators.lexical import FIELDS, PUSHED_TERMS, SCORE_DIGITS, qu
 
 BLOCK_BITS = 7  # 128 passages to a block
 SEEDS = 8  # blocks per query that are scored first
+PUSHED_BLOCKS = 2000  # so few blocks are pushed down to the scan
 _TINY = 1e-9
 
 
@@ -237,9 +239,10 @@ class SearchIndex:
 
     # --- search -------------------------------------------------------------------
 
-    def _words(self, terms: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    def _words(self, terms: DataFrame, few: list[str] | None = None) -> tuple[DataFrame, list[str] | None]:
         """(term, field, df) of the words of ``terms``, and the words themselves where they are few enough for a scan filter."""
-        few = [r["term"] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+        if few is None:
+            few = [r["term"] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
         few = few if len(few) <= PUSHED_TERMS else None
         counts = self._table("terms", self._live()).select("term", "field", "df")
         if (dead := self._dead()):
@@ -264,8 +267,11 @@ class SearchIndex:
         The same rows as scoring every posting: a block stays closed only where the sum of its words' bounds, rounded
         like a score, is below the k-th score of the blocks opened first, or equal to it with no smaller id.
         """
-        terms = query_terms(queries)
-        counts, few = self._words(terms)
+        terms, short = self._held(query_terms(queries))
+        few = sorted(set(short.column("term").to_pylist())) if short is not None else None
+        counts, few = self._words(terms, few)
+        if few is not None:
+            counts = self._held(counts)[0]
         n, d = F.lit(self.figures()["passages"]), F.col("df")
         weight = F.col("qtf") * F.log(1 + (n - d + 0.5) / (d + 0.5)) * (1 + K.BM25_K1)
         weights = terms.join(counts, "term").select("query_id", "term", "field", weight.alias("weight"))
@@ -275,13 +281,24 @@ class SearchIndex:
         bounds = bounds.withColumn("bound", F.round(F.col("bound") + _TINY, SCORE_DIGITS))
         best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "first_id", "segment", "block")
         first = bounds.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= seeds).select("query_id", "segment", "block")
-        floor = top_per_query(self._scored(first, weights, rows), k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"), F.col("chunk_id").alias("floor_id"))
+        floor = top_per_query(self._scored(first, weights, rows, few is not None), k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"), F.col("chunk_id").alias("floor_id"))
+        if few is not None:
+            floor = self._held(floor)[0]
         open_ = bounds.join(floor, "query_id", "left").filter(
             F.col("floor").isNull() | (F.col("bound") > F.col("floor")) | (F.col("bound") == F.col("floor")) & (F.col("first_id") <= F.col("floor_id")))
-        return top_per_query(self._scored(open_.select("query_id", "segment", "block"), weights, rows), k)
-
-    def _scored(self, blocks: DataFrame, weights: DataFrame, rows: DataFrame) -> DataFrame:
-        """Scores of all passages in the given blocks of each query."""
+        return top_per_query(self._scored(open_.select("query_id", "segment", "block"), weights, rows, few is not None), k)
+
+    def _held(self, df: DataFrame, most: int = PUSHED_BLOCKS) -> tuple[DataFrame, pa.Table | None]:
+        """A table of at most ``most`` rows as a constant of the plan, so that it is not computed again; a longer one as it is."""
+        found = df.limit(most + 1).toArrow()
+        return (self.spark.createDataFrame(found, df.schema), found) if found.num_rows <= most else (df, None)
+
+    def _scored(self, blocks: DataFrame, weights: DataFrame, rows: DataFrame, few: bool) -> DataFrame:
+        """Scores of all passages in the given blocks of each query. For few words, few blocks are a filter of the scan."""
+        if few:
+            blocks, short = self._held(blocks)
+            if short is not None:
+                rows = rows.filter(F.col("block").isin(sorted(set(short.column("block").to_pylist()))))
         wanted = blocks.join(weights, "query_id")
         opened = rows.select("segment", "block", "term", "field", "entries").join(wanted, ["segment", "block", "term", "field"])
         flat = opened.select("query_id", "segment", "field", "weight", F.explode("entries").alias("e"))
