@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sourcelight import constants as K
 from sourcelight.functions.text import ascii_lower, citation_uri, is_blank, strip_ws
+from sourcelight.operators.ordered import ordered_scan
 
 DIGITS = 6
 
@@ -81,33 +82,37 @@ def score_dossier(
     )
 
 
-def claim_reviews(
-    claims: DataFrame, claim_evidence: DataFrame, chunks: DataFrame, sources: DataFrame, now: Column, scheme: str = "evidence"
-) -> DataFrame:
-    """Statement, status, evidence and warnings per claim, over sources in any state.
+def _placed_evidence(claim_evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    return claim_evidence.join(chunks.select("chunk_id", "source_id", "version_id", "ordinal"), "chunk_id")
+
 
-    Evidence of any number is listed; the list is the claim's own row.
+def claim_reviews(claims: DataFrame, claim_evidence: DataFrame, chunks: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
+    """Statement, status, warnings and counts of the evidence per claim, over sources in any state.
+
+    A claim's evidence is summed where it lies, whatever its number; :func:`review_evidence` lists it.
     """
-    places = chunks.select("chunk_id", "source_id", "version_id", "ordinal")
-    checked = sources.select("source_id", "last_checked_at")
-    rows = claim_evidence.join(places, "chunk_id").join(checked, "source_id").withColumn(
-        "uri", citation_uri("source_id", "version_id", "ordinal", scheme)
-    )
-    grouped = rows.groupBy("claim_id").agg(
-        F.countDistinct("source_id").alias("source_count"),
-        F.bool_and(is_fresh(F.col("last_checked_at"), now)).alias("fresh"),
-        F.array_sort(F.collect_list(F.struct("relationship", "ordinal", "uri"))).alias("items"),
-    )
+    rows = _placed_evidence(claim_evidence, chunks).join(sources.select("source_id", "last_checked_at"), "source_id")
+    per_source = rows.groupBy("claim_id", "source_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(is_fresh(F.col("last_checked_at"), now)).alias("fresh"))
+    grouped = per_source.groupBy("claim_id").agg(
+        F.count(F.lit(1)).alias("source_count"), F.sum("n").alias("evidence_count"), F.bool_and("fresh").alias("fresh"))
     joined = claims.join(grouped, "claim_id")
     disputed = F.col("status") == "disputed"
     return joined.select(
         "claim_id", "topic_id", F.concat_ws(" ", "subject", "predicate", "object").alias("statement"), "status", "inferred",
-        "source_count", "fresh",
-        F.transform("items", lambda i: F.struct(i["uri"].alias("citation_uri"), i["relationship"].alias("relationship"))).alias("evidence"),
+        "source_count", "evidence_count", "fresh",
         claim_warnings(disputed, F.when(F.col("fresh"), 1.0).otherwise(0.0), F.col("source_count"), F.col("inferred")).alias("warnings"),
     )
 
 
+def review_evidence(claim_evidence: DataFrame, chunks: DataFrame, scheme: str = "evidence") -> DataFrame:
+    """The evidence of each claim as rows: claim_id, position (from 0, by source, passage and relationship), citation_uri,
+    relationship. Positions are counted in slices, so a claim with much of all evidence is spread over tasks."""
+    order = ["source_id", "ordinal", "relationship", "chunk_id"]
+    placed = ordered_scan(_placed_evidence(claim_evidence, chunks), ["claim_id"], order, rank="__n")
+    return placed.select("claim_id", (F.col("__n") - 1).alias("position"), citation_uri("source_id", "version_id", "ordinal", scheme).alias("citation_uri"), "relationship")
+
+
 def dossiers(topics, claims, claim_evidence, chunks, sources, now: Column, scheme: str = "evidence") -> DataFrame:
     """Every topic with its scores and number of reviewable claims, in label order (ASCII case ignored)."""
     scored = score_dossier(topics, claims, claim_evidence, chunks, sources, now)

@@ -6,9 +6,14 @@ import json
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sourcelight.operators import answers as A
+from sourcelight.operators import fusion
 from sourcelight.plans.registry import query
+from sourcelight.plans.retrieval import EVIDENCE_SQL, hybrid_hits
+from sourcelight.session import scratch_dir, stored
+from sourcelight.sources.keyed import KeyedTable
 
 
 @query("validate_questions", r"""
@@ -101,6 +106,24 @@ def _(i):
     return checked.select("question_id", "summary", F.array_join("summary_citations", ",").alias("citations"), "reason")
 
 
+_FOLD, _LAST = EVIDENCE_SQL.rsplit("SELECT f.query_id, i - 1 AS idx", 1)
+
+
+@query("question_to_answer", f"""{_FOLD.strip()}, chosen AS (SELECT f.query_id, i - 1 AS idx{_LAST})
+    SELECT query_id AS question_id, CASE WHEN citation_uri IS NULL THEN 'I do not have retained evidence that can answer this question.' ELSE 'Read.' END AS summary,
+           CASE WHEN citation_uri IS NULL OR query_id % 7 = 0 THEN '' ELSE citation_uri END AS citations,
+           CASE WHEN citation_uri IS NOT NULL AND query_id % 7 = 0 THEN 'unknown_indexed_schema' END AS reason
+    FROM queries LEFT JOIN (SELECT query_id, citation_uri FROM chosen WHERE idx = 0 AND query_id % 10 <> 9) USING (query_id)""", "reranked", "queries", recursive=True)
+def _(i):
+    # Retrieval, evidence, request, model, repair and check; one question in ten is left without evidence.
+    questions = i.queries().select(F.col("query_id").alias("question_id"), F.col("query").alias("question"), F.lit("local").alias("provider"), F.lit("m").alias("model"))
+    chosen = fusion.select_evidence(hybrid_hits(i)).filter("query_id % 10 <> 9").withColumnRenamed("query_id", "question_id")
+    chosen = stored(chosen.select("question_id", "idx", *fusion.EVIDENCE_FIELDS))
+    replies = KeyedTable(i.spark, scratch_dir(i.spark), ["request"], T.StructType.fromDDL(A.REPLIES))
+    found = A.answer_or_gap(questions, chosen, echo_model, replies=replies)
+    return found.select("question_id", "summary", F.array_join("summary_citations", ",").alias("citations"), "reason")
+
+
 def shown(df):
     """An answer as plain columns."""
     refs = F.transform("claims", lambda c: F.concat(c["support"], F.lit(":"), F.array_join(F.transform(c["evidence"], lambda e: e.cast("string")), "+"), F.array_join(c["citations"], "+")))

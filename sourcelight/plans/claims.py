@@ -6,6 +6,7 @@ import json
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sourcelight import constants as K
 from sourcelight.operators import claims as C
@@ -13,6 +14,8 @@ from sourcelight.operators import dossiers as D
 from sourcelight.operators import lexical
 from sourcelight.plans.inputs import NOW_SQL, PREDICATES, now
 from sourcelight.plans.registry import query
+from sourcelight.session import scratch_dir
+from sourcelight.sources.keyed import KeyedTable
 
 VERBS = repr(PREDICATES).replace('"', "'")
 
@@ -203,7 +206,7 @@ def _(i):
 
 REVIEWS = f"""
     rv AS (SELECT claim_id, count(DISTINCT source_id) AS source_count, bool_and(coalesce(last_checked_at >= {NOW_SQL} - INTERVAL 90 DAY, false)) AS fresh,
-                  string_agg(relationship || '=' || source_id || '#' || ordinal, ',' ORDER BY relationship, ordinal, citation_uri) AS evidence
+                  count(*) AS evidence_count
            FROM proof JOIN (SELECT chunk_id, source_id, ordinal FROM chunks) USING (chunk_id) JOIN (SELECT source_id, last_checked_at FROM library) USING (source_id) GROUP BY claim_id)"""
 LABELS = """array_to_string(list_filter([CASE WHEN status = 'disputed' THEN 'Disputed' END, CASE WHEN NOT fresh THEN 'May be stale' END,
                           CASE WHEN source_count < 2 THEN 'Single-source' END, CASE WHEN inferred THEN 'Inferred' END], lambda x: x IS NOT NULL), '|')"""
@@ -215,12 +218,38 @@ def _reviews(i):
 
 
 @query("claim_reviews", f"""
-    WITH {REVIEWS} SELECT claim_id, topic_id, subject || ' ' || predicate || ' ' || object AS statement, status, source_count, fresh, evidence, {LABELS} AS warnings
+    WITH {REVIEWS} SELECT claim_id, topic_id, subject || ' ' || predicate || ' ' || object AS statement, status, source_count, evidence_count, fresh, {LABELS} AS warnings
     FROM stored JOIN rv USING (claim_id)""", "stored", "proof", "chunks", "library")
 def _(i):
-    shown = F.array_join(F.transform("evidence", lambda e: F.concat(
-        e["relationship"], F.lit("="), F.regexp_extract(e["citation_uri"], r"source/(\d+)", 1), F.lit("#"), F.regexp_extract(e["citation_uri"], r"chunk-(\d+)", 1))), ",")
-    return _reviews(i).select("claim_id", "topic_id", "statement", "status", "source_count", "fresh", shown.alias("evidence"), _short())
+    return _reviews(i).select("claim_id", "topic_id", "statement", "status", "source_count", "evidence_count", "fresh", _short())
+
+
+@query("review_evidence", """
+    SELECT claim_id, row_number() OVER (PARTITION BY claim_id ORDER BY source_id, ordinal, relationship, chunk_id) - 1 AS position,
+           'evidence://source/' || source_id || '/version/' || source_id || '#chunk-' || ordinal AS citation_uri, relationship
+    FROM (SELECT claim_id, chunk_id, relationship FROM proof) JOIN (SELECT chunk_id, source_id, ordinal FROM chunks) USING (chunk_id)""", "proof", "chunks")
+def _(i):
+    return D.review_evidence(i.stored_claims()[1], i.chunk_places())
+
+
+TOPIC_ROW = "topic_id bigint, coverage_score double, authority_score double, independence_score double, questions bigint, scored bigint"
+
+
+@query("topic_write_back", f"""
+    WITH {SCORES} SELECT topic_id, coverage_score, authority_score, independence_score, CAST(CASE WHEN topic_id % 2 = 0 THEN 0 ELSE topics.questions END AS BIGINT) AS questions,
+           CAST(CASE WHEN topic_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS scored FROM scored JOIN topics USING (topic_id)""", "stored", "proof", "chunks", "library", "topics")
+def _(i):
+    # Scores are written to a keyed table; a second run writes every third topic again, and half of the topics lose their questions.
+    table = KeyedTable(i.spark, scratch_dir(i.spark), ["topic_id"], T.StructType.fromDDL(TOPIC_ROW))
+    c, e = i.stored_claims()
+    topics = i.topics()
+    scores = D.score_dossier(topics, c, e, i.chunk_places(), i.sources(), now()).join(topics.select("topic_id", F.size("questions").cast("bigint").alias("questions")), "topic_id")
+    table.upsert(scores.select("topic_id", "coverage_score", "authority_score", "independence_score", "questions", F.lit(1).cast("bigint").alias("scored")), expected=0)
+    held = table.read()
+    table.upsert(held.filter("topic_id % 3 = 0").withColumn("scored", F.col("scored") + 1), expected=1)
+    held = table.read()
+    table.upsert(held.filter("topic_id % 2 = 0").withColumn("questions", F.lit(0).cast("bigint")), expected=2)
+    return table.read()
 
 
 @query("claim_warnings", f"WITH {REVIEWS} SELECT w AS warnings, count(*) AS claims FROM (SELECT {LABELS} AS w FROM stored JOIN rv USING (claim_id)) GROUP BY w", "stored", "proof", "chunks", "library")

@@ -243,7 +243,7 @@ def _(i):
     return i.texts().select("doc_id", F.size(t).cast("bigint").alias("terms"), F.array_join(F.array_sort(t), " ").alias("term_list"))
 
 
-@query("select_evidence", r"""
+EVIDENCE_SQL = r"""
     WITH sized AS (
       SELECT query_id, rank, chunk_id, version_id, citation_uri, CAST(ceil(strlen(CAST(json_object('citation_uri', citation_uri, 'source_id', source_id, 'version_id', version_id,
           'chunk_id', chunk_id, 'ordinal', ordinal, 'display_name', display_name, 'heading', NULL,
@@ -260,7 +260,10 @@ def _(i):
            LATERAL (SELECT len(ranks) < 12 AND len(list_filter(versions, lambda v: v = s.version_id)) < 3 AND used + tokens <= 1500 AS ok))
     SELECT f.query_id, i - 1 AS idx, s.rank, s.tokens, s.citation_uri
     FROM (SELECT query_id, ranks, unnest(range(1, len(ranks) + 1)) AS i FROM (SELECT query_id, max_by(ranks, place) AS ranks FROM fold GROUP BY query_id)) f
-    JOIN sized s ON s.query_id = f.query_id AND s.rank = f.ranks[f.i]""", "reranked", recursive=True)
+    JOIN sized s ON s.query_id = f.query_id AND s.rank = f.ranks[f.i]"""
+
+
+@query("select_evidence", EVIDENCE_SQL, "reranked", recursive=True)
 def _(i):
     return fusion.select_evidence(hybrid_hits(i)).select("query_id", "idx", "rank", "tokens", "citation_uri")
 

@@ -111,8 +111,26 @@ def test_dossier_scores(spark):
     assert full.independence_score == pytest.approx(200 / 3, abs=1e-5) and full.freshness_score == pytest.approx(100 / 3, abs=1e-5)
     assert full.disputed and full.unresolved_question_score == pytest.approx(60) and len(full.warnings) == 3
     review = D.claim_reviews(claims, evidence, chunks, sources, now()).first()
-    assert review.source_count == 3 and not review.fresh and len(review.evidence) == 4  # reviews look at every state
+    assert review.source_count == 3 and not review.fresh and review.evidence_count == 4  # reviews look at every state
     assert review.warnings == [K.WARN_DISPUTED, K.WARN_STALE, K.WARN_INFERRED]
+    listed = D.review_evidence(evidence, chunks).orderBy("position").collect()
+    assert [r.position for r in listed] == [0, 1, 2, 3] and [r.relationship for r in listed].count("contradicting") == 1
+
+
+def test_evidence_of_a_large_claim_is_numbered(spark):
+    chunks = spark.range(3000).selectExpr("id as chunk_id", "id % 700 as source_id", "id % 700 as version_id", "id div 700 as ordinal")
+    evidence = chunks.selectExpr("if(chunk_id % 3 = 0, chunk_id % 50, 7) as claim_id", "chunk_id", "if(chunk_id % 5 = 0, 'contradicting', 'supporting') as relationship")
+    got = D.review_evidence(evidence, chunks).collect()
+    per: dict = {}
+    for r in got:
+        per.setdefault(r.claim_id, []).append((r.position, r.citation_uri))
+    want: dict = {}
+    for r in evidence.join(chunks, "chunk_id").collect():
+        want.setdefault(r.claim_id, []).append((r.source_id, r.ordinal, r.relationship, r.chunk_id))
+    assert len(got) == 3000
+    for claim, rows in per.items():
+        uris = [f"evidence://source/{s}/version/{s}#chunk-{o}" for s, o, _, _ in sorted(want[claim])]
+        assert sorted(rows) == list(enumerate(uris))
 
 
 def test_refresh_order_and_boundary(spark):
