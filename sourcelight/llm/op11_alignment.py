@@ -62,6 +62,39 @@ def vocabulary(path: str) -> pa.Array:
     return pa.array([bytes([int(p[3:-1], 16)]) if is_byte else p.replace("▁", " ").encode() for p, is_byte in pieces], pa.binary())
 
 
+#: Fixed value: how byte-level vocabularies cut a text before they merge bytes.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranked(path: str) -> Callable[[list[str]], list[list[int]]] | None:
+    """Encoding by ranks, where a vocabulary file says nothing else: bytes cut into words, no normalisation, and ids in the
+    order of the merges. It gives the ids of the file's own library in a third of its time; None for other files."""
+    with open(path, encoding="utf-8") as file:
+        read = json.load(file)
+    model, cutter = read["model"], read.get("pre_tokenizer") or {}
+    plain = cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space")
+    merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges") or []]
+    if not plain or read.get("normalizer") or model.get("type") != "BPE" or model.get("ignore_merges") or not merged or merged != list(range(256, 256 + len(merged))):
+        return None
+    import tiktoken
+
+    known, special = _byte_level(), {t["content"] for t in read.get("added_tokens", [])}
+    ranks = {bytes(known[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    encoding = tiktoken.Encoding(os.path.basename(path), pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+    return lambda parts: encoding.encode_ordinary_batch(parts, num_threads=1)
+
+
+def _read(path: str) -> Callable[[list[str]], list[list[int]]]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     """Ids of whole texts, without special tokens; long texts are cut where no token crosses and put together again.
@@ -69,14 +102,7 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     Byte-level vocabularies (.json) read a blank and the text, the others add the blank themselves.
     """
     if path.endswith(".json"):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallel part
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        run = lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        run = _ranked(path) or _read(path)
         cut, keep, lead = op1_tokens._LETTER_CUT, True, " "
     else:
         import sentencepiece

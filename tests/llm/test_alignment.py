@@ -100,3 +100,14 @@ def test_query(spark, encoders):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     assert _rows(op.op11_cross_tokenizer(spark, folder)) == plain(encoders, [(d.doc_id, d.text) for d in docs])
+
+
+def test_ranks_give_the_ids_of_the_file():
+    """Every character next to letters, digits, blanks and marks, and random mixtures of them."""
+    ranked, read = op._ranked(A), op._read(A)
+    assert ranked is not None and op._ranked(public_tokenizers.path("word_bpe_49k.json")) is None
+    rng = random.Random(12)
+    texts = [f" a{c}b{c} 1{c}2 {c}{c} .{c}! {c}\n {c}x's" for c in map(chr, [*range(0x3000), *range(0xD800 - 500, 0xD800), *range(0xE000, 0x11000), *range(0x1F000, 0x20000)])]
+    some = ["a", "'s", " ", "  ", "\n", "\t", "é", "日", "🙂", "1", "½", "́", " ", " ", "<|endoftext|>", "'LL", "...", "word"]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    assert ranked(texts) == read(texts)
