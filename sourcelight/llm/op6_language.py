@@ -24,6 +24,7 @@ BUCKETS = 1 << 16
 PER_LANGUAGE = 400
 PENALTY = 12.0
 CHUNK = 1 << 20
+UNSEEN_SCORE = 0.01  # of a text whose letters are of no learned script
 UNKNOWN = "und"
 
 # First code points of Unicode blocks that hold the letters of one script each.
@@ -115,7 +116,7 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     floor = np.minimum.accumulate(np.vstack([np.zeros((1, k)), gain[:-1]]), axis=0)
     if (gain - floor).max() <= penalty / 2:
         return np.full(n, best, np.int64)
-    back = np.empty((n, k), np.int8)
+    back = np.empty((n, k), np.min_scalar_type(k))
     now = scores[0].tolist()
     rows = scores.tolist()
     labels = range(k)
@@ -162,9 +163,13 @@ def label_texts(model: Model, values: list[str]) -> list[tuple[str, float, list[
     out = []
     for i in range(len(values)):
         a, b = int(bounds[i]), int(bounds[i + 1])
-        if a == b or not known[a:b].any():
+        if a == b or not model.languages:
             out.append((UNKNOWN, 0.0, []))
             continue
+        if not known[a:b].any():  # letters, but of no learned script: the trigrams alone have to tell
+            grams = words.grams[words.first_gram[a]:words.first_gram[b] if b < len(words.first_gram) else len(words.grams)]
+            out.append((model.languages[int(model.scores[grams].sum(axis=0).argmax())], UNSEEN_SCORE, []))
+            continue
         path = viterbi(scores[a:b], model.penalty)
         letters = np.bincount(path, weights=words.size[a:b] * known[a:b], minlength=len(model.languages))
         best = int(letters.argmax())
@@ -241,8 +246,9 @@ def _label(model: Model, spans: bool) -> Callable[[Iterator[pa.RecordBatch]], It
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
     """Language of every whole text: ``key``, ``lang_pred``, ``score`` and, if asked for, ``spans`` (start, end, lang).
 
-    ``score`` is the share of the text's letters in spans of ``lang_pred``. Texts that are null, without letters or
-    only in scripts that no learned language uses get ``und`` and 0. Equal letters go to the language first in order.
+    ``score`` is the share of the text's letters in spans of ``lang_pred``. Texts that are null or without letters get ``und``
+    and 0; texts with letters only in scripts that no learned language uses get the language of their trigrams, no spans
+    and a score of ``UNSEEN_SCORE``. Equal letters go to the language first in order.
     One row per input row; only key and text are read; no shuffle. ``key`` may be a struct that carries a row.
     """
     fields = [T.StructField("key", df.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
