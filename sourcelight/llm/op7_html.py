@@ -1,10 +1,10 @@
 """Main text of web pages: the maximum-scoring subsequence of a page's tokens.
 
-A page is a sequence of words and tags. Words score positive and tags negative, words inside elements that never
-belong to an article score nothing. The scores are log-ratios counted on a bounded sample of pages that label
-themselves (exactly one ``article`` element). One linear scan finds the best contiguous region, which is then made to fit
-the article elements it meets; furniture inside it (menus, forms, notices, comments, ...) is taken out, and the blocks
-of the rest are joined.
+A page is a sequence of words and tags. Words score positive and tags negative; words inside furniture score nothing.
+What is furniture, what a tag costs and what a word of a link is worth is learned from a bounded sample of pages that
+label themselves (exactly one ``article`` element): log-ratios of words and tags inside and outside that element, by
+element and by class, id and role. One linear scan finds the best contiguous region. Blocks inside it that are known
+as furniture are taken out and the rest is joined. At prediction an ``article`` element is a tag like any other.
 """
 
 from __future__ import annotations
@@ -24,24 +24,22 @@ from pyspark.sql import types as T
 from sourcelight.llm import common
 
 SAMPLE_PAGES = 2000
+LEAST_PAGES = 2  # a name or tag of fewer sampled pages is not learned
+FURNITURE_RATIO = -2.0
+SMOOTHING = 10.0
+PRIOR_WORDS = 500.0
 
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math".split())
-FURNITURE = frozenset(
-    "nav header footer aside form menu dialog button select option datalist fieldset label input textarea noscript template iframe object canvas audio video svg math "
-    "script style head title".split()
-)
+UNSEEN = frozenset("script style head title noscript template iframe object canvas audio video svg math textarea select option datalist".split())
+ROLES = frozenset("nav header footer aside form menu dialog button fieldset label".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-# Parts of class, id and role values that name furniture, matched as whole words of the value.
-FURNITURE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
-    "sidebars aside footer foot masthead topbar toolbar header site-header page-header comment comments commentlist disqus respond replies reply discussion cookie "
-    "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "recommendations widget widgets search searchbox pagination pager skip tags copyright legal disclaimer complementary contentinfo form".split()
-)
+ITEMS = frozenset("li ul ol dl dt dd tr td th table tbody thead br img hr input".split())
+# Names that start as furniture, with the weight of PRIOR_WORDS words, until labelled pages say otherwise.
+PRIOR_NAMES = frozenset("ad ads advert advertisement sidebar breadcrumbs comment comments cookies notice newsletter".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -52,36 +50,76 @@ _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-def furniture(name: str, attrs: str, in_article: bool = False) -> bool:
-    """Whether an element never belongs to an article. A ``header`` inside an article is the article's own."""
-    if name in FURNITURE:
-        return not (name == "header" and in_article)
-    if attrs and name not in ("html", "body", "article", "main"):
-        for found in _ATTR.finditer(attrs):
-            value = (found[1] or found[2] or found[3] or "").lower()
-            for word in value.split():
-                if word in FURNITURE_NAMES or any(p in FURNITURE_NAMES for p in re.split(r"[-_]+", word)):
-                    return True
-        return bool(_HIDDEN.search(attrs))
-    return False
+def names_of(name: str, attrs: str) -> list[str]:
+    """The class, id and role values of a block element, as keys. Paragraphs, headings and inline elements have none."""
+    if not attrs or name in INLINE or name in ("html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6"):
+        return []
+    return ["." + w for found in _ATTR.finditer(attrs) for w in (found[1] or found[2] or found[3] or "").lower().split()]
+
+
+def suspect(key: str) -> bool:
+    """Whether a role, or a name by its last part (``cookie-notice``: notice), starts as furniture."""
+    return key in ROLES or key == "header@top" or key[0] == "." and re.split(r"[-_]+", key[1:])[-1] in PRIOR_NAMES | ROLES
 
 
 @dataclass
 class Piece:
-    """A run of text or a tag. ``out``: inside furniture."""
+    """A run of text or a tag. ``out``: inside furniture; ``link``: inside a link; ``chain``: keys of the elements
+    around a text and ``article``: inside an article, both for learning only."""
 
     text: str | None
     name: str = ""
     close: bool = False
     out: bool = False
+    link: bool = False
+    named: bool = False
     article: bool = False
+    chain: tuple[str, ...] = ()
+
+
+@dataclass
+class Weights:
+    """Worth of a word and of a word in a link, cost of each tag (``other``: not seen), further cost of a block with a
+    class, id or role (``named``), and log-ratios of words by element role and name."""
 
+    word: float = 1.0
+    link: float = 0.5
+    tags: dict[str, float] = field(default_factory=dict)
+    other: float = -0.2
+    named: float = -0.5
+    ratios: dict[str, float] = field(default_factory=dict)
 
-def pieces(page: str) -> list[Piece]:
-    """A page as text runs and tags, each marked with whether it lies inside furniture or inside an article."""
+    def of(self, piece: Piece) -> float:
+        if piece.text is not None:
+            return 0.0 if piece.out else len(piece.text.split()) * (self.link if piece.link else self.word)
+        if piece.out:
+            return -0.02
+        return self.tags.get(piece.name, self.other) + (self.named if piece.named else 0.0)
+
+    def furniture(self, name: str, names: list[str], attrs: str) -> bool:
+        if name in UNSEEN or attrs and _HIDDEN.search(attrs):
+            return True
+        keys = names + [name] if name.split("@")[0] in ROLES else names
+        if name == "header@in":
+            keys = [k for k in keys if k != ".header"]
+        # Names and roles of labelled pages decide; those never seen there count as what they start as.
+        return any((self.ratios[k] if k in self.ratios else -3.0 if suspect(k) else 0.0) <= FURNITURE_RATIO for k in keys)
+
+
+def pieces(page: str, weights: Weights | None, learn: bool = False) -> list[Piece]:
+    """A page as text runs and tags, each marked with whether it lies inside furniture."""
     result: list[Piece] = []
-    stack: list[tuple[str, bool]] = []
-    depth_out = depth_article = 0
+    stack: list[tuple[str, bool, list[str], str]] = []
+    out = link = article = 0
+    chain: Counter = Counter()
+
+    def pop(i: int) -> None:
+        nonlocal out, link, article
+        while len(stack) > i:
+            name, was, keys, _ = stack.pop()
+            out, link, article = out - was, link - (name == "a"), article - (name == "article")
+            chain.subtract(keys)
+
     position, length = 0, len(page)
     while position < length:
         found = _TOKEN.search(page, position)
@@ -92,7 +130,7 @@ def pieces(page: str) -> list[Piece]:
                 tail = re.search(r"<[a-zA-Z/!?]", text)
                 text = text[:tail.start()] if tail else text
             if text:
-                result.append(Piece(text, out=depth_out > 0, article=depth_article > 0))
+                result.append(Piece(text, out=out > 0, link=link > 0, article=article > 0, chain=tuple(k for k, n in chain.items() if n > 0) if learn else ()))
         if found is None:
             break
         position = found.end()
@@ -101,45 +139,33 @@ def pieces(page: str) -> list[Piece]:
             continue
         name = name.lower()
         if found["close"]:
+            named, was_out = False, out > 0
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for other, was in stack[i:]:
-                        depth_out -= was
-                        depth_article -= other == "article"
-                    del stack[i:]
+                    named = bool(stack[i][3])
+                    pop(i)
                     break
-            result.append(Piece(None, name, True, depth_out > 0, depth_article > 0))
+            result.append(Piece(None, name, True, was_out, link > 0, named, article > 0))
             continue
         attrs = found["attrs"]
-        out = furniture(name, attrs, depth_article > 0)
-        result.append(Piece(None, name, False, depth_out > 0 or out, depth_article > 0))
+        names = names_of(name, attrs)
+        # A header that opens the page is the site's, one further inside may be the article's own.
+        role = ("header@in" if any(n not in ("html", "body") for n, *_ in stack) else "header@top") if name == "header" else name
+        is_out = name in UNSEEN or role in ROLES or role == "header@top" if weights is None else weights.furniture(role, names, attrs)
+        result.append(Piece(None, name, False, out > 0 or is_out, link > 0, bool(names), article > 0))
         if name in RAW:  # no markup inside
             stop = re.compile(rf"</{re.escape(name)}\s*>?", re.I).search(page, position)
             position = stop.end() if stop else length
         elif name not in VOID and not attrs.endswith("/"):
             if name in ("p", "li", "tr", "td", "th", "option", "dt", "dd") and stack and stack[-1][0] == name:
-                depth_out -= stack.pop()[1]
-            stack.append((name, out))
-            depth_out += out
-            depth_article += name == "article"
+                pop(len(stack) - 1)
+            keys = (names + [role] if role.split("@")[0] in ROLES else names) if learn else []
+            stack.append((name, is_out, keys, "named" if names else ""))
+            out, link, article = out + is_out, link + (name == "a"), article + (name == "article")
+            chain.update(keys)
     return result
 
 
-@dataclass
-class Weights:
-    """Scores of a word inside and outside furniture and of each tag; ``other`` for tags not seen."""
-
-    word: float = 1.0
-    out_word: float = 0.0
-    tags: dict[str, float] = field(default_factory=dict)
-    other: float = -0.5
-
-    def of(self, piece: Piece) -> float:
-        if piece.text is not None:
-            return len(piece.text.split()) * (self.out_word if piece.out else self.word)
-        return self.tags.get(piece.name + ("!" if piece.out else ""), self.other)
-
-
 def region(run: list[Piece], weights: Weights) -> tuple[int, int]:
     """First and one-past-last piece of the contiguous region with the greatest score (the first one of equals)."""
     best, best_at, total, start = 0.0, (0, 0), 0.0, 0
@@ -152,70 +178,81 @@ def region(run: list[Piece], weights: Weights) -> tuple[int, int]:
     return best_at
 
 
-def widened(run: list[Piece], first: int, last: int) -> tuple[int, int]:
-    """The region made to fit the article elements that it meets, if there are any."""
-    inside = [i for i in range(first, last) if run[i].article]
-    if not inside:
-        return first, last
-    first, last = inside[0], inside[-1] + 1
-    while first > 0 and run[first - 1].article:
-        first -= 1
-    while last < len(run) and run[last].article:
-        last += 1
-    return first, last
-
-
-def main_text(page: str, weights: Weights) -> str:
-    run = pieces(page)
-    first, last = widened(run, *region(run, weights))
+def joined(run: list[Piece]) -> str:
+    """The text of a region without its furniture; blocks and furniture part words, inline elements do not."""
     parts: list[str] = []
-    for piece in run[first:last]:
+    for piece in run:
         if piece.text is None:
             parts.append("" if piece.name in INLINE else " ")
-        elif not piece.out:
-            parts.append(html.unescape(piece.text))
         else:
-            parts.append(" ")
+            parts.append(" " if piece.out else html.unescape(piece.text))
     return " ".join("".join(parts).split())
 
 
+def main_text(page: str, weights: Weights) -> str:
+    run = pieces(page, weights)
+    first, last = region(run, weights)
+    return joined(run[first:last])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    inside, outside = Counter(), Counter()
+    inside, outside, pages = Counter(), Counter(), Counter()
     for batch in common.chunks(batches, "html"):
         for page in common.texts(batch, "html"):
-            run = pieces(page)
+            run = pieces(page, None, learn=True)
             if sum(p.name == "article" and not p.close for p in run) != 1:
                 continue
+            seen = set()
             for p in run:
                 target = inside if p.article and not p.out else outside
                 if p.text is None:
-                    target[p.name + ("!" if p.out else "")] += 1
+                    keys, n = ["<" + p.name] + ["<named"] * p.named, 1
                 else:
-                    target["#word!" if p.out else "#word"] += len(p.text.split())
-    names = sorted(set(inside) | set(outside))
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[n] for n in names], pa.int64()), pa.array([outside[n] for n in names], pa.int64())], ["name", "inside", "outside"])
+                    keys, n = ["#word", *p.chain] + ["#link"] * p.link, len(p.text.split())
+                for k in keys:
+                    target[k] += n
+                seen.update(keys)
+            pages.update(seen)
+    names = sorted(pages)
+    counts = [pa.array([c[n] for n in names], pa.int64()) for c in (inside, outside, pages)]
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], ["name", "inside", "outside", "pages"])
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Weights:
     """Weights from at most ``sample`` pages with exactly one ``article`` element (smallest hash of the key first).
 
-    A word's weight is the log-ratio of words inside and outside articles, at least 0.5; a tag's is its log-ratio
-    less one, at most -0.05, so that words always gain and tags always cost. Without such pages plain defaults hold.
+    A word is worth 1. A tag costs its log-ratio (inside to outside articles) less 0.2, at least 0.05 and at most 0.5
+    for inline elements, 1 for parts of lists and tables, 4 for others. A word of a link is worth less the more rarely
+    links stand inside articles. Names and tags of fewer than ``LEAST_PAGES`` sampled pages are not learned, so what comes
+    to the driver is bounded by the sample. Without labelled pages plain defaults hold.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter("id is not null and html is not null")
     chosen = rows.select("id").orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample).distinct()
-    counted = rows.join(F.broadcast(chosen), "id", "left_semi").select("html").mapInArrow(_count, "name string, inside long, outside long")
-    found = counted.groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy(F.desc(F.col("i") + F.col("o")), "name").limit(1000).collect()
+    counted = rows.join(F.broadcast(chosen), "id", "left_semi").select("html").mapInArrow(_count, "name string, inside long, outside long, pages long")
+    found = {r.name: (r.i, r.o) for r in counted.groupBy("name").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"), F.sum("pages").alias("n"))
+             .filter((F.col("n") >= LEAST_PAGES) | F.col("name").startswith("#")).collect()}
     if not found:
         return Weights()
-    total_in = sum(r.i for r in found if not r.name.startswith("#")) + 1.0
-    total_out = sum(r.o for r in found if not r.name.startswith("#")) + 1.0
     weights = Weights()
-    for r in found:
-        if r.name == "#word":
-            weights.word = min(2.0, max(0.5, math.log((r.i + 1) / (r.o + 1))))
-        elif not r.name.startswith("#"):
-            weights.tags[r.name] = min(-0.05, max(-8.0, math.log((r.i + 0.5) / total_in) - math.log((r.o + 0.5) / total_out) - 1.0))
+    words_in, words_out = (n + 1.0 for n in found.get("#word", (0, 0)))
+    share = words_in / (words_in + words_out)
+
+    def ratio(i: float, o: float) -> float:
+        return math.log((i + SMOOTHING * share) / (o + SMOOTHING * (1 - share))) - math.log(words_in / words_out)
+
+    tags = {n[1:]: c for n, c in found.items() if n.startswith("<")}
+    tags_in, tags_out = (1.0 + sum(c[k] for n, c in tags.items() if n != "named") for k in (0, 1))
+    for name, (i, o) in tags.items():
+        part = tags_in / (tags_in + tags_out)
+        score = math.log((i + SMOOTHING * part) / (o + SMOOTHING * (1 - part))) - math.log(tags_in / tags_out)
+        if name == "named":
+            weights.named = min(0.0, max(-4.0, score))
+        else:
+            weights.tags[name] = min(-0.05, max(-0.5 if name in INLINE else -1.0 if name in ITEMS else -4.0, score - 0.2))
+    for name, (i, o) in found.items():
+        if name[0] not in "#<":
+            weights.ratios[name] = ratio(i, o + (PRIOR_WORDS if suspect(name) else 0.0))
+    weights.link = min(1.0, max(0.0, 1.0 + ratio(*found.get("#link", (0, 0))) / 4.0))
     return weights
 
 
