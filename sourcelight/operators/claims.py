@@ -66,12 +66,18 @@ def is_direct_predicate(predicate="predicate", predicates: list[str] | None = No
     return ascii_lower(strip_ws(predicate)).isin(predicates or K.DIRECT_PREDICATES)
 
 
-def direct_match(claims: DataFrame, passages: DataFrame, predicates: list[str] | None = None) -> DataFrame:
+def direct_match(claims: DataFrame, passages: DataFrame, predicates: list[str] | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """Whether a passage of the claim holds "subject predicate object" word for word, and the predicate
-    is one of the plain ones. ``passages``: claim_id, passage. White space is folded in the phrase only."""
-    joined = claims.select("claim_id", direct_phrase().alias("phrase"), is_direct_predicate(predicates=predicates).alias("plain")).join(
-        passages.select("claim_id", "passage"), "claim_id"
-    )
+    is one of the plain ones. ``passages``: claim_id, passage. White space is folded in the phrase only.
+
+    With ``chunks`` (chunk_id, passage), ``passages`` is claim_id, chunk_id: the short phrases then go to the passages
+    and no passage is copied for each claim that cites it.
+    """
+    phrases = claims.select("claim_id", direct_phrase().alias("phrase"), is_direct_predicate(predicates=predicates).alias("plain"))
+    if chunks is None:
+        joined = phrases.join(passages.select("claim_id", "passage"), "claim_id")
+    else:
+        joined = passages.select("claim_id", "chunk_id").join(phrases, "claim_id").join(chunks.select("chunk_id", "passage"), "chunk_id")
     hit = F.col("plain") & (F.col("phrase") != "") & F.contains(F.lower("passage"), F.col("phrase"))
     return joined.groupBy("claim_id").agg(F.bool_or(hit).alias("direct"))
 
@@ -139,10 +145,10 @@ def record_claims(
     evidence = evidence.select("claim_id", "idx", "citation_uri", "relationship")
     items = _small_claims(evidence)
     phrases = drafts.select("claim_id", direct_phrase().alias("__phrase"), is_direct_predicate(predicates=predicates).alias("__plain"))
-    opened = open_citations(items, chunks.select("source_id", "version_id", "ordinal", "chunk_id", "body"), sources, scheme)
+    opened = open_citations(items.join(phrases, "claim_id"), chunks.select("source_id", "version_id", "ordinal", "chunk_id", "body"), sources, scheme)
     hit = F.col("__plain") & (F.col("__phrase") != "") & F.contains(F.lower("body"), F.col("__phrase"))
     # Passages are compared where they are opened; only keys and the outcome are kept, once, for what follows.
-    opened = durable(opened.join(phrases, "claim_id").select(
+    opened = durable(opened.select(
         "claim_id", "idx", "citation_uri", "relationship", "chunk_id",
         F.coalesce(hit & (F.col("relationship") == "supporting"), F.lit(False)).alias("direct"),
     ))

@@ -34,7 +34,7 @@ OPEN = "SELECT DISTINCT 'evidence://source/' || source_id || '/version/' || vers
 DIRECT = rf"""
     direct AS (SELECT claim_id, bool_or(list_contains({VERBS}, lower(trim(predicate))) AND contains(lower(body), phrase)) AS direct
                FROM (SELECT *, lower(array_to_string(regexp_extract_all(subject || ' ' || predicate || ' ' || object, '\S+'), ' ')) AS phrase FROM cl)
-                    JOIN items USING (claim_id) JOIN chunks c ON c.source_id = items.target AND c.ordinal = 0
+                    JOIN items USING (claim_id) JOIN chunks c ON c.chunk_id = items.chunk_id
                WHERE relationship = 'supporting' {{limit}} GROUP BY claim_id)"""
 
 
@@ -54,8 +54,8 @@ def _(i):
 
 @query("direct_match", f"WITH {DIRECT.format(limit='')} SELECT claim_id, direct FROM direct", "cl", "items", "chunks")
 def _(i):
-    passages = i.claim_items().filter("relationship = 'supporting'").join(i.chunks().select("chunk_id", F.col("body").alias("passage")), "chunk_id")
-    return C.direct_match(i.claims(), passages, PREDICATES)
+    cited = i.claim_items().filter("relationship = 'supporting'").select("claim_id", "chunk_id")
+    return C.direct_match(i.claims(), cited, PREDICATES, i.chunks().select("chunk_id", F.col("body").alias("passage")))
 
 
 @query("record_claims", f"""
@@ -77,6 +77,17 @@ def _(i):
     )
 
 
+@query("recorded_evidence", f"""
+    WITH {ASSESS.format(known=OPEN)}, {DIRECT.format(limit="AND state <> 'deleted' AND claim_id IN (SELECT claim_id FROM items GROUP BY claim_id HAVING count(*) <= 12)")},
+    lost AS (SELECT DISTINCT claim_id FROM items LEFT JOIN ({OPEN}) USING (citation_uri) WHERE known IS NULL),
+    good AS (SELECT claim_id FROM cl JOIN judged USING (claim_id) LEFT JOIN direct USING (claim_id)
+             WHERE reason IS NULL AND (inferred OR direct) AND claim_id NOT IN (SELECT claim_id FROM lost))
+    SELECT claim_id, chunk_id, relationship FROM items WHERE claim_id IN (SELECT claim_id FROM good)""", "cl", "items", "chunks")
+def _(i):
+    _, stored, _ = C.record_claims(i.claims(), i.claim_items(), i.chunks(), i.sources(), PREDICATES)
+    return stored
+
+
 @query("claims_from_proposals", rf"""
     WITH ev AS (SELECT conv_id AS batch_id, turn AS idx, 'evidence://source/' || conv_id || '/version/' || conv_id || '#chunk-' || turn AS citation_uri, text AS passage FROM conversations),
     sizes AS (SELECT batch_id, count(*) AS n FROM ev GROUP BY batch_id),
@@ -136,7 +147,7 @@ def _(i):
 
 
 MENTIONS = r"""
-    m AS (SELECT claim_id * 2 AS mention_no, trim(subject) AS name, CASE WHEN claim_id % 2 = 0 AND lower(alias) <> lower(first) AND alias <> '' THEN alias END AS alias FROM cl
+    m AS (SELECT claim_id * 2 AS mention_no, trim(subject) AS name, CASE WHEN r % 2 = 0 AND lower(alias) <> lower(first) AND alias <> '' THEN alias END AS alias FROM cl
           UNION ALL SELECT claim_id * 2 + 1, trim(object), NULL FROM cl),
     named AS (SELECT mention_no, lower(name) AS n, lower(alias) AS a FROM m),
     firsts AS (SELECT n, min(mention_no) AS p FROM named GROUP BY n),
@@ -154,6 +165,19 @@ def _(i):
     return resolved
 
 
+@query("entity_names", f"""
+    WITH {MENTIONS} SELECT own AS entity_id, name AS canonical_name FROM own JOIN m ON m.mention_no = own.p WHERE own IS NOT NULL""", "cl", recursive=True)
+def _(i):
+    return C.resolve_entities(C.claim_mentions(i.claims()))[1].select("entity_id", "canonical_name")
+
+
+@query("entity_aliases", f"""
+    WITH {MENTIONS}, e AS (SELECT mention_no, min(found) AS entity_id FROM walk GROUP BY mention_no)
+    SELECT entity_id, alias, b.n AS normalized_alias FROM bound b JOIN m ON m.mention_no = b.q JOIN e ON e.mention_no = b.q""", "cl", recursive=True)
+def _(i):
+    return C.resolve_entities(C.claim_mentions(i.claims()))[2].select("entity_id", "alias", "normalized_alias")
+
+
 @query("entity_relationships", f"""
     WITH {MENTIONS}, e AS (SELECT mention_no, min(found) AS entity_id FROM walk GROUP BY mention_no)
     SELECT claim_id, s.entity_id AS subject_id, predicate, o.entity_id AS object_id

@@ -15,6 +15,8 @@ from sourcelight.operators.chunking import chunk_text
 from sourcelight.sources.files import spread
 
 CHUNK_KEY = 1_000_000  # more passages than a 64 MiB text can have
+DRAFT_WORDS = 40
+DRAFT_KEY = 100  # more drafts than a passage can have
 NOW_SQL = "TIMESTAMP '2024-07-01 00:00:00'"
 EXTENSIONS = [".md", ".html", ".json", ".yaml", ".csv", ".py", ".txt", ".bin"]
 STATE_BY_EVENT = {"signup": "queued", "view": "running", "click": "cancelling", "purchase": "completed"}
@@ -111,40 +113,48 @@ class Inputs:
 
     # --- claims -----------------------------------------------------------
 
+    def claim_drafts(self) -> DataFrame:
+        """Keys of the drafts: one for every ``DRAFT_WORDS`` words of every passage. ``r`` is the number that rules go by."""
+        w = words("body")
+        pieces = F.filter(F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / DRAFT_WORDS).cast("int")), lambda k: F.struct(k.cast("bigint").alias("part"), F.slice(w, k * DRAFT_WORDS + 1, F.lit(DRAFT_WORDS)).alias("w"))), lambda d: F.size(d["w"]) > 0)
+        rows = self.chunks().select("chunk_id", "source_id", "ordinal", F.explode(pieces).alias("d"))
+        return rows.select((F.col("chunk_id") * DRAFT_KEY + F.col("d.part")).alias("claim_id"), "chunk_id", "source_id", "ordinal", "d.w", (F.col("source_id") + F.col("ordinal") + F.col("d.part")).alias("r"))
+
     def claims(self) -> DataFrame:
-        """A claim draft per document: the first word, the second, and all the others of its text."""
-        d, w = F.col("doc_id"), F.col("w")
+        """A claim of each draft: its first word, its second, and all the others, so all words of all passages are in claims."""
+        r, w = F.col("r"), F.col("w")
         word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
-        base = self.table("documents").select("doc_id", words("text").alias("w"))
         alias = word(2)
-        return base.select(
-            d.alias("claim_id"), F.when(d % 23 == 5, 2).otherwise(1).alias("schema_version"),
-            F.concat(F.lit("Topic "), (d % 8).cast("string")).alias("topic"), (d % 8).alias("topic_id"),
-            F.when(d % 19 == 7, " ").otherwise(word(0)).alias("subject"), word(1).alias("predicate"),
-            F.array_join(F.expr("slice(w, 3, greatest(size(w), 1))"), " ").alias("object"),
-            F.when((d % 2 == 0) & (F.lower(alias) != F.lower(word(0))) & (alias != ""), F.array(alias))
+        return self.claim_drafts().select(
+            "claim_id", F.when(r % 23 == 5, 2).otherwise(1).alias("schema_version"),
+            F.concat(F.lit("Topic "), (r % 8).cast("string")).alias("topic"), (r % 8).alias("topic_id"),
+            F.when(r % 19 == 7, " ").otherwise(word(0)).alias("subject"), word(1).alias("predicate"),
+            F.array_join(F.slice("w", 3, DRAFT_WORDS), " ").alias("object"),
+            F.when((r % 2 == 0) & (F.lower(alias) != F.lower(word(0))) & (alias != ""), F.array(alias))
             .otherwise(F.array().cast("array<string>")).alias("subject_aliases"),
-            F.array().cast("array<string>").alias("object_aliases"), (d % 6 == 0).alias("inferred"),
+            F.array().cast("array<string>").alias("object_aliases"), (r % 6 == 0).alias("inferred"), "r",
         )
 
     def claim_items(self) -> DataFrame:
-        """Evidence of each draft: its own document first, then documents with smaller numbers."""
-        d = F.col("doc_id")
-        n = F.when(d % 29 == 3, 13).when(d % 31 == 3, 0).otherwise(1 + d % 4).cast("int")
-        rows = self.table("documents").select(d.alias("claim_id"), F.explode(F.sequence(F.lit(0), n - 1)).alias("idx"), n.alias("n")).filter("idx >= 0 and idx < n")
-        target = F.floor(F.col("claim_id") / (F.col("idx") + 1)).cast("bigint")
+        """Evidence of each draft: its own passage, the one before it, then first passages of documents with smaller numbers."""
+        r, d, o = F.col("r"), F.col("source_id"), F.col("ordinal")
+        n = F.when(r % 29 == 3, 13).when(r % 31 == 3, 0).otherwise(1 + r % 4).cast("int")
+        rows = self.claim_drafts().select("claim_id", "source_id", "ordinal", "r", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("idx")).filter("idx >= 0 and idx < n")
+        before = (F.col("idx") == 1) & (o > 0)
+        target = F.when(before, d).otherwise(F.floor(d / (F.col("idx") + 1)).cast("bigint"))
+        ordinal = F.when(F.col("idx") == 0, o).when(before, o - 1).otherwise(0)
         return rows.select(
-            "claim_id", F.col("idx").cast("bigint").alias("idx"), citation_uri(target, target, F.lit(0)).alias("citation_uri"),
-            F.when((F.col("idx") == 1) & (F.col("claim_id") % 3 == 0), "contradicting").otherwise("supporting").alias("relationship"),
-            (target * CHUNK_KEY).alias("chunk_id"),
+            "claim_id", F.col("idx").cast("bigint").alias("idx"), citation_uri(target, target, ordinal).alias("citation_uri"),
+            F.when((F.col("idx") == 1) & (r % 3 == 0), "contradicting").otherwise("supporting").alias("relationship"),
+            (target * CHUNK_KEY + ordinal).alias("chunk_id"),
         )
 
     def stored_claims(self) -> tuple[DataFrame, DataFrame]:
         """Stored claims and their evidence: status by rule, at most four pieces of evidence."""
         c = self.claims().select(
             "claim_id", "topic_id", "subject", "predicate", "object", "inferred",
-            F.when(F.col("claim_id") % 3 == 0, "disputed").otherwise("supported").alias("status"),
-            F.when(F.col("claim_id") % 3 == 0, 0.5).otherwise(0.75).alias("confidence"),
+            F.when(F.col("r") % 3 == 0, "disputed").otherwise("supported").alias("status"),
+            F.when(F.col("r") % 3 == 0, 0.5).otherwise(0.75).alias("confidence"),
         )
         items = self.claim_items().filter("idx < 4").select("claim_id", "chunk_id", "relationship")
         return c, items
@@ -367,17 +377,22 @@ CTE: dict[str, tuple[list[str], str]] = {
                     ELSE CASE WHEN contains(hex(encode(text))[1:1024], '00') AND contains(text, chr(0)) THEN 'application/octet-stream'
                               WHEN strlen(text) > 512 AND hex(encode(text))[1025:1025] IN ('8', '9', 'A', 'B') THEN 'application/octet-stream'
                               ELSE 'text/plain' END END AS mime_type FROM documents"""),
-    "cl": ([], r"""
-        SELECT doc_id AS claim_id, CASE WHEN doc_id % 23 = 5 THEN 2 ELSE 1 END AS schema_version, 'Topic ' || (doc_id % 8) AS topic, doc_id % 8 AS topic_id,
-               CASE WHEN doc_id % 19 = 7 THEN ' ' ELSE coalesce(w[1], '') END AS subject, coalesce(w[2], '') AS predicate,
-               array_to_string(w[3:], ' ') AS object, coalesce(w[3], '') AS alias, coalesce(w[1], '') AS first, doc_id % 6 = 0 AS inferred
-        FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents)"""),
-    "items": ([], f"""
-        SELECT claim_id, idx, 'evidence://source/' || target || '/version/' || target || '#chunk-0' AS citation_uri, target * {CHUNK_KEY} AS chunk_id, target,
-               CASE WHEN idx = 1 AND claim_id % 3 = 0 THEN 'contradicting' ELSE 'supporting' END AS relationship
-        FROM (SELECT doc_id AS claim_id, idx, doc_id // (idx + 1) AS target FROM (
-            SELECT doc_id, unnest(range(CASE WHEN doc_id % 29 = 3 THEN 13 WHEN doc_id % 31 = 3 THEN 0 ELSE 1 + doc_id % 4 END)) AS idx FROM documents))"""),
-    "stored": (["cl"], "SELECT *, CASE WHEN claim_id % 3 = 0 THEN 'disputed' ELSE 'supported' END AS status FROM cl"),
+    "claim_parts": (["chunks"], rf"""
+        SELECT chunk_id * {DRAFT_KEY} + part AS claim_id, chunk_id, source_id, ordinal, w[part * {DRAFT_WORDS} + 1 : part * {DRAFT_WORDS} + {DRAFT_WORDS}] AS w, source_id + ordinal + part AS r
+        FROM (SELECT chunk_id, source_id, ordinal, w, unnest(range((len(w) + {DRAFT_WORDS} - 1) // {DRAFT_WORDS})) AS part
+              FROM (SELECT chunk_id, source_id, ordinal, regexp_extract_all(body, '\S+') AS w FROM chunks))"""),
+    "cl": (["claim_parts"], r"""
+        SELECT claim_id, CASE WHEN r % 23 = 5 THEN 2 ELSE 1 END AS schema_version, 'Topic ' || (r % 8) AS topic, r % 8 AS topic_id,
+               CASE WHEN r % 19 = 7 THEN ' ' ELSE coalesce(w[1], '') END AS subject, coalesce(w[2], '') AS predicate,
+               array_to_string(w[3:], ' ') AS object, coalesce(w[3], '') AS alias, coalesce(w[1], '') AS first, r % 6 = 0 AS inferred, r
+        FROM claim_parts"""),
+    "items": (["claim_parts"], f"""
+        SELECT claim_id, idx, 'evidence://source/' || target || '/version/' || target || '#chunk-' || place AS citation_uri, target * {CHUNK_KEY} + place AS chunk_id, target, place,
+               CASE WHEN idx = 1 AND r % 3 = 0 THEN 'contradicting' ELSE 'supporting' END AS relationship
+        FROM (SELECT claim_id, idx, r, CASE WHEN idx = 1 AND ordinal > 0 THEN source_id ELSE source_id // (idx + 1) END AS target,
+                     CASE WHEN idx = 0 THEN ordinal WHEN idx = 1 AND ordinal > 0 THEN ordinal - 1 ELSE 0 END AS place
+              FROM (SELECT claim_id, source_id, ordinal, r, unnest(range(CASE WHEN r % 29 = 3 THEN 13 WHEN r % 31 = 3 THEN 0 ELSE 1 + r % 4 END)) AS idx FROM claim_parts))"""),
+    "stored": (["cl"], "SELECT *, CASE WHEN r % 3 = 0 THEN 'disputed' ELSE 'supported' END AS status FROM cl"),
     "proof": (["items"], "SELECT * FROM items WHERE idx < 4"),
     "topics": ([], """
         SELECT topic_id, 'Topic ' || topic_id AS label, coalesce(n, 0) AS questions

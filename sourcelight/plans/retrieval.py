@@ -285,8 +285,8 @@ def _(i):
 
 
 @query("open_citations", """
-    SELECT citation_uri, c.chunk_id, c.source_id, c.ordinal, display_name, md5(body) AS passage_md5
-    FROM (SELECT DISTINCT citation_uri, target FROM items) i JOIN chunks c ON c.source_id = i.target AND c.ordinal = 0 WHERE state <> 'deleted'""", "items", "chunks")
+    SELECT citation_uri, chunk_id, c.source_id, c.ordinal, display_name, md5(body) AS passage_md5
+    FROM (SELECT DISTINCT citation_uri, chunk_id FROM items) i JOIN chunks c USING (chunk_id) WHERE state <> 'deleted'""", "items", "chunks")
 def _(i):
     wanted = i.claim_items().select("citation_uri").distinct()
     opened = open_citations(wanted, i.chunks().select("source_id", "version_id", "ordinal", "chunk_id", "body"), i.sources())
@@ -296,7 +296,7 @@ def _(i):
 @query("open_images", """
     SELECT citation_uri, c.source_id, mime_type, CASE WHEN mime_type NOT LIKE 'image/%' THEN 'not_an_image' WHEN size > 268435456 THEN 'image_too_large' END AS reason,
            CASE WHEN mime_type LIKE 'image/%' AND size <= 268435456 THEN md5(base64(encode(text))) END AS payload_md5
-    FROM (SELECT DISTINCT citation_uri, target FROM items) i JOIN chunks c ON c.source_id = i.target AND c.ordinal = 0,
+    FROM (SELECT DISTINCT citation_uri, chunk_id FROM items) i JOIN chunks c USING (chunk_id),
          LATERAL (SELECT CASE c.source_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/tiff' WHEN 2 THEN 'text/plain' ELSE 'image/webp' END AS mime_type,
                          CASE WHEN c.source_id % 8 = 7 THEN 300000000 ELSE strlen(text) END AS size)
     WHERE state <> 'deleted'""", "items", "chunks")
