@@ -110,7 +110,7 @@ _FOLD, _LAST = EVIDENCE_SQL.rsplit("SELECT f.query_id, i - 1 AS idx", 1)
 
 
 @query("question_to_answer", f"""{_FOLD.strip()}, chosen AS (SELECT f.query_id, i - 1 AS idx{_LAST})
-    SELECT query_id AS question_id, CASE WHEN citation_uri IS NULL THEN 'I do not have retained evidence that can answer this question.' ELSE 'Read.' END AS summary,
+    SELECT query_id AS question_id, CASE WHEN citation_uri IS NULL THEN 'no_evidence' ELSE 'Read.' END AS summary,
            CASE WHEN citation_uri IS NULL OR query_id % 7 = 0 THEN '' ELSE citation_uri END AS citations,
            CASE WHEN citation_uri IS NOT NULL AND query_id % 7 = 0 THEN 'unknown_indexed_schema' END AS reason
     FROM queries LEFT JOIN (SELECT query_id, citation_uri FROM chosen WHERE idx = 0 AND query_id % 10 <> 9) USING (query_id)""", "reranked", "queries", recursive=True)
@@ -176,8 +176,8 @@ FINAL = f"""
     {BOUND},
     final AS (SELECT *, list_transform(cs, lambda c: CASE WHEN c.k = 'inference' AND NOT contains(lower(c.s), 'infer') THEN 'Inference: ' || trim(c.s, E' \\n') ELSE c.s END) AS st,
                      CASE WHEN len(cs) = 0 THEN [] WHEN why IS NULL THEN sc ELSE [] END AS fc,
-                     CASE WHEN len(cs) = 0 THEN 'I do not have retained evidence that can answer this question.' ELSE summary END AS fs,
-                     CASE WHEN len(cs) = 0 AND len(g) = 0 THEN ['The local model did not provide a supported answer.'] ELSE g END AS fg,
+                     CASE WHEN len(cs) = 0 THEN 'no_evidence' ELSE summary END AS fs,
+                     CASE WHEN len(cs) = 0 AND len(g) = 0 THEN ['no_supported_answer'] ELSE g END AS fg,
                      coalesce(why, CASE WHEN len(list_filter(cs, lambda c: c.k = 'inference' AND NOT contains(lower(c.s), 'infer') AND trim(c.s, E' \\n') = '')) > 0 THEN 'invalid_statement' END) AS why2 FROM bound)"""
 
 
@@ -203,7 +203,7 @@ def _(i):
 
 
 @query("evidence_gap", """
-    SELECT question_id, 1::BIGINT AS schema_version, 'I do not have retained evidence that can answer this question.' AS summary, 'No relevant current source passage was retrieved.' AS gap
+    SELECT question_id, 1::BIGINT AS schema_version, 'no_evidence' AS summary, 'no_passage' AS gap
     FROM questions WHERE question_id NOT IN (SELECT question_id FROM supplied)""", "questions", "supplied")
 def _(i):
     gaps = A.evidence_gap(i.questions(), i.supplied())

@@ -197,8 +197,8 @@ SCORES = f"""
                       round(coalesce(k / n, 0) * 100, 6) AS independence_score, round(coalesce(fr, 0) * 100, 6) AS freshness_score,
                       CASE WHEN coalesce(fr, 0) < 1 THEN 'stale' ELSE 'fresh' END AS freshness_status, round(least(questions / 5.0, 1.0) * 100, 6) AS unresolved_question_score,
                       coalesce(dis, false) AS disputed, coalesce(k, 0) AS source_count,
-                      array_to_string(list_filter([CASE WHEN dis THEN 'Disputed' END, CASE WHEN coalesce(fr, 0) < 1 THEN 'May be stale' END,
-                          CASE WHEN coalesce(k, 0) < 2 THEN 'Single-source' END, CASE WHEN inf THEN 'Inferred' END], lambda x: x IS NOT NULL), '|') AS warnings
+                      array_to_string(list_filter([CASE WHEN dis THEN 'disputed' END, CASE WHEN coalesce(fr, 0) < 1 THEN 'stale' END,
+                          CASE WHEN coalesce(k, 0) < 2 THEN 'single_source' END, CASE WHEN inf THEN 'inferred' END], lambda x: x IS NOT NULL), '|') AS warnings
                FROM topics LEFT JOIN agg USING (topic_id))"""
 SCORE_COLUMNS = ["topic_id", "label", "coverage_score", "authority_score", "independence_score", "freshness_score", "freshness_status",
                  "unresolved_question_score", "disputed", "source_count"]
@@ -232,8 +232,8 @@ REVIEWS = f"""
     rv AS (SELECT claim_id, count(DISTINCT source_id) AS source_count, bool_and(coalesce(last_checked_at >= {NOW_SQL} - INTERVAL 90 DAY, false)) AS fresh,
                   count(*) AS evidence_count
            FROM proof JOIN (SELECT chunk_id, source_id, ordinal FROM chunks) USING (chunk_id) JOIN (SELECT source_id, last_checked_at FROM library) USING (source_id) GROUP BY claim_id)"""
-LABELS = """array_to_string(list_filter([CASE WHEN status = 'disputed' THEN 'Disputed' END, CASE WHEN NOT fresh THEN 'May be stale' END,
-                          CASE WHEN source_count < 2 THEN 'Single-source' END, CASE WHEN inferred THEN 'Inferred' END], lambda x: x IS NOT NULL), '|')"""
+LABELS = """array_to_string(list_filter([CASE WHEN status = 'disputed' THEN 'disputed' END, CASE WHEN NOT fresh THEN 'stale' END,
+                          CASE WHEN source_count < 2 THEN 'single_source' END, CASE WHEN inferred THEN 'inferred' END], lambda x: x IS NOT NULL), '|')"""
 
 
 def _reviews(i):
