@@ -311,15 +311,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spellings = found.filter("edits > 0 and not quoted").groupBy("word").agg(rows_of(1).alias("a"), rows_of(0).alias("b"))
     harmless = spellings.filter((F.col("b") > 0) & (F.col("a") * clean < 2.0 * toxic * (F.col("b") + 0.5)))
     known_clean = frozenset(r.word for r in harmless.select("word").collect())
-    fuzzy = {(e, y): 0 for e in range(len(entries)) for y in (0, 1)}
+    # A spelling that scoring meets and the sample does not hold is judged by the different spellings near its entry, each
+    # counted once: those that clean rows use, and those that toxic rows alone use.
+    spelt = found.filter("edits > 0").groupBy("word").agg(F.min("entry").alias("entry"), F.min("label").alias("label"))
+    fuzzy = {(r.entry, r.label): r.n for r in spelt.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     quotes = {0: 1.0, 1: 1.0}
-    for r in found.groupBy("label", "entry", "edits", "quoted").agg(F.sum("n").alias("n")).collect():
-        if r.edits:
-            fuzzy[r.entry, r.label] += r.n
-        if r.quoted:
-            quotes[r.label] += r.n
+    for r in found.filter("quoted").groupBy("label").agg(F.sum("n").alias("n")).collect():
+        quotes[r.label] += r.n
     for i, e in enumerate(entries):
-        e.fuzzy = max(0.0, math.log((fuzzy[i, 1] + 1) / (toxic + 50)) - math.log((0.3 * fuzzy[i, 0] + 0.5) / (clean + 50)))
+        e.fuzzy = max(0.0, math.log((fuzzy.get((i, 1), 0) + 1) / (toxic + 50)) - math.log((fuzzy.get((i, 0), 0) + 0.5) / (clean + 50)))
     share = (quotes[1] / (toxic + 2)) / (quotes[1] / (toxic + 2) + quotes[0] / (clean + 2))
     return Model(entries, automaton(entries), prior, min(1.0, 0.1 + 0.3 * share), 0.9, known_clean)
 

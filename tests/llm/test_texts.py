@@ -264,6 +264,18 @@ def test_misspellings_are_clean_by_their_rows(spark):
     assert [len(h) for h in op8_toxicity.hits(model, ["grobmik", "grobnix", "grobnit"])] == [1, 1, 0]
 
 
+def test_misspellings_weigh_by_the_spellings_near(spark):
+    rng = random.Random(10)
+    near = ["flumpat", "flumpot", "flumput", "flumpit", "flumpett", "flumpeta"]  # clean words, one letter from an entry
+    end = lambda i: " grobnik flumpet" * (i % 6 == 0) + " grobnikk" * (i == 6) + (" " + near[i // 6 % 6]) * (i % 6 == 1)
+    rows = [(i, sentence(rng, 20).replace("w", rng.choice("klmn")) + end(i)) for i in range(300)]
+    model = op8_toxicity.fit(table(spark, rows), spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(300)], "doc_id long, toxic int"))
+    weight = {e.text: e.fuzzy for e in model.entries}
+    assert weight["flumpet"] < 0.2 and weight["grobnik"] > 1.5
+    got = {r.doc_id: r.predicted for r in op8_toxicity.score(table(spark, [(1, "a flumpef"), (2, "a grobnif grobnix")]), model).collect()}
+    assert got[1] == 0
+
+
 def test_names_of_items_are_hashed(spark, tmp_path):
     spark.createDataFrame([(2, "p q r s t u v w x y"), (10, "p q r")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     table(spark, [(1, "p q r s t u v w x y z")]).write.parquet(f"{tmp_path}/documents.parquet")
