@@ -312,7 +312,7 @@ def _(i):
     SELECT topic_id, reason, CASE WHEN reason IS NULL THEN md5(asked) END AS questions_md5 FROM j""")
 def _(i):
     c, t = F.col("conv_id"), F.col("turn")
-    asked = F.when((c % 7 == 6) & (t == 1), " ").when(c % 7 == 5, "Same? ").otherwise(F.concat(F.lit(" "), F.trim("text")))
+    asked = F.when((c % 7 == 6) & (t == 1), " ").when(c % 7 == 5, "Same? ").otherwise(F.concat(F.lit(" "), F.btrim("text", F.lit(" \n"))))
     rows = i.table("conversations").select(c.alias("topic_id"), t.alias("position"), asked.alias("question"))
     topics = i.table("documents").filter(F.col("doc_id") % 10 != 0).select(F.col("doc_id").alias("topic_id"))
     good, bad = D.set_questions(topics, rows)

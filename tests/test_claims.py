@@ -157,6 +157,13 @@ def test_questions_are_all_or_nothing(spark):
     assert {r.topic_id: r.reason for r in bad.collect()} == {2: "invalid_questions", 3: "invalid_questions", 4: "invalid_questions", 9: "unknown_topic"}
 
 
+def test_question_limit_counts_bytes_as_given(spark):
+    topics = spark.createDataFrame([(1,), (2,)], "topic_id bigint")
+    rows = spark.createDataFrame([(1, 0, " " + "x" * 2047), (2, 0, " " + "x" * 2048)], "topic_id bigint, position bigint, question string")
+    good, bad = D.set_questions(topics, rows)
+    assert [r.topic_id for r in good.collect()] == [1] and [r.topic_id for r in bad.collect()] == [2]
+
+
 def test_proposals_fail_as_a_batch(spark):
     evidence = spark.createDataFrame([(b, 0, f"u{b}", "Cat is black") for b in (1, 2, 3)], "batch_id bigint, idx bigint, citation_uri string, passage string")
     schema = "batch_id bigint, claim_id bigint, subject string, predicate string, object string, subject_aliases array<string>, object_aliases array<string>, inferred boolean, supporting array<bigint>, contradicting array<bigint>"
