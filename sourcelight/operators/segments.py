@@ -14,6 +14,7 @@ highest bounds give a k-th score, and only blocks that can still beat it (or tie
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -61,6 +62,24 @@ def _length(field: str) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(F.col(field), F.lit("")), F.lit(WORD + "++"), F.lit(0))).cast("bigint")
 
 
+def _range_starts(chunks: DataFrame, parts: int) -> list:
+    """First passage of each of at most ``parts`` ranges of about the same size."""
+    ranged = chunks.select("chunk_id").repartitionByRange(parts, "chunk_id").groupBy(F.spark_partition_id()).agg(F.min("chunk_id").alias("first"))
+    return sorted(r["first"] for r in ranged.collect())
+
+
+def _blocked(rows: DataFrame, cuts: list, parts: int) -> DataFrame:
+    """Rows with their range (``part``) and block, numbered within the range: the same for the same passages in any job."""
+    step = max(1, math.isqrt(len(cuts)))
+    starts = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array(F.lit(None))
+    coarse = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[::step]]) if cuts else starts, lambda c: c <= F.col("chunk_id")))
+    first = F.greatest((coarse - 1) * step, F.lit(0))
+    part = first + F.size(F.filter(F.slice(starts, first + 1, F.lit(step)), lambda c: c <= F.col("chunk_id")))
+    placed = rows.withColumn("part", part.cast("bigint")).repartition(parts, "part")
+    at = F.row_number().over(Window.partitionBy("part").orderBy("chunk_id", "version_id")) - 1
+    return placed.withColumn("block", F.shiftleft("part", 33 - BLOCK_BITS) + F.shiftright(at, BLOCK_BITS))
+
+
 @dataclass
 class SearchIndex:
     """A stored index below ``folder``, which every executor can reach."""
@@ -87,21 +106,23 @@ class SearchIndex:
         """Write one segment; its manifest figures."""
         name = f"s{uuid.uuid4().hex}"
         parts = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        columns = chunks.select("chunk_id", "version_id", *FIELDS)
-        numbered = columns.repartitionByRange(parts, "chunk_id").sortWithinPartitions("chunk_id").withColumn("row", F.monotonically_increasing_id())
-        blocked = numbered.withColumn("block", F.shiftright("row", BLOCK_BITS)).withColumn("part", F.shiftright("row", 33))
-        passages = blocked.select("chunk_id", "version_id", "block", *[_length(f).alias(f"len_{f}") for f in FIELDS], "part", *FIELDS)
-        postings = passages.select("part", "block", "chunk_id", "version_id", F.explode(F.concat(*[_words_of(f) for f in FIELDS])).alias("p"))
+        # Both tables of a segment number the same passages in separate jobs, so the ranges are cut once: what each job would
+        # cut for itself rests on a sample of its own, and the two tables would not mean the same blocks.
+        cuts = _range_starts(chunks, parts)
+        lengths = chunks.select("chunk_id", "version_id", *[_length(f).alias(f"len_{f}") for f in FIELDS])
+        _blocked(lengths, cuts, parts).drop("part").write.parquet(self._path("passages", name))
+        blocked = _blocked(chunks.select("chunk_id", "version_id", *FIELDS), cuts, parts)
+        postings = blocked.select("part", "block", "chunk_id", "version_id", F.explode(F.concat(*[_words_of(f) for f in FIELDS])).alias("p"))
         flat = postings.select("part", "block", "p.term", "p.field", F.struct("chunk_id", "version_id", "p.tf", "p.len", "p.positions").alias("entry"))
         flat = flat if only is None else flat.join(only.select("term").distinct(), "term", "left_semi")
-        # A part is a run of neighbouring blocks; its rows meet in one task and lie in one file, ordered by word.
-        grouped = flat.repartition("part").groupBy("part", "term", "field", "block").agg(
+        # A part is a run of neighbouring blocks; its rows are in one task since they were numbered, so postings are not
+        # shuffled, and lie in one file, ordered by word.
+        grouped = flat.groupBy("part", "term", "field", "block").agg(
             F.count(F.lit(1)).cast("int").alias("n"), F.max("entry.tf").alias("max_tf"), F.min("entry.len").alias("min_len"),
             F.min("entry.chunk_id").alias("first_id"), F.array_sort(F.collect_list("entry")).alias("entries"))  # at most one block of passages
         grouped.drop("part").sortWithinPartitions("term", "field", "block").write.option("parquet.block.size", 16 << 20).parquet(self._path("rows", name))
         rows = self.spark.read.parquet(self._path("rows", name))
         rows.groupBy("term", "field").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(self._path("terms", name))
-        passages.drop("part", *FIELDS).write.parquet(self._path("passages", name))
         held = self.spark.read.parquet(self._path("passages", name))
         return name, *self._figures(held)
 
@@ -300,7 +321,10 @@ class SearchIndex:
             if short is not None:
                 rows = rows.filter(F.col("block").isin(sorted(set(short.column("block").to_pylist()))))
         wanted = blocks.join(weights, "query_id")
-        opened = rows.select("segment", "block", "term", "field", "entries").join(wanted, ["segment", "block", "term", "field"])
+        # Positions are not read; postings of other words are left behind before anything is sent.
+        scored = F.arrays_zip(*[F.col(f"entries.{c}").alias(c) for c in ("chunk_id", "version_id", "tf", "len")]).alias("entries")
+        asked = rows.select("segment", "block", "term", "field", scored).join(weights.select("term").distinct(), "term", "left_semi")
+        opened = asked.join(wanted, ["segment", "block", "term", "field"])
         flat = opened.select("query_id", "segment", "field", "weight", F.explode("entries").alias("e"))
         flat = self._without_dead(flat.select("query_id", "segment", "field", "weight", "e.chunk_id", "e.version_id", "e.tf", "e.len"))
         return flat.groupBy("query_id", "chunk_id").agg(F.first("version_id").alias("version_id"), F.sum(self._impact(F.col("tf"), F.col("len"))).alias("score"))

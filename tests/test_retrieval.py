@@ -355,3 +355,19 @@ def test_phrases_of_one_and_many_words(spark):
         want |= {(p.phrase_id, c, f) for c, f, t in texts if words and p.phrase_id is not None and f" {words} " in t}
     found = index.phrases(phrases)
     assert {tuple(r) for r in found.select("phrase_id", "chunk_id", "field").collect()} == want and {1, 2, 3, 4, 5, 8} == {w[0] for w in want}
+
+
+def test_all_tables_of_a_segment_number_the_same_blocks(spark):
+    # With one sampled row per range, two jobs that cut their own ranges would cut them differently.
+    key = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        chunks = spark.range(4000).selectExpr("id AS chunk_id", "id AS version_id", "'n' AS display_name", "CAST(NULL AS string) AS heading", "concat('w', id % 7) AS body")
+        index = SearchIndex.create(chunks.repartition(8), scratch_dir(spark))
+    finally:
+        spark.conf.set(key, before)
+    rows = index._table("rows", index._live()).select("block", F.explode("entries.chunk_id").alias("chunk_id")).distinct()
+    passages = index._passages().select("block", "chunk_id")
+    assert rows.count() == passages.count() == 4000
+    assert rows.exceptAll(passages).isEmpty() and passages.groupBy("block").count().agg(F.max("count")).first()[0] <= 128
