@@ -8,6 +8,7 @@ What a batch leaves behind for the next one (three fields for each key) is a key
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -25,6 +26,7 @@ from sourcelight.sources.keyed import KeyedTable
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _FIRST = -(1 << 62)  # stands before every observation of a batch
 _ORDER = ["observed_us", "observation_id"]
+SLICE_SHARES = 8  # groups of a slice, by key
 
 
 def use_state_store(spark) -> None:
@@ -73,68 +75,91 @@ def stable_batch(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataF
 
 # --- cooldown -----------------------------------------------------------------------
 
-def _exits(at: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """For each attempt of a sorted run, if it is made: the end of the cooldown after the run's last attempt.
-
-    An attempt leads to the next one if it succeeds and to the first one after its cooldown if it fails, whatever was
-    before it, so the run is one walk from its end.
+def _runs(frame: pd.DataFrame, order: list[str]) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+    """Rows by key and ``order``, and where each key's rows begin and end."""
+    frame = frame.assign(__code=pd.factorize(frame["path_key"], use_na_sentinel=False)[0]).sort_values(["__code", *order], kind="stable")
+    starts = np.flatnonzero(np.diff(frame.pop("__code").to_numpy(), prepend=-1)).tolist()
+    return frame, list(zip(starts, [*starts[1:], len(frame)], strict=True))
+
+
+def _next(at: list[int], ok: list[bool], runs: list[tuple[int, int]]) -> list[int]:
+    """The attempt after each one that is made: the next one if it succeeds, the first one after its cooldown if it fails."""
+    after = list(range(1, len(at) + 1))
+    for start, stop in runs:
+        j = start
+        for i in range(start, stop):
+            if not ok[i]:
+                until = at[i] + K.COOLDOWN_MICROS
+                while j < stop and at[j] < until:
+                    j += 1
+                after[i] = j
+    return after
+
+
+def _summary(frame: pd.DataFrame) -> pd.DataFrame:
+    """What a slice does to a cooldown that comes in, for each of its keys: the attempts by the end they lead to.
+
+    An attempt leads to the same ones whatever was before it, so a run is one walk from its end. A cooldown that comes in
+    from an earlier slice ends at most 30 s after this slice's first attempt, so only attempts up to the first one after that
+    can be made first; neighbours that lead to the same end are one.
     """
-    after = np.where(ok, np.arange(1, len(at) + 1), np.searchsorted(at, at + K.COOLDOWN_MICROS)).tolist()
-    ends = np.where(ok, _FIRST, at + K.COOLDOWN_MICROS).tolist()
-    for i in range(len(ends) - 1, -1, -1):
-        if after[i] < len(ends):
-            ends[i] = ends[after[i]]
-    return np.asarray(ends, np.int64)
-
-
-def _summary(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """What a slice of one key does to a cooldown that comes in: its attempts by the end they lead to.
-
-    A cooldown that comes in from an earlier slice ends at most 30 s after this slice's first attempt, so only attempts up to
-    the first one after that can be made first; neighbours that lead to the same end are one.
-    """
-    frame = frame.sort_values(_ORDER, kind="stable")
-    at, ends = frame["observed_us"].to_numpy(np.int64), _exits(frame["observed_us"].to_numpy(np.int64), frame["ok"].to_numpy(bool))
-    many = min(len(at), int(np.searchsorted(at, at[0] + K.COOLDOWN_MICROS)) + 1)
-    last = np.r_[ends[1:many] != ends[:many - 1], True]
-    return pd.DataFrame({"path_key": [key[0]], "slice": [key[1]], "upto": [at[:many][last].tolist()], "ends": [ends[:many][last].tolist()]})
-
-
-def _chain(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """The cooldown that comes into each slice of a key, from the summaries of its slices."""
-    frame = frame.sort_values("slice", kind="stable")
-    until, enters = _FIRST, []
-    for upto, ends in zip(frame["upto"], frame["ends"], strict=True):
-        enters.append(until)
-        place = int(np.searchsorted(np.asarray(upto, np.int64), until))
-        if place < len(upto):
-            until = int(ends[place])
-    return pd.DataFrame({"path_key": key[0], "slice": frame["slice"], "enters": enters, "leaves": until})
+    frame, runs = _runs(frame, _ORDER)
+    at, ok = frame["observed_us"].tolist(), frame["ok"].tolist()
+    after, ends, rows = _next(at, ok, runs), [0] * len(at), []
+    for start, stop in runs:
+        for i in range(stop - 1, start - 1, -1):
+            ends[i] = ends[after[i]] if after[i] < stop else _FIRST if ok[i] else at[i] + K.COOLDOWN_MICROS
+        many = min(stop, bisect_left(at, at[start] + K.COOLDOWN_MICROS, start, stop) + 1)
+        last = [i for i in range(start, many) if i == many - 1 or ends[i] != ends[i + 1]]
+        rows.append((start, [at[i] for i in last], [ends[i] for i in last]))
+    heads = frame.iloc[[r[0] for r in rows]]
+    return pd.DataFrame({"path_key": heads["path_key"], "slice": heads["slice"], "upto": [r[1] for r in rows], "ends": [r[2] for r in rows]})
+
+
+def _chain(frame: pd.DataFrame) -> pd.DataFrame:
+    """The cooldown that comes into each slice of each key, from the summaries of its slices."""
+    frame, runs = _runs(frame, ["slice"])
+    every, enters, leaves = list(zip(frame["upto"], frame["ends"], strict=True)), [], []
+    for start, stop in runs:
+        until = _FIRST
+        for upto, ends in every[start:stop]:
+            enters.append(until)
+            place = bisect_left(upto, until)
+            if place < len(upto):
+                until = int(ends[place])
+        leaves += [until] * (stop - start)
+    return pd.DataFrame({"path_key": frame["path_key"], "slice": frame["slice"], "enters": enters, "leaves": leaves})
 
 
 def _made(frame: pd.DataFrame) -> pd.DataFrame:
-    """Attempts of one slice and key that are made."""
-    frame = frame.sort_values(_ORDER, kind="stable")
-    at, ok = frame["observed_us"].to_numpy(np.int64), frame["ok"].to_numpy(bool)
-    after = np.where(ok, np.arange(1, len(at) + 1), np.searchsorted(at, at + K.COOLDOWN_MICROS)).tolist()
-    i, made = int(np.searchsorted(at, int(frame["enters"].iloc[0]))), []
-    while i < len(after):
-        made.append(i)
-        i = after[i]
+    """Attempts of one slice that are made."""
+    frame, runs = _runs(frame, _ORDER)
+    at, made = frame["observed_us"].tolist(), []
+    after, enters = _next(at, frame["ok"].tolist(), runs), frame["enters"].tolist()
+    for start, stop in runs:
+        i = bisect_left(at, enters[start], start, stop)
+        while i < stop:
+            made.append(i)
+            i = after[i]
     return frame.iloc[made][["path_key", "observation_id", "observed_us", "ok"]]
 
 
 def cooldown_batch(batch: DataFrame, carried: DataFrame, fanout: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Attempts that are made in a batch, and the cooldown it leaves behind for its keys (path_key, until; NULL: none).
 
-    ``carried``: path_key, until. Slices are folded in parallel; only their summaries, a row for each key and slice, meet by key.
+    ``carried``: path_key, until. Slices are folded in parallel, each with all its keys in a few
+    groups; only their summaries, a row for each key and slice, meet by key, many keys to a group.
     """
     kind = batch.schema["path_key"].dataType.simpleString()
     free = batch.join(carried.select("path_key", "until"), "path_key", "left").filter("until is null or observed_us >= until")  # the others are ignored
     rows = with_slice(free.select("path_key", "observation_id", "observed_us", "ok"), "observed_us", fanout).withColumnRenamed("__os_slice", "slice")
-    summaries = rows.groupBy("path_key", "slice").applyInPandas(_summary, f"path_key {kind}, slice int, upto array<bigint>, ends array<bigint>")
-    chained = summaries.groupBy("path_key").applyInPandas(_chain, f"path_key {kind}, slice int, enters bigint, leaves bigint")
-    made = rows.join(chained.select("path_key", "slice", "enters"), ["path_key", "slice"]).groupBy("path_key", "slice").applyInPandas(_made, f"path_key {kind}, observation_id bigint, observed_us bigint, ok boolean")
+    # A group is a share of a slice: there are as many as slices, not as many as keys times slices.
+    share = lambda n: F.pmod(F.xxhash64("path_key"), F.lit(n)).alias("share")
+    summaries = rows.groupBy("slice", share(SLICE_SHARES)).applyInPandas(_summary, f"path_key {kind}, slice int, upto array<bigint>, ends array<bigint>")
+    parts = 4 * int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    chained = summaries.groupBy(share(parts)).applyInPandas(_chain, f"path_key {kind}, slice int, enters bigint, leaves bigint")
+    entered = rows.join(chained.select("path_key", "slice", "enters"), ["path_key", "slice"])
+    made = entered.groupBy("slice", share(SLICE_SHARES)).applyInPandas(_made, f"path_key {kind}, observation_id bigint, observed_us bigint, ok boolean")
     left = chained.groupBy("path_key").agg(F.max("leaves").alias("until"))  # the same in all slices of a key
     return made, left.withColumn("until", F.when(F.col("until") > _FIRST, F.col("until")))
 

@@ -244,3 +244,19 @@ def test_keyed_table(spark):
     assert held() == {} and table.version() == 3
     table.upsert(df((None, 6)))
     assert held() == {None: 6}
+
+
+def test_a_slice_of_many_keys_is_one_group():
+    # All keys of a slice are folded in one call, so that calls grow with slices and not with keys times slices.
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    tries = [(int(k), n, int(t), bool(ok)) for n, (k, t, ok) in enumerate(zip(rng.integers(0, 40, 1500), rng.integers(0, 400_000_000, 1500), rng.random(1500) < 0.6, strict=True))]
+    frame = pd.DataFrame(tries, columns=["path_key", "observation_id", "observed_us", "ok"])
+    frame["slice"] = frame["observed_us"] // 100_000_000
+    summaries = pd.concat([watch._summary(part) for _, part in frame.groupby("slice")])
+    chained = watch._chain(summaries)
+    made = pd.concat([watch._made(part) for _, part in frame.merge(chained, on=["path_key", "slice"]).groupby("slice")])
+    assert len(summaries) == len(frame[["path_key", "slice"]].drop_duplicates())
+    assert set(made["observation_id"]) == _cooled(tries)
