@@ -230,7 +230,8 @@ def _(i):
 
 REVIEWS = f"""
     rv AS (SELECT claim_id, count(DISTINCT source_id) AS source_count, bool_and(coalesce(last_checked_at >= {NOW_SQL} - INTERVAL 90 DAY, false)) AS fresh,
-                  count(*) AS evidence_count
+                  count(*) AS evidence_count,
+                  string_agg(relationship || '=' || source_id || '#' || ordinal, ',' ORDER BY relationship, ordinal, citation_uri) AS evidence
            FROM proof JOIN (SELECT chunk_id, source_id, ordinal FROM chunks) USING (chunk_id) JOIN (SELECT source_id, last_checked_at FROM library) USING (source_id) GROUP BY claim_id)"""
 LABELS = """array_to_string(list_filter([CASE WHEN status = 'disputed' THEN 'disputed' END, CASE WHEN NOT fresh THEN 'stale' END,
                           CASE WHEN source_count < 2 THEN 'single_source' END, CASE WHEN inferred THEN 'inferred' END], lambda x: x IS NOT NULL), '|')"""
@@ -242,10 +243,11 @@ def _reviews(i):
 
 
 @query("claim_reviews", f"""
-    WITH {REVIEWS} SELECT claim_id, topic_id, subject || ' ' || predicate || ' ' || object AS statement, status, source_count, evidence_count, fresh, {LABELS} AS warnings
+    WITH {REVIEWS} SELECT claim_id, topic_id, subject || ' ' || predicate || ' ' || object AS statement, status, source_count, evidence_count, fresh, evidence, {LABELS} AS warnings
     FROM stored JOIN rv USING (claim_id)""", "stored", "proof", "chunks", "library")
 def _(i):
-    return _reviews(i).select("claim_id", "topic_id", "statement", "status", "source_count", "evidence_count", "fresh", _short())
+    listed = F.array_join(F.transform("evidence", lambda e: F.concat(e["relationship"], F.lit("="), e["source_id"].cast("string"), F.lit("#"), e["ordinal"].cast("string"))), ",")
+    return _reviews(i).select("claim_id", "topic_id", "statement", "status", "source_count", "evidence_count", "fresh", listed.alias("evidence"), _short())
 
 
 @query("review_evidence", """

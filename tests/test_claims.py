@@ -183,3 +183,12 @@ def test_proposal_replies(spark):
     assert [r.ok for r in read.orderBy("batch_id").collect()] == [True, True, False, False, False, False, False]
     row = rows.first()
     assert (row.claim_id, row.subject, row.inferred, row.supporting, row.contradicting) == (0, "a", False, [0], [])
+
+
+def test_reviews_list_their_evidence(spark):
+    claims = spark.createDataFrame([(1, 0, "a", "is", "b", False, "supported")], "claim_id bigint, topic_id bigint, subject string, predicate string, object string, inferred boolean, status string")
+    chunks = spark.createDataFrame([(10, 1, 1, 0), (11, 1, 1, 1), (20, 2, 2, 0)], "chunk_id bigint, source_id bigint, version_id bigint, ordinal bigint")
+    evidence = spark.createDataFrame([(1, 11, "supporting"), (1, 20, "supporting"), (1, 10, "contradicting")], "claim_id bigint, chunk_id bigint, relationship string")
+    sources = spark.createDataFrame([(1, None), (2, None)], "source_id bigint, last_checked_at timestamp")
+    found = D.claim_reviews(claims, evidence, chunks, sources, F.current_timestamp()).first()
+    assert [(e.relationship, e.source_id, e.ordinal) for e in found.evidence] == [("contradicting", 1, 0), ("supporting", 2, 0), ("supporting", 1, 1)]
