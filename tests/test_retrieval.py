@@ -371,3 +371,13 @@ def test_all_tables_of_a_segment_number_the_same_blocks(spark):
     passages = index._passages().select("block", "chunk_id")
     assert rows.count() == passages.count() == 4000
     assert rows.exceptAll(passages).isEmpty() and passages.groupBy("block").count().agg(F.max("count")).first()[0] <= 128
+
+
+def test_scoring_tasks_follow_the_pairs(spark, monkeypatch):
+    # Three words of each passage are asked for by twenty queries: 60 pairs a passage, whatever its bytes.
+    monkeypatch.setattr(lexical, "TASK_PAIRS", 1000)
+    queries = spark.range(20).selectExpr("id AS query_id", "'alpha beta gamma' AS query")
+    chunks = spark.range(500).selectExpr("id AS chunk_id", "id AS version_id", "'n' AS display_name", "CAST(NULL AS string) AS heading", "concat('alpha beta gamma w', id) AS body")
+    found = lexical.lexical_scores(queries, lexical.build_index(chunks).localCheckpoint(), 3)
+    assert "REPARTITION_BY_NUM" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 30)" in plan
+    assert [(r.query_id, r.chunk_id) for r in found.orderBy("query_id", "rank").collect()] == [(q, c) for q in range(20) for c in range(3)]
