@@ -381,3 +381,13 @@ def test_scoring_tasks_follow_the_pairs(spark, monkeypatch):
     found = lexical.lexical_scores(queries, lexical.build_index(chunks).localCheckpoint(), 3)
     assert "REPARTITION_BY_NUM" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 30)" in plan
     assert [(r.query_id, r.chunk_id) for r in found.orderBy("query_id", "rank").collect()] == [(q, c) for q in range(20) for c in range(3)]
+
+
+def test_small_tiles_do_not_multiply_what_is_sent(spark):
+    numbers = "array(double(id % 7) + 1, double(id % 5), 1.0D) AS vector"
+    rows = spark.range(600).selectExpr("id AS chunk_id", "id AS version_id", "'m' AS embedding_identity", numbers)
+    queries = spark.range(600).selectExpr("id AS query_id", numbers)
+    tiled = vector.vector_topk(queries, rows, 3, block_rows=20, tile_rows=16)
+    assert tiled.exceptAll(vector.vector_topk(queries, rows, 3)).isEmpty() and tiled.count() == 1800
+    plan = tiled._jdf.queryExecution().optimizedPlan().toString()
+    assert "[0,1," not in plan.replace(" ", "")  # one block a side, not 60 times 75
