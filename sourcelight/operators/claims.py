@@ -13,7 +13,7 @@ from sourcelight.functions.text import ascii_lower, citation_uri, collapse_ws, i
 from sourcelight.operators.answers import run_model
 from sourcelight.operators.bounded import bounded_list
 from sourcelight.operators.catalog import open_citations
-from sourcelight.session import durable
+from sourcelight.session import durable, stored
 
 FIELDS = ["topic", "subject", "predicate", "object"]
 
@@ -30,32 +30,39 @@ def assess_claims(drafts: DataFrame, evidence: DataFrame, allowed: DataFrame) ->
     ``evidence``: claim_id, idx, citation_uri, relationship. ``allowed``: claim_id (optional), citation_uri.
     """
     keys = ["claim_id", "citation_uri"] if "claim_id" in allowed.columns else ["citation_uri"]
+    known = allowed.select(*keys).distinct().withColumn("__known", F.lit(True))
+    return _assessed(drafts, evidence, _faults(_small_claims(evidence).join(known, keys, "left")))
+
+
+def _faults(items: DataFrame, *more: Column) -> DataFrame:
+    """The first fault of each claim. ``items``: claim_id, idx, citation_uri, __known. ``more`` are further aggregates."""
+    repeated = Window.partitionBy("claim_id", "citation_uri").orderBy("idx")
+    again = F.row_number().over(repeated) > 1
+    fault = F.when(F.col("__known").isNull(), "invalid_citation").when(F.col("__again"), "duplicate_evidence")
+    return items.withColumn("__again", again).withColumn("__fault", fault).groupBy("claim_id").agg(
+        F.min_by("__fault", F.when(F.col("__fault").isNotNull(), F.col("idx"))).alias("fault"), *more)
+
+
+def _assessed(drafts: DataFrame, evidence: DataFrame, detail: DataFrame) -> DataFrame:
     counts = evidence.groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.bool_or(F.col("relationship") == "supporting").alias("supporting"),
         F.bool_or(F.col("relationship") == "contradicting").alias("contradicting"),
     )
-    known = allowed.select(*keys).distinct().withColumn("__known", F.lit(True))
-    repeated = Window.partitionBy("claim_id", "citation_uri").orderBy("idx")
-    detail = (
-        _small_claims(evidence)
-        .withColumn("__again", F.row_number().over(repeated) > 1)
-        .join(known, keys, "left")
-        .withColumn("__fault", F.when(F.col("__known").isNull(), "invalid_citation").when(F.col("__again"), "duplicate_evidence"))
-        .groupBy("claim_id")
-        .agg(F.min_by("__fault", F.when(F.col("__fault").isNotNull(), F.col("idx"))).alias("fault"))
-    )
-    rows = drafts.join(counts, "claim_id", "left").join(detail, "claim_id", "left")
-    reason = F.when(F.col("schema_version") != 1, "unsupported_schema")
+    # Fields are looked at before the joins, so their texts are sent only where they are asked for.
+    faulty = F.when(F.col("schema_version") != 1, "unsupported_schema")
     for field in FIELDS:
-        reason = reason.when(is_blank(field) | (F.octet_length(field) > K.MAX_FIELD_BYTES), f"invalid_field:{field}")
+        faulty = faulty.when(is_blank(field) | (F.octet_length(field) > K.MAX_FIELD_BYTES), f"invalid_field:{field}")
+    rows = drafts.withColumn("__faulty", faulty).join(counts, "claim_id", "left").join(detail, "claim_id", "left")
     reason = (
-        reason.when(F.col("n").isNull() | (F.col("n") > K.MAX_CLAIM_EVIDENCE), "invalid_evidence_count")
+        F.when(F.col("__faulty").isNotNull(), F.col("__faulty"))
+        .when(F.col("n").isNull() | (F.col("n") > K.MAX_CLAIM_EVIDENCE), "invalid_evidence_count")
         .when(F.col("fault").isNotNull(), F.col("fault"))
         .when(~F.col("supporting"), "unsupported")
     )
     status = F.when(reason.isNull(), F.when(F.col("contradicting"), "disputed").otherwise("supported"))
-    return rows.select(*drafts.columns, status.alias("status"), reason.alias("reason"))
+    more = [c for c in detail.columns if c not in ("claim_id", "fault")]
+    return rows.select(*drafts.columns, status.alias("status"), reason.alias("reason"), *more)
 
 
 def direct_phrase(subject="subject", predicate="predicate", obj="object") -> Column:
@@ -144,19 +151,19 @@ def record_claims(
     """
     evidence = evidence.select("claim_id", "idx", "citation_uri", "relationship")
     items = _small_claims(evidence)
-    phrases = drafts.select("claim_id", direct_phrase().alias("__phrase"), is_direct_predicate(predicates=predicates).alias("__plain"))
-    opened = open_citations(items.join(phrases, "claim_id"), chunks.select("source_id", "version_id", "ordinal", "chunk_id", "body"), sources, scheme)
-    hit = F.col("__plain") & (F.col("__phrase") != "") & F.contains(F.lower("body"), F.col("__phrase"))
+    # Only words that can be found by a plain predicate are sent, and only to supporting passages.
+    phrase = F.when(is_direct_predicate(predicates=predicates), F.nullif(direct_phrase(), F.lit("")))
+    items_of = items.join(drafts.select("claim_id", phrase.alias("__phrase")), "claim_id")
+    items_of = items_of.withColumn("__phrase", F.when(F.col("relationship") == "supporting", F.col("__phrase")))
+    opened = open_citations(items_of, chunks.select("source_id", "version_id", "ordinal", "chunk_id", "body"), sources, scheme)
     # Passages are compared where they are opened; only keys and the outcome are kept, once, for what follows.
-    opened = durable(opened.select(
-        "claim_id", "idx", "citation_uri", "relationship", "chunk_id",
-        F.coalesce(hit & (F.col("relationship") == "supporting"), F.lit(False)).alias("direct"),
+    opened = stored(opened.select(
+        "claim_id", "idx", "chunk_id", "relationship", F.coalesce(F.contains(F.lower("body"), F.col("__phrase")), F.lit(False)).alias("direct"),
     ))
-    unresolved = items.join(opened.select("claim_id", "idx"), ["claim_id", "idx"], "left_anti")
-    unresolved = unresolved.select("claim_id").distinct().withColumn("__missing", F.lit(True))
-    direct = opened.groupBy("claim_id").agg(F.bool_or("direct").alias("direct"))
-    assessed = assess_claims(drafts, evidence, opened.select("claim_id", "citation_uri"))
-    rows = assessed.join(unresolved, "claim_id", "left").join(direct, "claim_id", "left")
+    # At most 12 items of a claim are opened; with their places in one row all that follows meets by claim.
+    per = opened.groupBy("claim_id").agg(F.collect_set("idx").alias("__opened"), F.bool_or("direct").alias("direct"))
+    seen = items.join(per, "claim_id", "left").withColumn("__known", F.when(F.array_contains("__opened", F.col("idx")), F.lit(True)))
+    rows = _assessed(drafts, evidence, _faults(seen, F.bool_or(F.col("__known").isNull()).alias("__missing"), F.bool_or("direct").alias("direct")))
     reason = (
         F.when(F.col("__missing"), "citation_not_found")
         .when(~F.col("inferred") & ~F.coalesce("direct", F.lit(False)), "unsupported_evidence")
@@ -167,8 +174,8 @@ def record_claims(
     claims = rows.filter("reason is null").select(
         "claim_id", "topic", "subject", "predicate", "object", "inferred", "status", confidence.alias("confidence")
     )
-    stored = opened.join(claims.select("claim_id"), "claim_id", "left_semi").select("claim_id", "chunk_id", "relationship")
-    return claims, stored, rows.filter("reason is not null").select("claim_id", "reason")
+    kept = opened.join(claims.select("claim_id"), "claim_id", "left_semi").select("claim_id", "chunk_id", "relationship")
+    return claims, kept, rows.filter("reason is not null").select("claim_id", "reason")
 
 
 def topic_get_or_create(labels: DataFrame, topics: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -9,6 +10,10 @@ from pyspark.sql import functions as F
 from sourcelight import constants as K
 from sourcelight.operators import claims as C
 from sourcelight.operators import dossiers as D
+from sourcelight.operators.catalog import open_citations
+from sourcelight.plans.inputs import Inputs
+
+GIVEN = "/root/testdata/sf0.001"
 
 NOW = dt.datetime(2024, 7, 1)
 DRAFT = "claim_id bigint, schema_version int, topic string, subject string, predicate string, object string, inferred boolean"
@@ -192,3 +197,21 @@ def test_reviews_list_their_evidence(spark):
     sources = spark.createDataFrame([(1, None), (2, None)], "source_id bigint, last_checked_at timestamp")
     found = D.claim_reviews(claims, evidence, chunks, sources, F.current_timestamp()).first()
     assert [(e.relationship, e.source_id, e.ordinal) for e in found.evidence] == [("contradicting", 1, 0), ("supporting", 2, 0), ("supporting", 1, 1)]
+
+
+@pytest.mark.skipif(not os.path.isdir(GIVEN), reason="the given tables are not here")
+def test_texts_are_cut_once_for_all_that_reads_drafts(spark):
+    inputs = Inputs(spark, GIVEN)
+    for rows in (inputs.claims(), inputs.claim_items(), inputs.chunk_places(), inputs.stored_claims()[1]):
+        assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    places = Inputs(spark, GIVEN).chunk_places()  # from the texts themselves
+    assert sorted(inputs.chunk_places().collect()) == sorted(places.collect())
+
+
+def test_a_citation_is_parsed_once_for_each_row(spark):
+    cited = spark.createDataFrame([("evidence://source/1/version/2#chunk-3",), ("evidence://source/x/version/2#chunk-3",), ("a/b/3",)], "citation_uri string")
+    chunks = spark.createDataFrame([(1, 2, 3, "text")], "source_id bigint, version_id bigint, ordinal bigint, body string")
+    sources = spark.createDataFrame([(1, "active", "n", "u")], "source_id bigint, state string, display_name string, canonical_uri string")
+    opened = open_citations(cited, chunks, sources)
+    assert [r.body for r in opened.collect()] == ["text"]
+    assert opened._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
