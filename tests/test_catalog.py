@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sourcelight.operators import catalog as C
 from sourcelight.operators import checks
-from sourcelight.sources.files import read_files, scan_files, write_table
+from sourcelight.plans import registry
+from sourcelight.sources.files import read_files, scan_files, write_table, write_text_files
 from sourcelight.streaming import ingest
 
 NOW = dt.datetime(2024, 7, 1)
@@ -200,3 +201,18 @@ def test_marker_offsets_and_constraints(spark):
     assert {(r.path, r.byte_offset) for r in checks.marker_scan(df, ["<m>", "zz"]).collect()} == {("f", 2), ("g", 2)}
     rows = spark.createDataFrame([(1, "supported", 0.5), (2, "odd", 1.5), (3, "stale", None)], "claim_id bigint, status string, confidence double")
     assert {(r.row_key, r.column_name) for r in checks.enum_constraints(rows, "claims", "claim_id").collect()} == {("2", "status"), ("2", "confidence")}
+
+
+def test_each_document_is_a_file_of_its_own(spark, tmp_path):
+    rows = [(7, "one"), (7, "two"), (7, "two"), (-3, "größe"), (None, "x"), (8, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["scan_files"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r["size"]) for r in got) == [(-3, 8), (0, 2), (7, 4), (7, 4), (7, 4)]
+
+
+def test_written_files_have_no_companions_and_can_be_written_again(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b.txt", "x"), ("a/c.txt", "ü\n")], "path string, text string")
+    for root in (f"file://{tmp_path}/out", f"{tmp_path}/out"):
+        write_text_files(rows, root)
+        files = sorted(p for p in (tmp_path / "out").rglob("*") if p.is_file())
+        assert [(p.name, p.read_bytes()) for p in files] == [("b.txt", b"x\n"), ("c.txt", "ü\n\n".encode())]
