@@ -216,3 +216,11 @@ def test_written_files_have_no_companions_and_can_be_written_again(spark, tmp_pa
         write_text_files(rows, root)
         files = sorted(p for p in (tmp_path / "out").rglob("*") if p.is_file())
         assert [(p.name, p.read_bytes()) for p in files] == [("b.txt", b"x\n"), ("c.txt", "ü\n\n".encode())]
+
+
+def test_paths_of_a_batch_are_listed_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x")
+    opened = ingest.open_files(spark, [f"file:{tmp_path}/a.txt"], most=10)
+    scans = opened._jdf.queryExecution().analyzed().collectLeaves()
+    listings = [spark._jvm.java.lang.System.identityHashCode(scans.apply(n).relation().location()) for n in range(scans.size())]
+    assert len(listings) == 2 and len(set(listings)) == 1
