@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sourcelight import constants as K
 from sourcelight.operators.ordered import ordered_scan, sliced, unsliced, with_slice
-from sourcelight.session import scratch_dir
+from sourcelight.session import scratch_dir, stored
 from sourcelight.sources.keyed import KeyedTable
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -65,7 +65,8 @@ def stable_batch(batch: DataFrame, carried: DataFrame) -> tuple[DataFrame, DataF
     columns = ["path_key", "fingerprint", *_ORDER]
     mine = carried.join(batch.select("path_key").distinct(), "path_key", "left_semi")
     before = mine.select("path_key", "fingerprint", F.col("first_seen_us").alias("observed_us"), F.lit(_FIRST).alias("observation_id"))
-    islands = _islands(batch.select(*columns).unionByName(before))
+    # Written once: both tables read it, and the second one is read several times when it is put into the state.
+    islands = stored(_islands(batch.select(*columns).unionByName(before)))
     ready = _ready(islands).join(mine.filter("emitted").select("path_key", "fingerprint", "first_seen_us"), ["path_key", "fingerprint", "first_seen_us"], "left_anti")
     last = islands.groupBy("path_key").agg(F.max_by(F.struct("fingerprint", "first_seen_us"), F.struct(*_ORDER)).alias("s")).select("path_key", "s.*")
     known = ready.select("path_key", "first_seen_us", F.lit(True).alias("now")).unionByName(mine.filter("emitted").select("path_key", "first_seen_us", F.lit(True).alias("now")))
@@ -190,7 +191,7 @@ def _follow(stream: DataFrame, step: Callable, state: str, out: str, checkpoint:
         batch = batch.persist()  # read by several steps; lost parts are read from the source again
         rows, left = step(batch, table.read())
         rows.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-        table.upsert(left, tag=number)
+        table.upsert(stored(left), tag=number)  # an upsert reads its rows several times
         batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

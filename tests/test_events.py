@@ -260,3 +260,21 @@ def test_a_slice_of_many_keys_is_one_group():
     made = pd.concat([watch._made(part) for _, part in frame.merge(chained, on=["path_key", "slice"]).groupby("slice")])
     assert len(summaries) == len(frame[["path_key", "slice"]].drop_duplicates())
     assert set(made["observation_id"]) == _cooled(tries)
+
+
+def test_a_batch_of_changes_is_put_in_order_once(spark):
+    batch = spark.createDataFrame([("a", "x", 0, 1), ("a", "x", 800_000, 2), ("b", "y", 5, 3)], "path_key string, fingerprint string, observed_us bigint, observation_id bigint")
+    carried = spark.createDataFrame([], "path_key string, fingerprint string, first_seen_us bigint, emitted boolean")
+    ready, left = watch.stable_batch(batch, carried)
+    for table in (ready, left):  # the order is written, neither table looks for it again
+        assert "Window" not in table._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in ready.collect()] == [("a", "x", 0, 800_000)]
+    assert sorted(tuple(r) for r in left.collect()) == [("a", "x", 0, True), ("b", "y", 5, False)]
+
+
+def test_parts_of_several_files_stay_in_the_order_of_time(spark):
+    from sourcelight.plans.streams import in_time
+
+    rows = spark.range(4000).selectExpr("id % 7 AS path_key", "if(id % 5 = 0, 'x', 'y') AS fingerprint", "id * 300000 AS observed_us", "id AS observation_id")
+    got = watch.followed(watch.follow_stable_changes, in_time(rows, file_rows=300))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, watch.stable_changes(rows).select(got.columns).collect()))
