@@ -392,3 +392,13 @@ def test_small_tiles_do_not_multiply_what_is_sent(spark):
     plan = tiled._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"(?<![#\d_])(59|74)\b", plan)  # one block a side, not 60 and 75, numbered to 59 and 74
     assert tiled.exceptAll(vector.vector_topk(queries, rows, 3)).isEmpty() and tiled.count() == 1800
+
+
+def test_blocks_of_vectors_grow_with_what_a_group_can_hold():
+    # By 2048 and 4096 rows to a block 102 560 vectors were 51 blocks of queries and 26 of vectors, six times as many 301 and 151.
+    n = 102_560
+    q_blocks, v_blocks = vector.group_blocks(n, 64 * n, n, 64 * n, 10, 48)
+    assert q_blocks * v_blocks >= 48 and q_blocks <= 10 and v_blocks <= 7
+    q_blocks, v_blocks = vector.group_blocks(6 * n, 6 * 64 * n, 6 * n, 6 * 64 * n, 10, 48)
+    assert (q_blocks, v_blocks) == (39, 10)
+    assert vector.group_blocks(600, 1800, 600, 1800, 3, 48) == (1, 1) and vector.group_blocks(0, 0, 0, 0, 10, 48) == (1, 1)
