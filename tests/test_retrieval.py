@@ -402,3 +402,15 @@ def test_blocks_of_vectors_grow_with_what_a_group_can_hold():
     q_blocks, v_blocks = vector.group_blocks(6 * n, 6 * 64 * n, 6 * n, 6 * 64 * n, 10, 48)
     assert (q_blocks, v_blocks) == (39, 10)
     assert vector.group_blocks(600, 1800, 600, 1800, 3, 48) == (1, 1) and vector.group_blocks(0, 0, 0, 0, 10, 48) == (1, 1)
+
+
+def test_pruning_deals_postings_out_once_where_no_query_is_safe(spark):
+    chunks = spark.range(60).selectExpr("id AS chunk_id", "id AS version_id", "'name' AS display_name", "cast(NULL AS string) AS heading", "concat('common word', id % 3, if(id = 7, ' rare', '')) AS body")
+    queries = spark.createDataFrame([(1, "common word1"), (2, "rare common"), (3, "word2")], "query_id bigint, query string")
+    index = lexical.build_index(chunks)
+    asked = queries.unionByName(spark.range(300).selectExpr("id + 10 AS query_id", "concat('other', id) AS query"))  # more words than are pushed down
+    pruned = lexical.lexical_scores(asked, index, 5, hot_postings=3)
+    plan = pruned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") <= 1
+    full = lexical.lexical_scores(asked, index, 5)
+    assert pruned.exceptAll(full).isEmpty() and full.exceptAll(pruned).isEmpty() and full.count() == 15
