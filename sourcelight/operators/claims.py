@@ -236,12 +236,12 @@ def resolve_entities(mentions: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
             "n", F.least("val", "val2").alias("val"), F.col("ptr2").alias("ptr")
         ))
     resolved = own.join(nodes.select("n", "val"), "n", "left").select("n", "own", "at", "val")
-    result = m.join(resolved, "n").select(
-        "mention_no", F.when(F.col("at") < F.col("mention_no"), F.col("val")).otherwise(F.col("own")).alias("entity_id")
-    )
+    entity = F.when(F.col("at") < F.col("mention_no"), F.col("val")).otherwise(F.col("own")).alias("entity_id")
+    result = m.join(resolved, "n").select("mention_no", entity)
     entities = own.filter("own is not null").select(F.col("own").alias("entity_id"), F.col("canonical").alias("canonical_name"))
-    at = bound.select("a", "alias", F.col("at").alias("mention_no"))
-    aliases = at.join(result, "mention_no").select("entity_id", "alias", F.col("a").alias("normalized_alias"))
+    # The mention that listed an alias is of its owner's name, so the entity follows from that name: no mention is read again.
+    at = bound.select("a", "alias", F.col("at").alias("mention_no"), F.col("owner").alias("n"))
+    aliases = at.join(resolved, "n").select(entity, "alias", F.col("a").alias("normalized_alias"))
     return result, entities, aliases
 
 
