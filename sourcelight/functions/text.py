@@ -9,6 +9,8 @@ from sourcelight import constants as K
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[\p{IsAlphabetic}\p{N}]"
+# All characters of Unicode white space, which are those of ``(?U)\s``.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c) -> Column:
@@ -25,8 +27,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Trim Unicode white space at both ends."""
-    return F.regexp_replace(col(c), r"(?U)\A\s++|\s++\z", "")
+    """Trim Unicode white space at both ends. Only the ends are looked at; a regular expression would try every space inside."""
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def is_blank(c) -> Column:
@@ -46,8 +48,9 @@ def ascii_lower(c) -> Column:
 
 
 def newlines(c) -> Column:
+    """Line feeds in a text, counted by bytes: a text knows how many it has, but its characters have to be read."""
     c = col(c)
-    return (F.char_length(c) - F.char_length(F.replace(c, F.lit("\n"), F.lit("")))).cast("bigint")
+    return (F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit("")))).cast("bigint")
 
 
 def normalize_text(c) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sourcelight import constants as K
-from sourcelight.functions.text import col, let, newlines
+from sourcelight.functions.text import WHITE, col, let, newlines
 
 _RUN = r"(?U)(?:\S++\s*+){1,%d}+"
 _START = "struct<chars:bigint,bytes:bigint,lines:bigint>"
@@ -65,7 +65,7 @@ def _passages(t: Column) -> Column:
 
 def _passage(z: Column, i: Column, runs: Column, total: Column) -> Column:
     following = F.regexp_extract(F.coalesce(F.get(runs, i + 1), F.lit("")), _RUN % K.OVERLAP_TOKENS, 0)
-    body = F.regexp_replace(F.concat(z["run"], following), r"(?U)\s++\z", "")
+    body = F.rtrim(F.concat(z["run"], following), F.lit(WHITE))
     return let(
         body,
         lambda b: F.struct(
