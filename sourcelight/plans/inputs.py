@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcelight.functions.text import citation_uri, let, mime_type, words
+from sourcelight.functions.text import citation_uri, mime_type, words
 from sourcelight.operators.catalog import current_chunks, searchable_versions
 from sourcelight.operators.chunking import chunk_text
 from sourcelight.session import stored
@@ -121,16 +121,15 @@ class Inputs:
         Texts are cut once: keys and words of the drafts are written, and what follows reads the columns it needs.
         """
         if self.drafts is None:
-            # The words are bound once for a passage: inside the function below they would be looked for again for each draft.
-            last = lambda w: F.floor((F.size(w) - 1) / DRAFT_WORDS).cast("int")
-            piece = lambda w, k: F.struct(k.cast("bigint").alias("part"), F.slice(w, k * DRAFT_WORDS + 1, F.lit(DRAFT_WORDS)).alias("w"))
-            pieces = let(words("body"), lambda w: F.filter(F.transform(F.sequence(F.lit(0), last(w)), lambda k: piece(w, k)), lambda d: F.size(d["w"]) > 0))
-            rows = self.chunks().select("chunk_id", "source_id", "version_id", "ordinal", F.explode(pieces).alias("d"))
-            word = lambda n: F.coalesce(F.get("d.w", F.lit(n)), F.lit(""))
+            # Each draft is cut out as a text and is a row before its words are looked for, so these are taken by compiled code.
+            piece = F.regexp_extract_all("body", F.lit(r"(?U)(?:\S++\s*+){1,%d}+" % DRAFT_WORDS), F.lit(0))
+            rows = self.chunks().select("chunk_id", "source_id", "version_id", "ordinal", F.posexplode(piece).alias("part", "piece"))
+            rows = rows.withColumn("part", F.col("part").cast("bigint")).withColumn("w", words("piece"))
+            word = lambda n: F.coalesce(F.get("w", F.lit(n)), F.lit(""))
             self.drafts = stored(rows.select(
-                (F.col("chunk_id") * DRAFT_KEY + F.col("d.part")).alias("claim_id"), "chunk_id", "source_id", "version_id", "ordinal", F.col("d.part").alias("part"),
-                (F.col("source_id") + F.col("ordinal") + F.col("d.part")).alias("r"),
-                word(0).alias("first"), word(1).alias("second"), word(2).alias("third"), F.array_join(F.slice("d.w", 3, DRAFT_WORDS), " ").alias("others"),
+                (F.col("chunk_id") * DRAFT_KEY + F.col("part")).alias("claim_id"), "chunk_id", "source_id", "version_id", "ordinal", "part",
+                (F.col("source_id") + F.col("ordinal") + F.col("part")).alias("r"),
+                word(0).alias("first"), word(1).alias("second"), word(2).alias("third"), F.array_join(F.slice("w", 3, DRAFT_WORDS), " ").alias("others"),
             ))
         return self.drafts
 
