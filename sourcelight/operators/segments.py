@@ -16,46 +16,102 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sourcelight import constants as K
-from sourcelight.functions.text import WORD, let, normalized_tokens
+from sourcelight.functions.text import WORD, normalized_tokens
 from sourcelight.operators.lexical import FIELDS, PUSHED_TERMS, SCORE_DIGITS, query_terms, top_per_query
+from sourcelight.session import stored
 
 BLOCK_BITS = 7  # 128 passages to a block
+TASK_BLOCKS = 8  # blocks whose words are gathered at once when a segment is written
 SEEDS = 8  # blocks per query that are scored first
 PUSHED_BLOCKS = 2000  # so few blocks are pushed down to the scan
 _TINY = 1e-9
 
 
-def _words_of(field: str) -> Column:
-    """Per word of a field: term, tf, len and its positions.
+_MARK = "\x01"
+_ROW = "block bigint, term string, field string, n int, max_tf int, min_len int, first_id bigint, entries array<struct<chunk_id:bigint,version_id:bigint,tf:int,len:int,positions:array<int>>>"
+_ENTRY = pa.struct([("chunk_id", pa.int64()), ("version_id", pa.int64()), ("tf", pa.int32()), ("len", pa.int32()), ("positions", pa.list_(pa.int32()))])
 
-    Positions count words of two characters or more, which are the words of a phrase; shorter words have none.
-    """
-    found = F.regexp_extract_all(F.coalesce(F.col(field), F.lit("")), F.lit(WORD + "++"), F.lit(0))
 
-    def rows(tokens: Column) -> Column:
-        size = F.size(tokens).cast("int")
-        placed = F.transform(F.filter(tokens, lambda t: F.char_length(t) > 1), lambda t, i: F.struct(F.lower(t).alias("t"), i.alias("i")))
-        short = F.transform(F.filter(tokens, lambda t: F.char_length(t) <= 1), lambda t: F.struct(F.lower(t).alias("t"), F.lit(-1).alias("i")))
-        # Sorted, joined and cut into runs of equal words: neither a shuffle nor a nested loop over the words.
-        text = F.concat(F.array_join(F.transform(F.sort_array(F.concat(placed, short)), lambda x: F.concat(x["t"], F.lit("\x01"), x["i"].cast("string"))), " "), F.lit(" "))
-        runs = F.regexp_extract_all(text, F.lit("([^ \x01]++)\x01\\S++ (?:\\1\x01\\S++ )*+"), F.lit(0))
+def _field_words(field: str) -> Column:
+    """The words of a field in order, lower-cased. Words of one character carry a mark, as they have no position."""
+    found = F.regexp_extract_all(F.coalesce(F.col(field), F.lit("")), F.lit(WORD + "++"), F.lit(0))
+    return F.transform(found, lambda t: F.when(F.char_length(t) > 1, F.lower(t)).otherwise(F.concat(F.lit(_MARK), F.lower(t))))
 
-        def entry(run: Column) -> Column:
-            return let(F.split(F.rtrim(run), " "), lambda parts: F.struct(
-                F.lit(field).alias("field"), F.substring_index(parts[0], "\x01", 1).alias("term"), F.size(parts).alias("tf"), size.alias("len"),
-                F.filter(F.transform(parts, lambda p: F.substring_index(p, "\x01", -1).cast("int")), lambda p: p >= 0).alias("positions")))
 
-        return F.when(F.size(tokens) > 0, F.transform(runs, entry)).otherwise(F.array().cast("array<struct<field:string,term:string,tf:int,len:int,positions:array<int>>>"))
+def _entries(batch: pa.RecordBatch, field: str) -> pa.RecordBatch | None:
+    """Rows of a segment for one field of whole blocks of passages, which come in the order of their ids.
 
-    return let(found, rows)
+    Positions count words of two characters or more, which are the words of a phrase; shorter words have none.
+    """
+    lists = batch.column(field)
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    tokens = lists.flatten().dictionary_encode()
+    if len(tokens) == 0:
+        return None
+    raw = tokens.dictionary
+    short = pc.starts_with(raw, _MARK).to_numpy(zero_copy_only=False)
+    words = pc.replace_substring(raw, _MARK, "").dictionary_encode()
+    code = words.indices.to_numpy()[tokens.indices.to_numpy()]
+    row = np.repeat(np.arange(len(size)), size)
+    counted = ~short[tokens.indices.to_numpy()]
+    upto = np.concatenate([[0], np.cumsum(counted)])
+    starts = np.cumsum(size) - size
+    position = upto[:-1] - np.repeat(upto[starts], size)
+    order = np.lexsort((row, code))  # stable, so positions stay in order; rows are ordered by block, then id
+    code, row, counted, position = code[order], row[order], counted[order], position[order]
+    entry = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])]))
+    at = row[entry]
+    tf = np.diff(np.append(entry, len(code))).astype(np.int32)
+    placed = np.concatenate([[0], np.cumsum(counted)])[np.append(entry, len(code))].astype(np.int32)
+    block, ids = batch.column("block").to_numpy(), batch.column("chunk_id").to_numpy()
+    length, first = size[at].astype(np.int32), code[entry]
+    group = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (block[at][1:] != block[at][:-1])]))
+    positions = pa.ListArray.from_arrays(pa.array(placed), pa.array(position[counted].astype(np.int32)))
+    taken = pa.array(at)
+    held = pa.StructArray.from_arrays([batch.column("chunk_id").take(taken), batch.column("version_id").take(taken), pa.array(tf), pa.array(length), positions], fields=list(_ENTRY))
+    ends = np.append(group, len(entry)).astype(np.int32)
+    columns = [
+        pa.array(block[at][group]), words.dictionary.take(pa.array(first[group])), pa.array([field] * len(group)), pa.array(np.diff(ends)),
+        pa.array(np.maximum.reduceat(tf, group)), pa.array(np.minimum.reduceat(length, group)), pa.array(np.minimum.reduceat(ids[at], group)),
+        pa.ListArray.from_arrays(pa.array(ends), held)]
+    return pa.RecordBatch.from_arrays(columns, ["block", "term", "field", "n", "max_tf", "min_len", "first_id", "entries"])
+
+
+def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages in the order of their blocks to the rows of those blocks; a block that is not whole waits for the next batch."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if rest is None else [*rest, batch]).combine_chunks()
+        if table.num_rows == 0:
+            continue
+        block = table.column("block").to_numpy()
+        whole = int(np.searchsorted(block, block[-1]))
+        rest = table.slice(whole).to_batches()
+        yield from _rows_of(table.slice(0, whole))
+    if rest is not None:
+        yield from _rows_of(pa.Table.from_batches(rest))
+
+
+def _rows_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Some blocks at a time, so that what is held does not go with the size of a batch."""
+    block = table.column("block").to_numpy()
+    cuts = np.flatnonzero(np.diff(block, prepend=block[0] - 1))[::TASK_BLOCKS].tolist() if len(block) else []
+    for start, end in zip(cuts, [*cuts[1:], len(block)]):
+        for batch in table.slice(start, end - start).combine_chunks().to_batches():
+            for field in FIELDS:
+                if (made := _entries(batch, field)) is not None:
+                    yield made
 
 
 def _length(field: str) -> Column:
@@ -108,19 +164,17 @@ class SearchIndex:
         parts = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         # Both tables of a segment number the same passages in separate jobs, so the ranges are cut once: what each job would
         # cut for itself rests on a sample of its own, and the two tables would not mean the same blocks.
+        # Passages are made once and written for the three jobs that read them.
+        chunks = stored(chunks.select("chunk_id", "version_id", *FIELDS))
         cuts = _range_starts(chunks, parts)
         lengths = chunks.select("chunk_id", "version_id", *[_length(f).alias(f"len_{f}") for f in FIELDS])
         _blocked(lengths, cuts, parts).drop("part").write.parquet(self._path("passages", name))
-        blocked = _blocked(chunks.select("chunk_id", "version_id", *FIELDS), cuts, parts)
-        postings = blocked.select("part", "block", "chunk_id", "version_id", F.explode(F.concat(*[_words_of(f) for f in FIELDS])).alias("p"))
-        flat = postings.select("part", "block", "p.term", "p.field", F.struct("chunk_id", "version_id", "p.tf", "p.len", "p.positions").alias("entry"))
-        flat = flat if only is None else flat.join(only.select("term").distinct(), "term", "left_semi")
-        # A part is a run of neighbouring blocks; its rows are in one task since they were numbered, so postings are not
-        # shuffled, and lie in one file, ordered by word.
-        grouped = flat.groupBy("part", "term", "field", "block").agg(
-            F.count(F.lit(1)).cast("int").alias("n"), F.max("entry.tf").alias("max_tf"), F.min("entry.len").alias("min_len"),
-            F.min("entry.chunk_id").alias("first_id"), F.array_sort(F.collect_list("entry")).alias("entries"))  # at most one block of passages
-        grouped.drop("part").sortWithinPartitions("term", "field", "block").write.option("parquet.block.size", 16 << 20).parquet(self._path("rows", name))
+        blocked = _blocked(chunks, cuts, parts)
+        # A part is a run of neighbouring blocks; its passages are in one task since they were numbered, in the order of their
+        # ids, so postings are gathered block by block without a shuffle or a sort of all words, and lie in one file.
+        grouped = blocked.select("block", "chunk_id", "version_id", *[_field_words(f).alias(f) for f in FIELDS]).mapInArrow(_segment_rows, _ROW)
+        grouped = grouped if only is None else grouped.join(only.select("term").distinct(), "term", "left_semi")
+        grouped.sortWithinPartitions("term", "field", "block").write.option("parquet.block.size", 16 << 20).parquet(self._path("rows", name))
         rows = self.spark.read.parquet(self._path("rows", name))
         rows.groupBy("term", "field").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(self._path("terms", name))
         held = self.spark.read.parquet(self._path("passages", name))
