@@ -11,14 +11,16 @@ How the work is spread:
 1. Shingles that tasks meet in several texts are counted; the most frequent ones come last in the order of shingles.
    Any such choice gives the same links, it only keeps common passages out of the inverted lists.
 2. Every distinct set sends the first shingles of that order to their inverted lists. Two sets that reach the overlap
-   must meet in one of them (see :func:`head_sizes`).
-3. Members of a short list (``SHORT``) are paired, and pairs whose sketches already differ too much are dropped (see
-   :func:`sketch`). Members of longer lists, which only sets made of frequent shingles are, form groups whose sketches
-   are compared in tiles of bounded size; of the pairs that stay possible only those that join groups are kept.
+   must meet in one of them (see :func:`head_sizes`). A set goes by its name, so equal texts are one member of a list.
+3. Members of a list of at most ``PAIRED`` are paired, and pairs whose sketches already differ too much are dropped (see
+   :func:`sketch`). A longer list gives a row for each member. Its sketches are compared list by list, in tiles of bounded
+   size, and at most as many pairs as it has members are kept: those that join what was apart. Lists with the same
+   members are one list. So rows go with the number of postings, whatever the lists' lengths.
 4. The groups that all these pairs connect are placed as blocks: each text goes to its group's block, and the sets of a
-   block are searched for in its inverted lists. A group too large for one block is cut into parts and every two parts
-   are a block. The work in such a group goes with its square, as thousands of texts that are almost alike can only
-   be told apart by looking; what is sent goes with its size times its number of parts.
+   block are searched for in its inverted lists, unless all of the block is linked to the set already. A group too large
+   for one block is cut into parts and every two parts are a block. The work in a group of texts that are almost alike,
+   but not linked, goes with its square, as they can only be told apart by looking; what is sent goes with its size
+   times its number of parts.
 5. A block sends at most as many links as it has sets, and the links are contracted to components.
 """
 
@@ -29,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,35 +40,87 @@ from sourcelight.llm import common
 from sourcelight.llm.components import components
 
 SHORT = 64  # shingles with more sets come last in the order where they were met often enough
+PAIRED = 8  # members of longer lists are rows, not pairs
+LIST_HELD = 100_000  # members of a list that are looked at as a whole
+PAIRS_HELD = 200_000  # pairs that are made distinct at a time
 MOST_FREQUENT = 1_000_000  # so many of them are known to all tasks (8 bytes each)
 TILE = 1_000_000  # shingles of a block of sets that are searched at a time
 SKETCHES = 4_000  # sketches that are compared with each other at a time
+PAIR_LIST = 512  # sets of a list up to which all of its pairs are looked at at once
+BLOCK_ROWS = 10_000  # rows of blocks that are held before they are compared
+PAIR_BYTES = 16_000_000  # bytes of sketches that are compared at a time
+LONG_WORD = 64  # bytes
+HASHED_BYTES = 1 << 18  # bytes of texts that are hashed at a time
 SENT_IDS = 1_000_000  # ids of 8 bytes that may be sent to all tasks
 
 
-def shingle_hashes(text: str, width: int, cache: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``width`` words; of all words if there are fewer; none without words."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    if len(cache) > 1_000_000:
-        cache.clear()
-    hashes = np.empty(n, np.uint64)
-    get = cache.get
-    for i, w in enumerate(words):
-        h = get(w)
-        if h is None:
-            cache[w] = h = xxhash.xxh3_64_intdigest(w)
-        hashes[i] = h
-    count = max(1, n - width + 1)
-    used = min(width, n)
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
+_OF_BYTE = common.mixed(np.arange(1, 257, dtype=np.uint64))
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]  # of the base and of its inverse, as many as were needed
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            factors = np.full(n, np.uint64(base))
+            factors[0] = 1
+            _POWERS[k] = np.cumprod(factors)
+    return _POWERS
+
+
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of lower-cased bytes: a polynomial of their bytes, read off running sums; words of
+    over ``LONG_WORD`` bytes are hashed as they are."""
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(~_SPACE[raw], prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    power, inverse = (x[:len(raw)] for x in _powers(len(raw)))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[raw] * power)])
+        hashes = (sums[ends] - sums[starts]) * inverse[starts]
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(data[starts[k]:ends[k]])
+    return starts, hashes
+
+
+def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of all runs of ``width`` words; of all words if there are fewer; none
+    without words. Texts are hashed some at a time."""
+    group: list[bytes] = []
+    size = 0
+    for text in texts:
+        group.append(text.encode("utf-8", "surrogatepass").lower())
+        size += len(group[-1])
+        if size > HASHED_BYTES:
+            yield from _sets(group, width)
+            group, size = [], 0
+    yield from _sets(group, width)
+
+
+def _sets(group: list[bytes], width: int) -> Iterator[np.ndarray]:
+    if not group:
+        return
+    starts, words = _word_hashes(b"\n".join(group))
+    ends = np.cumsum([len(x) + 1 for x in group])
+    at = np.concatenate([[0], np.searchsorted(starts, ends)]).tolist()
+    runs = _runs(words, width) if len(words) >= width else words[:0]
+    for start, end in zip(at[:-1], at[1:], strict=True):
+        n = end - start
+        out = np.sort(runs[start:end - width + 1] if n >= width else _runs(words[start:end], n))
+        yield out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
+
+
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    if not len(words):
+        return words
+    count = len(words) - width + 1
     with np.errstate(over="ignore"):
-        out = np.full(count, np.uint64(used))
-        for k in range(used):
-            out = common.mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + count])
-    out.sort()
-    return out[np.concatenate([[True], out[1:] != out[:-1]])]
+        out = np.full(count, np.uint64(width))
+        for k in range(width):
+            out = common.mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[k:k + count])
+    return out
 
 
 def overlap_needed(m: np.ndarray | int, n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -153,26 +208,29 @@ def sketch(tokens: np.ndarray, percent: int) -> bytes:
 
 
 class Sketches:
-    """Sketches of a block of sets as one matrix for each length."""
+    """Sketches of a block of sets (id, size, sketch) as one matrix for each length."""
 
     def __init__(self, rows: list[tuple[int, int, bytes]]):
-        by: dict[int, list[tuple[int, int, bytes]]] = {}
-        for row in rows:
-            by.setdefault(len(row[2]), []).append(row)
-        self.parts = {k: (np.array([r[0] for r in v], np.int64), np.array([r[1] for r in v], np.int64), np.frombuffer(b"".join(r[2] for r in v), np.uint8).reshape(len(v), k)) for k, v in by.items()}
-
-    def near(self, n: int, raw: bytes, percent: int) -> np.ndarray:
-        """Ids of the sets that a set of size ``n`` with this sketch may be similar to."""
+        by: dict[int, list[int]] = {}
+        for i, row in enumerate(rows):
+            by.setdefault(len(row[2]), []).append(i)
+        sizes = np.array([r[1] for r in rows], np.int64)
+        self.parts = {k: (np.array(at), sizes[at], np.frombuffer(b"".join(rows[i][2] for i in at), np.uint8).reshape(len(at), k)) for k, at in by.items()}
+
+    def near(self, n: int, raw: bytes, percent: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Places of the sets (of those that are ``wanted``) that a set of size ``n`` with this sketch may be similar to."""
         query = np.frombuffer(raw, np.uint8)
         out = [np.zeros(0, np.int64)]
-        for length, (ids, sizes, matrix) in self.parts.items():
+        for length, (places, sizes, matrix) in self.parts.items():
             needed = overlap_needed(n, sizes, percent)
             fits = needed <= np.minimum(sizes, n)
+            if wanted is not None:
+                fits &= wanted[places]
             if not fits.any():
                 continue
             width = min(length, len(query))
             differ = np.bitwise_count(folded(matrix[fits], width).view(np.uint64) ^ folded(query[None], width).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            out.append(ids[fits][differ <= n + sizes[fits] - 2 * needed[fits]])
+            out.append(places[fits][differ <= n + sizes[fits] - 2 * needed[fits]])
         return np.concatenate(out)
 
 
@@ -190,27 +248,27 @@ def near(a: bytes, b: bytes, m: int, n: int, percent: int) -> bool:
 
 
 class Forest:
-    """Links that join what was apart."""
+    """Links that join what was apart, between the rows of a block: ``labels`` tells which rows are joined."""
 
-    def __init__(self):
-        self.root: dict[int, int] = {}
-        self.links: list[tuple[int, int]] = []
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.links = ids, []
+        self.labels = np.unique(ids, return_inverse=True)[1]  # rows of one id are joined
 
-    def find(self, x: int) -> int:
-        root = self.root
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def add(self, row: int, found: np.ndarray) -> None:
+        """Link a row to the rows ``found``."""
+        labels = self.labels
+        for other in found[labels[found] != labels[row]].tolist():
+            if labels[other] != labels[row]:
+                self.links.append((int(self.ids[row]), int(self.ids[other])))
+                labels[labels == labels[other]] = labels[row]
 
-    def add(self, a: int, b: int) -> None:
-        x, y = self.find(a), self.find(b)
-        if x != y:
-            self.root[x] = y
-            self.links.append((a, b))
 
+_FACTS = "id long, n long, name binary, node long, sketch binary, token long, met long"
 
-_FACTS = "id long, n long, name binary, sketch binary, token long, met long"
+
+def _node(name: bytes) -> int:
+    """What a set goes by in postings and pairs."""
+    return int.from_bytes(name[:8], "little", signed=True)
 
 
 def _lone(n: int, percent: int) -> bool:
@@ -221,27 +279,26 @@ def _lone(n: int, percent: int) -> bool:
 def _looked(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per row the size, name and sketch of its set; then the shingles that the heads of several different sets of the
     task hold, with the number of those sets (``token`` and ``met``)."""
-    names = ["id", "n", "name", "sketch", "token", "met"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["id", "n", "name", "node", "sketch", "token", "met"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
         tokens, n = tokens[n > 1].view(np.int64), n[n > 1].astype(np.int64)
-        return pa.RecordBatch.from_arrays([*(pa.nulls(len(n), t) for t in types[:4]), pa.array(tokens), pa.array(n)], names)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(len(n), t) for t in types[:5]), pa.array(tokens), pa.array(n)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         size = 0
         for batch in common.chunks(batches, "text"):
-            sizes, sets, sketches = [], [], []
-            for text in common.texts(batch, "text"):
-                tokens = shingle_hashes(text, width, cache)
+            sizes, sets, nodes, sketches = [], [], [], []
+            for tokens in shingle_sets(common.texts(batch, "text"), width):
                 n = len(tokens)
                 name = xxhash.xxh3_128_digest(tokens.tobytes())
                 sizes.append(n)
                 sets.append(name if n else None)
+                nodes.append(_node(name) if n else None)
                 lone = not n or _lone(n, percent)
                 sketches.append(None if lone else sketch(tokens, percent))
                 if lone or name in seen:
@@ -251,7 +308,7 @@ def _looked(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 held.append(tokens[:max(look, rich)].copy())
                 size += len(held[-1])
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((sizes, sets, sketches), types[1:4], strict=True)), pa.nulls(rows, types[4]), pa.nulls(rows, types[5])], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((sizes, sets, nodes, sketches), types[1:5], strict=True)), pa.nulls(rows, types[5]), pa.nulls(rows, types[6])], names)
             if size > 8_000_000:
                 yield counted(held)
                 held, size, seen = [], 0, set()
@@ -264,12 +321,10 @@ def _postings(width: int, percent: int, frequent: np.ndarray) -> Callable[[Itera
     """The shingles that each set sends, once per task and set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
         seen: set[bytes] = set()
         for batch in common.chunks(batches, "text"):
             sent, owners, sizes = [np.zeros(0, np.uint64)], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), common.texts(batch, "text"), strict=True):
-                tokens = shingle_hashes(text, width, cache)
+            for tokens in shingle_sets(common.texts(batch, "text"), width):
                 n = len(tokens)
                 name = xxhash.xxh3_128_digest(tokens.tobytes())
                 if not n or name in seen or _lone(n, percent):
@@ -278,87 +333,115 @@ def _postings(width: int, percent: int, frequent: np.ndarray) -> Callable[[Itera
                     seen.clear()
                 seen.add(name)
                 sent.append(tokens[signature(tokens, frequent, percent)])
-                owners.append(doc)
+                owners.append(_node(name))
                 sizes.append(n)
             counts = [len(x) for x in sent[1:]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(sent).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int64), counts))],
-                ["token", "id", "n"])
+                ["token", "node", "n"])
 
     return run
 
 
-def _paired(percent: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Postings in the order of shingle and id. Short lists give the pairs of their members that fit in size, longer
-    ones a row for each member with the list's first (``long``)."""
+def _paired(percent: int, most: int, held: int = LIST_HELD) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings in the order of shingle and node. Lists of at most ``most`` give the pairs of their members that fit in
+    size, longer ones a row for each member with the name of the list: that of its members, or for a list that does not
+    end within ``held`` of them, its shingle."""
 
-    def pairs(ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    def pairs(nodes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
         out = []
         for length in np.unique(lengths).tolist():
             rows = starts[lengths == length][:, None] + np.arange(length)
             i, j = np.triu_indices(length, 1)
-            a, b = ids[rows][:, i].ravel(), ids[rows][:, j].ravel()
+            a, b = nodes[rows][:, i].ravel(), nodes[rows][:, j].ravel()  # in order, as nodes are
             m, n = sizes[rows][:, i].ravel(), sizes[rows][:, j].ravel()
-            fits = (a != b) & (overlap_needed(m, n, percent) <= np.minimum(m, n))
-            out.append(np.stack([np.minimum(a, b)[fits], np.maximum(a, b)[fits]]))
+            fits = overlap_needed(m, n, percent) <= np.minimum(m, n)
+            out.append(np.stack([a[fits], b[fits]]))
         return out
 
+    def batch(found: list[np.ndarray], lists: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        a, b = a[new], b[new]
+        member, name = np.concatenate([np.zeros((2, 0), np.int64), *lists], axis=1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([a, member])), pa.concat_arrays([pa.array(b), pa.nulls(len(member), pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(name)])], ["a", "b", "list"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
-        hub: tuple[int, int] | None = None  # token and first id of a long list that goes on
-        sent: set[tuple[int, int]] = set()
-
-        def emit(last: bool) -> pa.RecordBatch:
-            nonlocal rest, hub
-            token, ids, sizes = rest
-            out: list[np.ndarray] = []
-            long: list[np.ndarray] = []
-            if len(token):
-                starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-                lengths = np.diff(np.append(starts, len(token)))
-                if hub is not None and hub[0] == token[0]:  # more of the long list
-                    long.append(np.stack([np.full(lengths[0], hub[1]), ids[:lengths[0]]]))
-                    starts, lengths = starts[1:], lengths[1:]
-                else:
-                    hub = None
-                if not last and len(starts):  # the last list may go on
-                    tail = int(starts[-1])
-                    if lengths[-1] > most:
-                        hub = (int(token[tail]), int(ids[tail]))
-                        long.append(np.stack([np.full(lengths[-1] - 1, hub[1]), ids[tail + 1:]]))
-                        tail = len(token)
-                    starts, lengths = starts[:-1], lengths[:-1]
-                else:
-                    tail = len(token)
-                short = (lengths > 1) & (lengths <= most)
-                out = pairs(ids, sizes, starts[short], lengths[short])
-                for s, n in zip(starts[lengths > most].tolist(), lengths[lengths > most].tolist(), strict=True):
-                    long.append(np.stack([np.full(n - 1, ids[s]), ids[s + 1:s + n]]))
-                rest = [x[tail:] for x in rest]
-            found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-            far = np.unique(np.concatenate(long, axis=1), axis=1) if long else np.zeros((2, 0), np.int64)
-            new = [p for p in zip(*found.tolist(), strict=True) if p not in sent]
-            if len(sent) > 1_000_000:
-                sent.clear()
-            sent.update(new)
-            a, b = (np.array([p[k] for p in new], np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([a, far[0]])), pa.array(np.concatenate([b, far[1]])), pa.array(np.arange(len(a) + far.shape[1]) >= len(a))], ["a", "b", "long"])
-
-        for batch in batches:
-            rest = [np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate(rest)]
-            yield emit(False)
-        yield emit(True)
+        going: int | None = None  # shingle of a list that was sent in part
+        found: list[np.ndarray] = []
+        lists: list[np.ndarray] = []
+
+        def take(last: bool) -> None:
+            nonlocal rest, going
+            token, nodes, sizes = rest
+            if not len(token):
+                return
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (nodes[1:] != nodes[:-1])])  # a set once, whatever tasks sent it
+            token, nodes, sizes = token[new], nodes[new], sizes[new]
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            lengths = np.diff(np.append(starts, len(token)))
+            end = len(token)
+            if not last and lengths[-1] <= held and going != token[-1]:  # the last list may go on
+                end = int(starts[-1])
+                starts, lengths = starts[:-1], lengths[:-1]
+            part = (starts + lengths == len(token)) & (not last)
+            if len(starts) and going == token[0]:
+                part[0] = True
+            short = (lengths > 1) & (lengths <= most) & ~part
+            found.extend(pairs(nodes, sizes, starts[short], lengths[short]))
+            for k in np.flatnonzero((lengths > most) | part).tolist():
+                s, n = int(starts[k]), int(lengths[k])
+                name = int(token[s]) if part[k] else xxhash.xxh3_64_intdigest(nodes[s:s + n].tobytes()) - (1 << 63)
+                lists.append(np.stack([nodes[s:s + n], np.full(n, name)]))
+            going = int(token[-1]) if not last and end == len(token) else None
+            rest = [x[end:] for x in (token, nodes, sizes)]
+
+        for part in batches:
+            rest = [np.concatenate([old, part.column(k).to_numpy()]) for k, old in enumerate(rest)]
+            take(False)
+            if sum(x.shape[1] for x in found) + sum(x.shape[1] for x in lists) > PAIRS_HELD:
+                yield batch(found, lists)
+                found, lists = [], []
+        take(True)
+        yield batch(found, lists)
 
     return run
 
 
+def _possible(sketches: pa.Array, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of rows ``a`` and ``b`` have sketches that leave the similarity possible; those with sketches
+    of the same two lengths at once."""
+    keep = np.zeros(len(a), bool)
+    needed = overlap_needed(sizes[a], sizes[b], percent)
+    fits = np.flatnonzero(needed <= np.minimum(sizes[a], sizes[b]))
+    length = pc.binary_length(sketches).to_numpy().astype(np.int64)
+    ends = np.cumsum(length)
+    raw = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8)
+    kind = length[a[fits]] * (1 << 32) + length[b[fits]]
+    for k in np.unique(kind).tolist():
+        x, y = k >> 32, k & 0xFFFFFFFF
+        every, step = fits[kind == k], max(1, PAIR_BYTES // (x + y))
+        for at in (every[i:i + step] for i in range(0, len(every), step)):
+            left, right = (folded(raw[(ends - length)[rows[at]][:, None] + np.arange(w)], min(x, y)) for rows, w in ((a, x), (b, y)))
+            differ = np.bitwise_count(left.view(np.uint64) ^ right.view(np.uint64)).sum(axis=1, dtype=np.int64)
+            keep[at] = differ <= sizes[a[at]] + sizes[b[at]] - 2 * needed[at]
+    return keep
+
+
 def _filtered(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose sketches leave the similarity possible."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.to_pydict()
-            keep = [near(*row, percent) for row in zip(x["sa"], x["sb"], x["na"], x["nb"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+        for batch in common.chunks(batches, "sa"):
+            both = pa.concat_arrays([batch.column("sa"), batch.column("sb")])
+            sizes = np.concatenate([batch.column("na").to_numpy(), batch.column("nb").to_numpy()])
+            n = np.arange(batch.num_rows)
+            keep = pa.array(_possible(both, sizes, n, n + batch.num_rows, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -382,17 +465,15 @@ def _searched(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
     """Links between the sets of each block's texts, at most one per set."""
 
     def solve(queries: list, others: list, alone: bool) -> list[tuple[int, int]]:
-        members = queries if alone else others
-        index, forest = Index([t for _, t in members], percent), Forest()
-        for q, (a, tokens) in enumerate(queries):
-            for m in index.search(tokens).tolist():
-                if not alone or m > q:
-                    forest.add(a, members[m][0])
+        members, first = (queries, 0) if alone else (others, len(queries))
+        index, forest = Index([t for _, t in members], percent), Forest(np.array([i for i, _ in (queries if alone else queries + others)], np.int64))
+        for q, (_, tokens) in enumerate(queries):
+            if (forest.labels[first:] != forest.labels[q]).any():
+                forest.add(q, first + index.search(tokens))
         return forest.links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        return _blockwise(common.chunks(batches, "text"), lambda r: (r["id"], shingle_hashes(r["text"] or "", width, cache)), solve)
+        return _blockwise(common.chunks(batches, "text"), lambda r: (r["id"], next(shingle_sets([r["text"] or ""], width))), solve)
 
     return run
 
@@ -400,15 +481,68 @@ def _searched(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]],
 def _sketched(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links between sets of a block whose sketches leave the similarity possible, at most one per set."""
 
-    def solve(queries: list, others: list, alone: bool) -> list[tuple[int, int]]:
-        members, forest = Sketches(queries if alone else others), Forest()
-        for a, n, raw in queries:
-            for b in members.near(n, raw, percent).tolist():
-                if a != b:
-                    forest.add(a, b)
+    def large(rows: list[dict]) -> list[tuple[int, int]]:
+        parts = [[(r["id"], r["n"], r["sketch"]) for r in rows if r["part"] == k] for k in (0, 1)]
+        queries, others = (parts[0], parts[0]) if rows[0]["alone"] else parts
+        members, first = Sketches(others), 0 if rows[0]["alone"] else len(queries)
+        forest = Forest(np.array([r[0] for r in (queries if rows[0]["alone"] else queries + others)], np.int64))
+        for q, (_, n, raw) in enumerate(queries):
+            apart = forest.labels[first:] != forest.labels[q]
+            if apart.any():
+                forest.add(q, first + members.near(n, raw, percent, apart))
         return forest.links
 
-    return lambda batches: _blockwise(batches, lambda r: (r["id"], r["n"], r["sketch"]), solve)
+    def small(rows: pa.RecordBatch, starts: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        """All pairs of many blocks; of those that are possible, what joins each block's rows."""
+        ids, sizes = rows.column("id").to_numpy(), rows.column("n").to_numpy()
+        pairs = [np.zeros((2, 0), np.int64)]
+        for length in np.unique(lengths).tolist():
+            first = starts[lengths == length][:, None]
+            pairs.append(np.stack([(first + x).ravel() for x in np.triu_indices(length, 1)]))
+        a, b = np.concatenate(pairs, axis=1)
+        keep = _possible(rows.column("sketch"), sizes, a, b, percent)
+        a, b = a[keep], b[keep]
+        root, before = np.arange(len(ids)), None
+        while before is None or (root != before).any():  # the least row that can be reached, block by block
+            before = root.copy()
+            least = np.minimum(root[a], root[b])
+            np.minimum.at(root, a, least)
+            np.minimum.at(root, b, least)
+            root = root[root]
+        far = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[far]]), pa.array(ids[far])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solved(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            block = rows.column("block").dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            end = rows.num_rows if last else int(starts[-1])
+            held[:] = [] if last else [rows.slice(end)]
+            lengths = np.diff(np.append(starts, rows.num_rows))
+            whole = starts < end
+            starts, lengths = starts[whole], lengths[whole]
+            few = (lengths <= PAIR_LIST) & rows.column("alone").to_numpy(zero_copy_only=False)[starts]
+            pairs = np.cumsum(np.where(few, lengths * (lengths - 1) // 2, 0))
+            for k in range(int(pairs[-1]) // PAIRS_HELD + 1 if len(pairs) else 0):
+                now = few & (pairs // PAIRS_HELD == k)
+                if now.any():
+                    low, high = starts[now][0], starts[now][-1] + lengths[now][-1]
+                    yield small(rows.slice(low, high - low), starts[now] - low, lengths[now])
+            for s, n in zip(starts[~few].tolist(), lengths[~few].tolist(), strict=True):
+                yield _linked(large(rows.slice(s, n).to_pylist()))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) > BLOCK_ROWS:
+                yield from solved(False)
+        if held:
+            yield from solved(True)
+
+    return run
 
 
 def _linked(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -438,23 +572,19 @@ def _by_block(rows: DataFrame) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "part", "id")
 
 
-def candidates(rows: DataFrame, facts: DataFrame, same: DataFrame, width: int, percent: int, short: int, sketches_at_once: int) -> DataFrame:
-    """Pairs (``a``, ``b``) that connect all sets which can be similar, by what their sketches say."""
+def candidates(rows: DataFrame, facts: DataFrame, width: int, percent: int, short: int, sketches_at_once: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of nodes that connect all sets which can be similar, by what their sketches say."""
     frequent = frequent_shingles(facts, short)
-    postings = rows.filter("id is not null").mapInArrow(_postings(width, percent, frequent), "token long, id long, n long")
-    paired = postings.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_paired(percent, short), "a long, b long, long boolean")
-    met = common.stored(paired.distinct())  # most pairs meet in many lists
-    # Copies stand for the first row with their set, if they have no other.
-    first = lambda df, x: df.join(same.select(F.col("b").alias(x), F.col("a").alias("f")), x, "left").withColumn(x, F.coalesce("f", x)).drop("f")
-    met = first(first(met, "a"), "b").filter("a <> b").select("long", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = common.stored(met)
-    sketches = common.stored(facts.filter("sketch is not null and id is not null").select("id", "sketch", "n").distinct())
-    side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    pairs = met.filter("not long").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
-    groups = components(met.filter("long").select("a", "b")).withColumn("weight", F.lit(1))
-    spread = placed(groups, sketches_at_once).join(sketches, "id").select("block", "part", "alone", "id", "n", "sketch")
+    postings = rows.filter("id is not null").mapInArrow(_postings(width, percent, frequent), "token long, node long, n long")
+    met = postings.repartition("token").sortWithinPartitions("token", "node").mapInArrow(_paired(percent, min(short, PAIRED)), "a long, b long, list long")
+    met = common.stored(met.distinct())  # most pairs meet in many lists
+    sketches = common.stored(facts.filter("sketch is not null and id is not null").select("node", "sketch", "n").distinct())
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    pairs = met.filter("list is null").join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    members = met.filter("list is not null").select(F.col("a").alias("id"), F.col("list").alias("component"), F.lit(1).alias("weight"))
+    spread = placed(members, sketches_at_once).join(sketches.withColumnRenamed("node", "id"), "id").select("block", "part", "alone", "id", "n", "sketch")
     far = _by_block(spread).mapInArrow(_sketched(percent), "a long, b long")
-    return pairs.mapInArrow(_filtered(percent), "a long, b long").distinct().union(far)
+    return pairs.mapInArrow(_filtered(percent), "a long, b long").union(far)
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80,
@@ -469,15 +599,14 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     kind = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     facts = common.stored(rows.mapInArrow(_looked(width, percent), _FACTS))
-    docs = facts.filter("token is null").select("id", "n", "name")
+    docs = facts.filter("token is null").select("id", "n", "name", "node")
     named = docs.filter("id is not null and name is not null")
-    first = named.groupBy("name").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    same = common.stored(named.join(first, "name").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
-    several = named.groupBy("id").agg(F.min("name").alias("x"), F.max("name").alias("y")).filter("x <> y").select(F.col("id").alias("b"))
-    copies = common.stored(same.join(several, "b", "left_anti").select("a", "b"))
-    groups = components(candidates(rows, facts, copies, width, percent, short, sketches_at_once))
-    sizes = docs.filter("id is not null").groupBy("id").agg(F.max("n").alias("weight"))
-    blocks = common.stored(placed(groups.join(sizes, "id"), tile))
+    first = named.groupBy("name").agg(F.min("id").alias("first"), F.min("node").alias("node"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    same = common.stored(named.join(first.filter("copies > 1").select("name", "first"), "name").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct())
+    groups = components(candidates(rows, facts, width, percent, short, sketches_at_once)).withColumnRenamed("id", "node")
+    # The first text of a set stands for it.
+    placed_texts = groups.join(first.select("node", F.col("first").alias("id"), "n"), "node").groupBy("id", "component").agg(F.max("n").alias("weight"))
+    blocks = common.stored(placed(placed_texts, tile))
     texts = rows.join(blocks, "id").select("block", "part", "alone", "id", "text")
     links = _by_block(texts).mapInArrow(_searched(width, percent), "a long, b long")
     found = components(links.union(same))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
+import unittest.mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +76,55 @@ def test_near_duplicates(spark, width, percent, short):
     assert len({root[i] for i in root}) < len(root)
 
 
+@pytest.mark.parametrize("rows_in_batch,held", [(1000, 100_000), (7, 100_000), (7, 20)])
+def test_lists_give_no_more_rows_than_postings(rows_in_batch, held):
+    # Lists of 2 to 64 sets, each set sent by three tasks.
+    lists = {token: list(range(100 * token, 100 * token + n)) for token, n in enumerate((2, 8, 9, 30, 64, 64, 5))}
+    rows = [(t, x, 50) for t, members in lists.items() for x in members for _ in range(3)]
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, ["token", "node", "n"])
+    batches = [batch.slice(k, rows_in_batch) for k in range(0, len(rows), rows_in_batch)]
+    found = pa.Table.from_batches(op2_ngram_join._paired(80, op2_ngram_join.PAIRED, held)(iter(batches))).to_pylist()
+    pairs = {(r["a"], r["b"]) for r in found if r["list"] is None}
+    groups = collections.defaultdict(set)
+    for r in found:
+        if r["list"] is not None:
+            groups[r["list"]].add(r["a"])
+    assert len(found) <= len(rows)
+    for members in lists.values():  # every two sets of a list meet, and no others
+        assert set(itertools.combinations(members, 2)) <= pairs or set(members) in groups.values()
+    assert all(a // 100 == b // 100 for a, b in pairs) and all(len({x // 100 for x in g}) == 1 for g in groups.values())
+
+
+def test_sketches_of_lists_join_what_pairs_would():
+    rng = np.random.default_rng(5)
+    rows, expected = [], []
+    for block, n in enumerate((2, 9, 40, 3)):
+        base = rng.integers(0, 2**63, 60).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.integers(0, 25):], rng.integers(0, 2**63, int(rng.integers(0, 30))).astype(np.uint64)])) for _ in range(n)]
+        sketches = [op2_ngram_join.sketch(x, 80) for x in sets]
+        rows += [(str(block), 0, True, 100 * block + k, len(x), s) for k, (x, s) in enumerate(zip(sets, sketches, strict=True))]
+        expected += [(100 * block + i, 100 * block + j) for i in range(n) for j in range(i) if op2_ngram_join.near(sketches[i], sketches[j], len(sets[i]), len(sets[j]), 80)]
+    table = pa.Table.from_pylist([dict(zip(("block", "part", "alone", "id", "n", "sketch"), r, strict=True)) for r in rows])
+    roots = []
+    for most in (op2_ngram_join.PAIR_LIST, 1):  # all pairs at once, and set by set
+        with unittest.mock.patch.object(op2_ngram_join, "PAIR_LIST", most):
+            links = [(r["a"], r["b"]) for b in op2_ngram_join._sketched(80)(iter(table.to_batches(13))) for r in b.to_pylist()]
+        assert len(links) < len(rows)
+        roots.append(_roots({r[3] for r in rows}, links))
+    assert roots[0] == roots[1] == _roots({r[3] for r in rows}, expected)
+
+
+def test_words_are_those_of_a_split():
+    texts = ["a B\x0bc", " é\x85É x", "\ud800 y\x1cz", "w" * 70 + " " + "w" * 70, "", " \n", "aa bb aa bb aa"]
+    for width in (1, 2, 5):
+        got = list(op2_ngram_join.shingle_sets(texts, width))
+        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        sets = [{tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))} if w else set() for w in split]
+        assert [len(x) for x in got] == [len(x) for x in sets]
+        assert [[len(np.intersect1d(x, y)) for y in got] for x in got] == [[len(x & y) for y in sets] for x in sets]
+
+
 def test_near_duplicates_kept_once(spark):
     rng = random.Random(9)
     text = sentence(rng, 60)
