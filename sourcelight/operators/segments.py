@@ -35,6 +35,9 @@ BLOCK_BITS = 7  # 128 passages to a block
 TASK_BLOCKS = 8  # blocks whose words are gathered at once when a segment is written
 SEEDS = 8  # blocks per query that are scored first
 PUSHED_BLOCKS = 2000  # so few blocks are pushed down to the scan
+DEAD_SENT = 1_000_000  # so many ids of dead passages are sent to all tasks
+SENT_WORDS = 100_000  # so many words of queries are sent to all tasks
+OPEN_QUERIES = 256  # queries of a block that are looked at at once
 _TINY = 1e-9
 
 
@@ -136,6 +139,12 @@ def _blocked(rows: DataFrame, cuts: list, parts: int) -> DataFrame:
     return placed.withColumn("block", F.shiftleft("part", 33 - BLOCK_BITS) + F.shiftright(at, BLOCK_BITS))
 
 
+def _gone(dead: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """The ids of dead passages of each block, which has a bounded number; few of them go to every task."""
+    gone = dead.groupBy(*keys).agg(F.collect_set("chunk_id").alias("gone"))
+    return F.broadcast(gone) if count <= DEAD_SENT else gone
+
+
 @dataclass
 class SearchIndex:
     """A stored index below ``folder``, which every executor can reach."""
@@ -241,9 +250,10 @@ class SearchIndex:
             if figures[0] == 0:
                 continue
             blocks = lost.agg(F.min("block"), F.max("block")).first()
-            held = self.spark.read.parquet(self._path("rows", segment)).filter(F.col("block").between(*blocks)).join(lost.select("block").distinct(), "block", "left_semi")
-            entries = held.select("term", "field", F.explode("entries").alias("e")).select("term", "field", F.col("e.chunk_id").alias("chunk_id"))
-            entries.join(lost.select("chunk_id"), "chunk_id", "left_semi").groupBy("term", "field").agg(F.count(F.lit(1)).alias("df")).write.parquet(self._path("lost", name))
+            held = self.spark.read.parquet(self._path("rows", segment)).filter(F.col("block").between(*blocks))
+            met = held.select("block", "term", "field", F.col("entries.chunk_id").alias("ids")).join(_gone(lost, ["block"], figures[0]), "block")
+            met = met.select("term", "field", F.size(F.array_intersect("ids", "gone")).alias("n")).filter("n > 0")
+            met.groupBy("term", "field").agg(F.sum("n").alias("df")).write.parquet(self._path("lost", name))
             rows.append(("dead", segment, *figures))
         rows.append(("add", *self._segment(chunks)))
         self._commit(rows, number)
@@ -251,25 +261,22 @@ class SearchIndex:
     def compact(self) -> None:
         """Merge all segments into one without dead passages. Readers of the old ones are not disturbed; nothing is deleted.
 
-        Blocks keep their postings, only blocks that lost passages are written anew.
+        Blocks keep their postings, less those of dead passages, and are written by the tasks that read them: nothing is sent
+        but the ids of dead passages.
         """
         number, name = self._last() + 1, f"s{uuid.uuid4().hex}"
         rows = self._table("rows", self._live())
         numbers = self._block_numbers()
-        live = rows.select("segment", "block", "term", "field", F.explode("entries").alias("entry")) if self._dead() else None
-        if live is None:
+        gone = self._gone_of_blocks()
+        if gone is None:
             kept = rows
         else:
-            dead = self._dead_passages().select(F.col("in_segment").alias("segment"), "block").distinct()
-            whole = rows.join(dead, ["segment", "block"], "left_anti")
-            alive = live.join(dead, ["segment", "block"], "left_semi").withColumn("chunk_id", F.col("entry.chunk_id"))
-            alive = alive.join(self._dead_passages().select(F.col("in_segment").alias("segment"), "chunk_id"), ["segment", "chunk_id"], "left_anti")
-            again = alive.groupBy("segment", "block", "term", "field").agg(
-                F.count(F.lit(1)).cast("int").alias("n"), F.max("entry.tf").alias("max_tf"), F.min("entry.len").alias("min_len"),
-                F.min("entry.chunk_id").alias("first_id"), F.array_sort(F.collect_list("entry")).alias("entries"))
-            kept = whole.unionByName(again)
+            left = F.when(F.col("gone").isNull(), F.col("entries")).otherwise(F.filter("entries", lambda e: ~F.array_contains("gone", e["chunk_id"])))
+            alive = rows.join(gone, ["segment", "block"], "left").withColumn("entries", left).filter(F.size("entries") > 0)
+            kept = alive.select("segment", "block", "term", "field", F.size("entries").alias("n"), F.array_max("entries.tf").alias("max_tf"),
+                                F.array_min("entries.len").alias("min_len"), F.array_min("entries.chunk_id").alias("first_id"), "entries")
         renamed = kept.withColumn("block", numbers).drop("segment")
-        renamed.repartition(F.shiftright("block", 33 - BLOCK_BITS)).sortWithinPartitions("term", "field", "block").write.option("parquet.block.size", 16 << 20).parquet(self._path("rows", name))
+        renamed.sortWithinPartitions("term", "field", "block").write.option("parquet.block.size", 16 << 20).parquet(self._path("rows", name))
         stored = self.spark.read.parquet(self._path("rows", name))
         stored.groupBy("term", "field").agg(F.sum("n").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(self._path("terms", name))
         self._passages().withColumn("block", numbers).drop("segment").write.parquet(self._path("passages", name))
@@ -288,6 +295,12 @@ class SearchIndex:
         names = self._dead()
         return self._table("dead", names).drop("segment") if names else None
 
+    def _gone_of_blocks(self) -> DataFrame | None:
+        """segment, block and the ids of the block's dead passages (``gone``)."""
+        dead = self._dead_passages()
+        count = sum(r.passages for r in self.manifest() if r.kind == "dead")
+        return None if dead is None else _gone(dead.withColumnRenamed("in_segment", "segment"), ["segment", "block"], count)
+
     def _passages(self) -> DataFrame:
         held, dead = self._table("passages", self._live()), self._dead_passages()
         return held if dead is None else held.join(dead.select(F.col("in_segment").alias("segment"), "chunk_id"), ["segment", "chunk_id"], "left_anti")
@@ -351,6 +364,10 @@ class SearchIndex:
         weight = F.col("qtf") * F.log(1 + (n - d + 0.5) / (d + 0.5)) * (1 + K.BM25_K1)
         weights = terms.join(counts, "term").select("query_id", "term", "field", weight.alias("weight"))
         rows = self._rows(few)
+        if few is None:  # rows of words that nobody asks for are left where they are
+            words = terms.select("term").distinct()
+            if words.count() <= SENT_WORDS:
+                rows = rows.join(F.broadcast(words), "term", "left_semi")
         heads = rows.select("segment", "block", "term", "field", "max_tf", "min_len", "first_id").join(weights, ["term", "field"])
         bounds = heads.groupBy("query_id", "segment", "block").agg(F.sum(self._impact(F.col("max_tf"), F.col("min_len"))).alias("bound"), F.min("first_id").alias("first_id"))
         bounds = bounds.withColumn("bound", F.round(F.col("bound") + _TINY, SCORE_DIGITS))
@@ -374,14 +391,27 @@ class SearchIndex:
             blocks, short = self._held(blocks)
             if short is not None:
                 rows = rows.filter(F.col("block").isin(sorted(set(short.column("block").to_pylist()))))
-        wanted = blocks.join(weights, "query_id")
+        # Queries are dealt into slices of bounded size: a word's row is sent once for each slice that asks for it, to the task of
+        # its block, and a passage's score is summed there. Neither pairs of query and block nor postings are sent for each word.
+        slices = max(1, -(-weights.select("query_id").distinct().count() // OPEN_QUERIES))
+        part = F.pmod(F.xxhash64("query_id"), F.lit(slices)).alias("part")
+        opened = blocks.select("segment", "block", part, "query_id").groupBy("segment", "block", "part").agg(F.collect_set("query_id").alias("open"))
+        if (gone := self._gone_of_blocks()) is not None:
+            opened = opened.join(gone, ["segment", "block"], "left")
+        else:
+            opened = opened.withColumn("gone", F.lit(None).cast("array<bigint>"))
+        asking = weights.select("term", "field", part, F.struct("query_id", "weight").alias("q")).groupBy("term", "field", "part").agg(F.collect_list("q").alias("asking"))
         # Positions are not read; postings of other words are left behind before anything is sent.
         scored = F.arrays_zip(*[F.col(f"entries.{c}").alias(c) for c in ("chunk_id", "version_id", "tf", "len")]).alias("entries")
         asked = rows.select("segment", "block", "term", "field", scored).join(weights.select("term").distinct(), "term", "left_semi")
-        opened = asked.join(wanted, ["segment", "block", "term", "field"])
-        flat = opened.select("query_id", "segment", "field", "weight", F.explode("entries").alias("e"))
-        flat = self._without_dead(flat.select("query_id", "segment", "field", "weight", "e.chunk_id", "e.version_id", "e.tf", "e.len"))
-        return flat.groupBy("query_id", "chunk_id").agg(F.first("version_id").alias("version_id"), F.sum(self._impact(F.col("tf"), F.col("len"))).alias("score"))
+        met = asked.join(asking, ["term", "field"]).join(opened, ["segment", "block", "part"])
+        met = met.withColumn("asking", F.filter("asking", lambda q: F.array_contains("open", q["query_id"]))).filter(F.size("asking") > 0)
+        alive = F.when(F.col("gone").isNull(), F.col("entries")).otherwise(F.filter("entries", lambda e: ~F.array_contains("gone", e["chunk_id"])))
+        flat = met.select("segment", "block", "part", "field", "asking", F.explode(alive).alias("e"))
+        flat = flat.select("segment", "block", "part", "field", "e", F.explode("asking").alias("q"))
+        flat = flat.select("segment", "block", "part", "q.query_id", "q.weight", "field", "e.chunk_id", "e.version_id", "e.tf", "e.len")
+        sums = flat.groupBy("segment", "block", "part", "query_id", "chunk_id").agg(F.first("version_id").alias("version_id"), F.sum(self._impact(F.col("tf"), F.col("len"))).alias("score"))
+        return sums.select("query_id", "chunk_id", "version_id", "score")
 
     def phrases(self, phrases: DataFrame) -> DataFrame:
         """Passages whose name, heading or body holds the words of ``phrase`` one after another: phrase_id, chunk_id, field.

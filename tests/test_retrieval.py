@@ -442,3 +442,36 @@ def test_blocks_are_gathered_whole_from_any_batches():
             held = expected[x["block"], x["term"], x["field"]]
             assert x["entries"] == held and x["n"] == len(held) and x["first_id"] == held[0]["chunk_id"]
             assert x["max_tf"] == max(e["tf"] for e in held) and x["min_len"] == min(e["len"] for e in held)
+
+
+def test_compaction_makes_no_row_of_a_posting(spark, monkeypatch):
+    _, chunks = corpus(spark, n=300)
+    index = SearchIndex.create(chunks, scratch_dir(spark))
+
+    def refused(*_):
+        raise AssertionError("a posting became a row")
+
+    with monkeypatch.context() as m:
+        m.setattr("sourcelight.operators.segments.F.explode", refused)
+        index.replace_versions(chunks.filter("false"), spark.createDataFrame([(2,), (5,)], "version_id bigint"))
+        index.compact()
+    columns = ["term", "field", "chunk_id", "version_id", "tf", "len"]
+    want = lexical.postings(lexical.build_index(chunks.filter("version_id not in (2, 5)"))).select(*columns)
+    got = index.postings().select(*columns)
+    assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_scores_of_a_block_are_summed_where_its_rows_are(spark):
+    _, chunks = corpus(spark, n=300)
+    index = SearchIndex.create(chunks, scratch_dir(spark))
+    index.replace_versions(chunks.filter("version_id = 5"))
+    weights = spark.createDataFrame([(1, "hot", "body", 1.0), (2, "w3", "body", 2.0)], "query_id bigint, term string, field string, weight double")
+    rows = index._rows(None)
+    blocks = rows.select("segment", "block").distinct().crossJoin(weights.select("query_id").distinct())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index._scored(blocks, weights, rows, False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.index("Generate") < plan.index("Exchange")  # nothing is sent after postings became rows
