@@ -224,3 +224,19 @@ def test_paths_of_a_batch_are_listed_once(spark, tmp_path):
     scans = opened._jdf.queryExecution().analyzed().collectLeaves()
     listings = [spark._jvm.java.lang.System.identityHashCode(scans.apply(n).relation().location()) for n in range(scans.size())]
     assert len(listings) == 2 and len(set(listings)) == 1
+
+
+def test_a_batch_of_small_files_is_few_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(40):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"file {k}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        out = str(tmp_path / "out")
+        ingest.ingest_stream(spark, str(tmp_path / "in"), out, f"{out}/checkpoint").awaitTermination()
+        versions, chunks = ingest.committed(spark, out)
+        assert versions.count() == chunks.count() == 40
+        assert len(list((tmp_path / "out" / "versions" / "batch=0").glob("*.parquet"))) <= 2 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
